@@ -65,7 +65,8 @@ def blocks(fingerprint: Column) -> Column:
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The best window of each document and item that are similar enough: doc_id, item_id, start_word, n_words, similarity."""
+    """The best window of each document and item that are similar enough: doc_id, item_id, start_word, n_words, similarity
+    and text_key, xxhash64 of the document's text."""
     items = benchmark.select("item_id", words_of(lower_ascii(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     items = items.select("item_id", "w", F.least(F.size("w"), F.lit(SHINGLE)).alias("k"))
     items = items.select("item_id", "k", shingles(F.col("w"), F.col("k")).alias("h")).distinct()
@@ -79,7 +80,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = docs.select("doc_id", "key", F.lit(k).alias("k"), shingles(F.col("w"), F.lit(k)).alias("s"))
         seen = own if seen is None else seen.unionByName(own)
     if seen is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double")
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, text_key long")
     places = seen.select("doc_id", "key", "k", F.size("s").alias("n_doc"), F.posexplode_outer("s").alias("at", "h"))
     hits = places.join(small(index.select("item", "k", "n_item", "h")), ["k", "h"]).select("doc_id", "key", "k", "n_doc", "item", "n_item", "at")
 
@@ -95,7 +96,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = durable(windows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     texts = seen.join(small(wanted), same & (F.col("k") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "key", "k"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k"), "s")
-    windows = windows.join(texts, same & (F.col("k") == F.col("_k"))).select("doc_id", "item", "k", "n_item", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
+    windows = windows.join(texts, same & (F.col("k") == F.col("_k"))).select("doc_id", "key", "item", "k", "n_item", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
     windows = durable(windows.withColumn("print", simhash(F.col("h"))).withColumn("window", F.monotonically_increasing_id()))
 
     prints = durable(items.withColumn("item_print", simhash(F.col("h"))).select("item", "item_print"))
@@ -103,18 +104,18 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     right = prints.select("item", "item_print", F.explode(blocks(F.col("item_print"))).alias("b")).select("item", "item_print", "b.block", "b.value")
     near = left.join(small(durable(right)), ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("window").distinct()
 
-    counted = windows.join(near, "window").select("window", "doc_id", "item", "k", "n_item", "n", "start", F.explode("h").alias("h")).groupBy("window", "doc_id", "item", "k", "n_item", "n", "start", "h").agg(F.count("*").cast("int").alias("in_window"))
-    shared = counted.join(small(index.select("item", "h", "in_item")), ["item", "h"]).groupBy("window", "doc_id", "item", "k", "n_item", "n", "start").agg(F.sum(F.least("in_window", "in_item")).alias("shared"))
+    counted = windows.join(near, "window").select("window", "doc_id", "key", "item", "k", "n_item", "n", "start", F.explode("h").alias("h")).groupBy("window", "doc_id", "key", "item", "k", "n_item", "n", "start", "h").agg(F.count("*").cast("int").alias("in_window"))
+    shared = counted.join(small(index.select("item", "h", "in_item")), ["item", "h"]).groupBy("window", "doc_id", "key", "item", "k", "n_item", "n", "start").agg(F.sum(F.least("in_window", "in_item")).alias("shared"))
     joint = F.col("n") + F.col("n_item") - F.col("shared")
     found = shared.filter(100 * F.col("shared") >= SIMILARITY * joint).withColumn("similarity", F.col("shared") / joint)
-    best = found.groupBy("doc_id", "item").agg(F.max_by(F.struct("start", "n", "k", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
+    best = found.groupBy("doc_id", "key", "item").agg(F.max_by(F.struct("start", "n", "k", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
     return best.join(small(items.select("item", "item_id")), "item").select(
-        "doc_id", "item_id", F.col("b.start").cast("int").alias("start_word"), (F.col("b.n") + F.col("b.k") - 1).cast("int").alias("n_words"), F.col("b.similarity").alias("similarity")
+        "doc_id", "item_id", F.col("b.start").cast("int").alias("start_word"), (F.col("b.n") + F.col("b.k") - 1).cast("int").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("key").alias("text_key")
     )
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 OP6_SQL = rf"""

@@ -185,8 +185,8 @@ def _keys(value: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def _block_runs(row: dict, n_buckets: int):
     """All runs of a block's documents: panel list, and key, row, doc_id of the runs one after another."""
-    ids, valid, lengths, payload = _open(row)
-    found = list(panels(payload, np.where(valid, lengths, lengths)))
+    ids, _, lengths, payload = _open(row)
+    found = list(panels(payload, lengths))
     if not found:
         empty = np.empty(0, np.int64)
         return found, np.empty(0, _U), empty, empty, ids
@@ -436,8 +436,8 @@ def settle(runs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- result
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept binary, kept_text string"
+_REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())])
 
 
 def cut(packed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
@@ -460,14 +460,17 @@ def cut(packed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
                 n_removed = int(mask.sum())
                 kept = payload[a : a + n] if not n_removed else data[a : a + n][~mask].tobytes()
                 spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
-                out.append((doc if known else None, n, n_removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+                digest = hashlib.sha256(kept).hexdigest()
+                before = hashlib.sha256(payload[a : a + n]).hexdigest() if n_removed else digest
+                out.append((doc if known else None, n, n_removed, spans, digest, before, kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_bytes else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REMOVED)], schema=_REMOVED)
 
     return joined.mapInArrow(run, REMOVED)
 
 
 def remove_repeats(documents: DataFrame, with_bytes: bool = True) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 (of all bytes) and, if asked for, the
+    kept bytes and the text they make (a character that was cut apart goes)."""
     packed = durable(blocks(documents))
     total = packed.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(16, total // 13_000_000)
@@ -479,4 +482,4 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = True) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("text_sha256", "kept", "kept_text")
