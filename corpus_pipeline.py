@@ -1,22 +1,75 @@
-"""Five stages over documents, each written as Parquet and read again as the next one's input."""
+"""Five stages over documents, each written as Parquet and read again as the next one's input.
 
-from plumbline.llm import quality_rules
+Rows keep their columns; rows with a null doc_id go through every stage on their own.
+"""
 
+from __future__ import annotations
 
-def quality(spark, docs, sf_dir):
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, near_dedup, packing, quality_rules, suffix_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules.apply_rules(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = quality_rules.apply_rules(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n")).distinct()
+    words = F.size(quality_rules.words_of(F.col("text"))).cast("long")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_n")), "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; of rows with one doc_id, one."""
+    found = near_dedup.near_duplicates(docs)
+    out = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+
 
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the long strings that a document with a smaller doc_id has too."""
+    changed = suffix_dedup.remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept_text").dropDuplicates(["_id", "_sha"])
+    out = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sha")), "left")
+    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("benchmark leaks", leaks),
+    ("packing", packed),
+]
+#: SQL can express neither the tokenizer nor the packing; tests hold the stages against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    import uuid
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; what each returns is written to the session's checkpoint folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
     return docs
