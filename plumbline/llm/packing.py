@@ -11,6 +11,9 @@ repeated rows are packed each; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +33,9 @@ CARRIED = 2_000
 #: Pieces that a partition packs together.
 BLOCK = 50_000
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: White space that the tokenizer drops and that Python can split at without changing any id.
-_TO_SPACE = str.maketrans("\t\n\r", "   ")
+_BLANKS = "\t\n\r"
 
 
 def default_tokenizer() -> str:
@@ -41,6 +44,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters alone have their pieces found without the tokenizer's slower text steps: normal forms and
+#: lower case change nothing but A-Z and Latin-1 capitals in them. An apostrophe or `<|` may begin a longer piece.
+_PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-ÿ]+")
+_RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, all others for characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers. The tokenizer drops white space and treats what stands
     between as its own, so words are encoded apart and remembered."""
@@ -48,20 +64,43 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        text = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in text["pre_tokenizer"].get("pretokenizers", [text["pre_tokenizer"]])]
+        #: The short way holds for this kind of tokenizer only.
+        self.plain = kinds == ["Split", "ByteLevel"] and text["model"]["type"] == "BPE" and any(x["type"] == "Lowercase" for x in text["normalizer"].get("normalizers", []))
+
+    def run(self, run: str) -> bytes:
+        if run not in self.runs:
+            if len(self.runs) > REMEMBERED:
+                self.runs.clear()
+            spelled = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
+            self.runs[run] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
+        return self.runs[run]
+
+    def word(self, word: str) -> bytes:
+        if self.plain and _PLAIN.fullmatch(word):
+            return b"".join(map(self.run, _RUN.findall(word.lower())))
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
-        words = [w for w in (text or "").translate(_TO_SPACE).split(" ") if w]
+        text = text or ""
+        for blank in _BLANKS:
+            text = text.replace(blank, " ")
+        words = [w for w in text.split(" ") if w]
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            for w in set(words):
+                if w not in known:
+                    known[w] = self.word(w)
             return b"".join(map(known.__getitem__, words))
 
 
