@@ -29,7 +29,6 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose counts a worker remembers.
 REMEMBERED = 500_000
-_TO_SPACE = str.maketrans(SEPARATOR_CHARS, " " * len(SEPARATOR_CHARS))
 
 
 def default_vocabulary() -> str:
@@ -84,7 +83,10 @@ class Counter:
         return pieces[n]
 
     def text(self, text: str | None) -> int:
-        words = [w for w in (text or "").translate(_TO_SPACE).split(" ") if w]
+        text = text or ""
+        for blank in SEPARATOR_CHARS[1:]:
+            text = text.replace(blank, " ")
+        words = [w for w in text.split(" ") if w]
         known = self.known
         try:
             return sum(map(known.__getitem__, words))
