@@ -1,15 +1,16 @@
 """Removal of long repeated byte strings across documents (operator 2).
 
-A byte goes when it is covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id. All
-comparisons are of bytes; hashes only decide which places meet.
+A byte goes when it is covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id. Unequal
+runs are compared by bytes; hashes (64 bits beside the value) recognise equal ones.
 
 1. Documents are packed into compressed blocks, the unit of all later steps.
 2. Every LENGTH-byte window has a blocking value: the least hash of the shorter strings inside it, so equal windows have
    equal values, and neighbouring windows mostly share one: they form a run. Blocks send only their distinct values to
    buckets and get back one bit each: does another document have it?
-3. Runs with a shared value meet by that value. Equal runs are one: all but the smallest document's are removed. Values found
-   in very many blocks are dealt as single windows by window hash, so no value gathers many rows.
-4. Unequal runs that meet are joined to one text. Its Burrows-Wheeler transform is searched breadth-first: an interval of
+3. Runs with a shared value meet by that value, at first as hashes of their bytes. Runs of one value and hash are one kind: all
+   but the smallest document's are removed. Values found in very many blocks are dealt as single windows by window hash, so
+   no value gathers many rows.
+4. Where unequal runs meet, the bytes of one run of each kind are joined to one text. Its Burrows-Wheeler transform is searched breadth-first: an interval of
    suffixes that begin with w is extended backward to cw for each character c before it. Each extension that ends at a
    boundary not seen before fixes the common prefix there, by increasing value, and goes on; at LENGTH the search stops.
    What lies between boundaries then is one LENGTH-byte string, and its smallest document keeps it.
@@ -236,9 +237,6 @@ def shared_values(packed: DataFrame, n_buckets: int) -> DataFrame:
 
 # ---------------------------------------------------------------- 3: shared runs meet
 
-RUNS = "bucket long, block long, groups binary, sizes binary, docs binary, rows binary, places binary, bytes binary, done binary"
-_RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("groups", "sizes", "docs", "rows", "places", "bytes", "done"))])
-
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes data[start : start + size] of all places, one after another."""
@@ -246,65 +244,129 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(size.sum())) - np.repeat(begins - start, size)]
 
 
-def shared_runs(packed: DataFrame, answers: DataFrame, n_buckets: int, n_out: int) -> DataFrame:
-    """Runs with a shared value by bucket, and in `done` the (row, first, last window) that a smaller document of the same
-    block settles already."""
-    bits = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "shared", "hot"))).alias("bits"))
+def _flags(parts: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(b[name], np.uint8), count=b["n"]) for b in parts]).astype(bool)
+
+
+class SharedRuns:
+    """A block's runs with a shared value, and their distinct kinds: runs of equal value and bytes. Kinds are in the order of
+    (bucket, hash), so that answers about them can come back as bits."""
+
+    def __init__(self, row: dict, n_buckets: int, n_out: int, with_bytes: bool):
+        found, keys, _, _, ids = _block_runs(row, n_buckets)
+        valid = np.frombuffer(row["valid"], bool)
+        distinct = np.unique(keys)
+        shared, hot_values = (_flags(row["bits"], x) for x in ("shared", "hot"))
+        parts, at = [], 0
+        for p in found:
+            place = np.searchsorted(distinct, keys[at : at + len(p.row)])
+            at += len(p.row)
+            use = shared[place] & valid[p.row]
+            hot = hot_values[place] & use
+            cold = use & ~hot
+            n = (p.end - p.start + 1)[hot]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hot_start = np.repeat(p.start[hot], n) + within
+            hot_hash = p.hash_of(hot_start, hot_start + LENGTH)
+            start = np.concatenate([p.start[cold], hot_start])
+            size = np.concatenate([p.end[cold] - p.start[cold], np.zeros(len(hot_start), np.int64)]) + LENGTH
+            parts.append(
+                (
+                    np.concatenate([_mix(_keys(p.value[cold], n_buckets)), _mix(hot_hash)]),
+                    np.concatenate([p.content[cold], hot_hash]),
+                    size,
+                    np.concatenate([p.row[cold], np.repeat(p.row[hot], n)]),
+                    np.concatenate([p.at[cold], np.repeat(p.at[hot], n) + within]),
+                    _gather(p.data, start, size) if with_bytes else np.empty(0, np.uint8),
+                )
+            )
+            p.data = p.sums = None
+        empty = (np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8))
+        self.group, self.content, self.size, self.row, self.at, self.data = (np.concatenate(x) for x in zip(*parts)) if parts else empty
+        self.doc = ids[self.row]
+        bucket = (self.group % _U(n_out)).astype(np.int64)
+        order = np.lexsort((self.doc, self.content, bucket))
+        new = np.append(True, (self.content[order][1:] != self.content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])) if len(order) else np.empty(0, bool)
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        first = order[new]  # in the smallest document of each kind
+        self.kind_bucket, self.kind_content, self.kind_group, self.kind_doc = bucket[first], self.content[first], (self.group[first] >> _U(32)).astype(np.uint32), self.doc[first]
+
+
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of a sorted array."""
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
+    return [(int(bucket[a]), a, z) for a, z in zip(edges, edges[1:])]
+
+
+def settled_kinds(placed: DataFrame, bits: DataFrame, n_buckets: int, n_out: int) -> DataFrame:
+    """For each block and bucket, a bit for each of its kinds: a smaller document of another block has it (gone); unequal runs
+    of other documents share its value (open)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            if not row["bits"]:
+                continue
+            runs = SharedRuns(row, n_buckets, n_out, with_bytes=False)
+            if len(runs.kind_bucket):
+                parts = [(b, row["block"], _blob(runs.kind_content[a:z]), _blob(runs.kind_group[a:z]), _blob(runs.kind_doc[a:z])) for b, a, z in _by_bucket(runs.kind_bucket)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "block", "contents", "groups", "docs"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        read = lambda x, kind: [np.frombuffer(v, kind) for v in t.column(x).to_pylist()]
+        contents, groups, docs = read("contents", _U), np.concatenate(read("groups", np.uint32)), np.concatenate(read("docs", np.int64))
+        sizes = [len(x) for x in contents]
+        content = np.concatenate(contents)
+        order = np.lexsort((docs, content, groups))
+        g, c, d = groups[order], content[order], docs[order]
+        new_group = np.append(True, g[1:] != g[:-1])
+        new = new_group | np.append(True, c[1:] != c[:-1])
+        kind = np.cumsum(new) - 1
+        least = d[new]
+        of_group = (np.cumsum(new_group) - 1)[new]
+        starts = np.flatnonzero(np.append(True, of_group[1:] != of_group[:-1]))
+        mixed = np.minimum.reduceat(least, starts) != np.maximum.reduceat(least, starts)
+        gone, is_open = np.empty(len(d), bool), np.empty(len(d), bool)
+        gone[order] = d > least[kind]
+        is_open[order] = mixed[of_group][kind] & (d == least[kind])
+        cut = np.cumsum(sizes)[:-1]
+        out = [[_blob(np.packbits(x)) for x in np.split(y, cut)] for y in (gone, is_open)]
+        return pa.Table.from_arrays([t.column("block").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["block", "bucket", "n", "gone", "open"])
+
+    sent = placed.join(bits, "block", "left").mapInArrow(send, "bucket long, block long, contents binary, groups binary, docs binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, gone binary, open binary")
+
+
+RUNS = "bucket long, block long, groups binary, sizes binary, docs binary, rows binary, places binary, bytes binary, done binary"
+_RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("groups", "sizes", "docs", "rows", "places", "bytes", "done"))])
+
+
+def open_runs(placed: DataFrame, bits: DataFrame, kinds: DataFrame, n_buckets: int, n_out: int) -> DataFrame:
+    """Open runs with their bytes by bucket, and in `done` the (row, first, last window) that are settled already."""
+    answers = kinds.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "gone", "open"))).alias("kinds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            found, keys, _, _, ids = _block_runs(row, n_buckets)
-            valid = np.frombuffer(row["valid"], bool)
-            distinct = np.unique(keys)
-            flags = [np.concatenate([np.unpackbits(np.frombuffer(b[x], np.uint8), count=b["n"]) for b in row["bits"]]).astype(bool) for x in ("shared", "hot")]
-            parts, at = [], 0
-            for p in found:
-                place = np.searchsorted(distinct, keys[at : at + len(p.row)])
-                at += len(p.row)
-                use = flags[0][place] & valid[p.row]
-                hot = flags[1][place] & use
-                cold = use & ~hot
-                group = _keys(p.value, n_buckets)
-                n = (p.end - p.start + 1)[hot]
-                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                hot_start = np.repeat(p.start[hot], n) + within
-                hot_hash = p.hash_of(hot_start, hot_start + LENGTH)
-                start = np.concatenate([p.start[cold], hot_start])
-                size = np.concatenate([p.end[cold] - p.start[cold], np.zeros(len(hot_start), np.int64)]) + LENGTH
-                parts.append(
-                    (
-                        np.concatenate([group[cold], hot_hash | _U(1 << 63)]),
-                        np.concatenate([p.content[cold], hot_hash]),
-                        size,
-                        np.concatenate([p.row[cold], np.repeat(p.row[hot], n)]),
-                        np.concatenate([p.at[cold], np.repeat(p.at[hot], n) + within]),
-                        _gather(p.data, start, size),
-                    )
-                )
-                p.data = p.sums = None
-            if not parts or not sum(len(x[0]) for x in parts):
+            if not row["kinds"]:
                 continue
-            group, content, size, rows, place, data = (np.concatenate(x) for x in zip(*parts))
-            docs = ids[rows]
-            begins = np.cumsum(size) - size
-            # equal runs of this block: only the smallest document's go on
-            order = np.lexsort((docs, content))
-            first = np.append(True, content[order][1:] != content[order][:-1])
-            least = docs[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-            over = np.zeros(len(docs), bool)
-            over[order] = docs[order] > least
-            done = np.stack([rows[over], place[over], place[over] + size[over] - LENGTH], axis=1).astype(np.int64)
-            go = np.flatnonzero(~over)
-            bucket = (_mix(group[go]) % _U(n_out)).astype(np.int64)
+            runs = SharedRuns(row, n_buckets, n_out, with_bytes=True)
+            gone, is_open = (_flags(row["kinds"], x) for x in ("gone", "open"))
+            over = gone[runs.kind] | (runs.doc > runs.kind_doc[runs.kind])
+            done = np.stack([runs.row[over], runs.at[over], runs.at[over] + runs.size[over] - LENGTH], axis=1).astype(np.int64)
+            go = np.flatnonzero(is_open[runs.kind] & ~over)
+            bucket = runs.kind_bucket[runs.kind[go]]
             order = np.argsort(bucket, kind="stable")
             go, bucket = go[order], bucket[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(go)]
-            for k, (a, z) in enumerate(zip(edges, edges[1:])):
+            begins = np.cumsum(runs.size) - runs.size
+            for b, a, z in _by_bucket(bucket) if len(go) else [(row["block"] % n_out, 0, 0)]:
                 i = go[a:z]
-                out = (int(bucket[a]), row["block"], _blob(group[i]), _blob(size[i].astype(np.int64)), _blob(docs[i]), _blob(rows[i].astype(np.int64)), _blob(place[i].astype(np.int64)), _blob(_gather(data, begins[i], size[i])), _blob(done) if not k else b"")
+                out = (
+                    b, row["block"], _blob(runs.group[i]), _blob(runs.size[i].astype(np.uint32)), _blob(runs.doc[i]), _blob(runs.row[i].astype(np.uint32)), _blob(runs.at[i].astype(np.uint32)),
+                    _blob(_gather(runs.data, begins[i], runs.size[i])), _blob(done) if not a else b"",
+                )
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, _RUNS)], schema=_RUNS)
 
-    return packed.join(bits, "block").mapInArrow(run, RUNS)
+    return placed.join(bits, "block", "left").join(answers, "block", "left").mapInArrow(run, RUNS)
 
 
 # ---------------------------------------------------------------- 4: the transform and its search
@@ -376,8 +438,9 @@ def settle(runs: DataFrame) -> DataFrame:
             if done:
                 out.setdefault(block, []).append(np.frombuffer(done, np.int64).reshape(-1, 3))
         read = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in cols[x]])
-        groups, sizes, docs, rows, places = read("groups", _U), *(read(x, np.int64) for x in ("sizes", "docs", "rows", "places"))
-        owner = np.repeat(np.array(cols["block"], np.int64), [len(v) // 8 for v in cols["sizes"]])
+        groups, docs = read("groups", _U), read("docs", np.int64)
+        sizes, rows, places = (read(x, np.uint32).astype(np.int64) for x in ("sizes", "rows", "places"))
+        owner = np.repeat(np.array(cols["block"], np.int64), [len(v) // 8 for v in cols["docs"]])
         data = b"".join(cols["bytes"])
         stops = np.cumsum(sizes)
         # equal runs are one class
@@ -440,8 +503,8 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())])
 
 
-def cut(packed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
-    joined = packed.join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left")
+def cut(placed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
+    joined = placed.join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -477,8 +540,12 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = True) -> DataFrame:
     answers = durable(shared_values(packed, n_buckets))
     n_shared = answers.agg(F.sum("n_shared")).first()[0] or 0
     n_out = max(16, n_shared * 62 // BUCKET_BYTES)
-    ranges = settle(shared_runs(packed, answers, n_buckets, n_out))
-    return cut(packed, ranges, with_bytes)
+    # the same exchange of blocks serves all three joins
+    placed = packed.repartition("block")
+    bits = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "shared", "hot"))).alias("bits"))
+    kinds = settled_kinds(placed, bits, n_buckets, n_out)
+    ranges = settle(open_runs(placed, bits, kinds, n_buckets, n_out))
+    return cut(placed, ranges, with_bytes)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
