@@ -63,7 +63,7 @@ def external_recipients(addresses: Column, internal: str = INTERNAL_DOMAIN) -> C
 
 def attachment_list(field: Column) -> Column:
     """Entries `path(bytes)` of a `;` list, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def attachment_count(field: Column) -> Column:
@@ -139,14 +139,16 @@ def main_clause_at(text: Column) -> Column:
     opens = F.lower(trimmed).rlike(r"^(?:" + "|".join(CONCESSIVE_OPENERS) + r")\b")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"))
 
-    def step(state: Column, i: Column) -> Column:
-        c = F.substr(trimmed, i, F.lit(1))
-        good = (state["at"] == 0) & (c == ",") & (state["depth"] == 0) & (i > 6) & (F.trim(F.substr(trimmed, i + 1)) != "")
-        depth = state["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
-        return F.struct(depth.alias("depth"), F.when(good, i + 1).otherwise(state["at"]).alias("at"))
+    def step(state: Column, x: Column) -> Column:
+        good = (state["at"] == 0) & (x["c"] == ",") & (state["depth"] == 0) & (x["i"] > 6) & (x["i"] < x["n"])
+        depth = state["depth"] + F.when(x["c"] == "(", 1).when(x["c"] == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(good, x["i"] + 1).otherwise(state["at"]).alias("at"))
 
-    places = F.when(opens & (F.length(trimmed) > 0), F.sequence(F.lit(1), F.length(trimmed))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step)["at"]
+    n = F.length(trimmed)  # trimmed text ends with no blank, so something is left after any earlier place
+    places = F.transform(F.split(trimmed, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
+    marks = F.filter(places, lambda p: p["c"].isin(",", "(", ")"))
+    with_n = F.transform(F.when(opens, marks), lambda p: F.struct(p["c"].alias("c"), p["i"].alias("i"), n.alias("n")))
+    return F.coalesce(F.aggregate(with_n, start, step)["at"], F.lit(0))
 
 
 def main_clause(text: Column) -> Column:
@@ -234,7 +236,7 @@ def sentences_in(text: Column) -> Column:
     an abbreviation. Decimals, times and file names hold no such place."""
     before = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS)
     cut = rf"\n+|(?i:{before})(?<=[.!?])\s+(?=[\p{{Lu}}\d(\"'])"
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), cut), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scrub_boilerplate(text: Column) -> Column:

@@ -355,7 +355,7 @@ def _sentences(spark, sf_dir):
     return pooling.sentence_rows(T.drafts(spark, sf_dir), F.split("text", "\n"))
 
 
-@query("i1_pool_exact", f"WITH {_POOLED} SELECT signal_id, 's' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR)), '0') AS sentence_id, md5(text) AS text, n_samples FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY first) AS n FROM p)")
+@query("i1_pool_exact", f"WITH {_POOLED} SELECT signal_id, 's' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS sentence_id, md5(text) AS text, n_samples FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY first) AS n FROM p)")
 def i1_pool_exact(spark, sf_dir):
     """Lines of documents as sentences, pooled by source and language."""
     return pooling.pool_exact(_sentences(spark, sf_dir)).select("signal_id", "sentence_id", F.md5(F.col("text").cast("binary")).alias("text"), "n_samples")
@@ -515,8 +515,8 @@ def k5_recall_at(spark, sf_dir):
 
 _SPLIT = f"""{T.CLAIMS}, u AS (SELECT "user", min("group") AS g FROM claims GROUP BY "user"), ur AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5("user" || ':42'), "user") AS r, count(*) OVER (PARTITION BY g) AS n FROM u),
 split AS (SELECT c.*, r <= ceil(n * 0.5) AS in_calibration FROM claims c JOIN ur USING ("user"))"""
-_grid = "grid AS (SELECT (i * 5 / 100.0)::DOUBLE AS lambda FROM (SELECT unnest(range(21)) AS i))"
-_CURVE = _grid + """, curve AS (SELECT lambda, count(*) FILTER (score >= lambda) AS n_selected, count(*) FILTER (score >= lambda AND label IN ('hallucinated', 'misweighted', 'false precision')) AS n_wrong FROM grid, claims GROUP BY lambda)"""
+_grid = 'grid AS (SELECT (i * 5 / 100.0)::DOUBLE AS "lambda" FROM (SELECT unnest(range(21)) AS i))'
+_CURVE = _grid + """, curve AS (SELECT "lambda", count(*) FILTER (score >= "lambda") AS n_selected, count(*) FILTER (score >= "lambda" AND label IN ('hallucinated', 'misweighted', 'false precision')) AS n_wrong FROM grid, claims GROUP BY "lambda")"""
 
 
 @query("l1_split", f'WITH {_SPLIT} SELECT cluster_id, "user", in_calibration FROM split')
@@ -525,7 +525,7 @@ def l1_split(spark, sf_dir):
     return calibration.split_by_user(T.claims_by_label(spark, sf_dir), group="group").select("cluster_id", "user", "in_calibration")
 
 
-@query("l2_risk_curve", f"WITH {T.CLAIMS}, {_CURVE} SELECT lambda, n_selected, n_wrong, round(n_wrong / greatest(n_selected, 1), 6) AS risk FROM curve")
+@query("l2_risk_curve", f'WITH {T.CLAIMS}, {_CURVE} SELECT "lambda", n_selected, n_wrong, round(n_wrong / greatest(n_selected, 1), 6) AS risk FROM curve')
 def l2_risk_curve(spark, sf_dir):
     return calibration.risk_curve(T.claims_by_label(spark, sf_dir)).withColumn("risk", r6("risk"))
 
@@ -540,7 +540,7 @@ def l3_learn_then_test(spark, sf_dir):
 @query(
     "l4_conformal_risk",
     f"""WITH {T.CLAIMS}, {_CURVE}, a AS (SELECT i * 5 / 100.0 AS alpha FROM (SELECT unnest(range(1, 7)) AS i)), b AS (SELECT alpha, greatest(1, round_even(alpha * (SELECT count(*) FROM claims) * 0.5, 0))::BIGINT AS bound FROM a)
-SELECT alpha::DOUBLE AS alpha, bound, min(lambda) FILTER (n_wrong + 1 <= bound) AS lambda_hat FROM b, curve GROUP BY alpha, bound""",
+SELECT alpha::DOUBLE AS alpha, bound, min("lambda") FILTER (n_wrong + 1 <= bound) AS lambda_hat FROM b, curve GROUP BY alpha, bound""",
 )
 def l4_conformal_risk(spark, sf_dir):
     return calibration.conformal_risk(T.claims_by_label(spark, sf_dir)).select("alpha", "bound", "lambda_hat")
@@ -557,11 +557,11 @@ def l5_manifest(spark, sf_dir):
     "l6_adaptive_thresholds",
     f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "user" AS period, round(score * 10000)::INT / 10000.0::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
 g AS (SELECT period, list((s, wrong)) AS l, row_number() OVER (ORDER BY period) AS i FROM c GROUP BY period),
-step(i, period, lambda, err) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0.9::DOUBLE, 0.1::DOUBLE UNION ALL
-  SELECT g.i, g.period, CASE WHEN step.i = 0 THEN step.lambda ELSE greatest(0.0, least(1.0, step.lambda + 0.05 * (step.err - 0.1))) END AS lam,
-    len(list_filter(g.l, lambda x: x[1] >= CASE WHEN step.i = 0 THEN step.lambda ELSE greatest(0.0, least(1.0, step.lambda + 0.05 * (step.err - 0.1))) END AND x[2]))::DOUBLE
-    / greatest(len(list_filter(g.l, lambda x: x[1] >= CASE WHEN step.i = 0 THEN step.lambda ELSE greatest(0.0, least(1.0, step.lambda + 0.05 * (step.err - 0.1))) END)), 1) FROM step JOIN g ON g.i = step.i + 1)
-SELECT period, round(lambda, 6) AS lambda, round(err, 6) AS err FROM step WHERE i > 0""",
+step(i, period, "lambda", err) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0.9::DOUBLE, 0.1::DOUBLE UNION ALL
+  SELECT g.i, g.period, CASE WHEN step.i = 0 THEN step."lambda" ELSE greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1))) END AS lam,
+    len(list_filter(g.l, lambda x: x[1] >= CASE WHEN step.i = 0 THEN step."lambda" ELSE greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1))) END AND x[2]))::DOUBLE
+    / greatest(len(list_filter(g.l, lambda x: x[1] >= CASE WHEN step.i = 0 THEN step."lambda" ELSE greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1))) END)), 1) FROM step JOIN g ON g.i = step.i + 1)
+SELECT period, round("lambda", 6) AS "lambda", round(err, 6) AS err FROM step WHERE i > 0""",
 )
 def l6_adaptive_thresholds(spark, sf_dir):
     """Lambda from source to source as periods."""
