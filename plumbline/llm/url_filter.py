@@ -2,7 +2,7 @@
 
 Rules are written `host/path`; one fits its host and all subdomains when the url's path starts with the rule's path, and
 the longest fitting rule wins. The urls that rules decide are the labelled ones: trees are trained on their lexical
-features (lengths, depths, digit share, entropy, parameter counts, suffix statistics) and judge all others. Training uses
+features (lengths, depths, digit share, entropy, parameter counts, statistics of the host's suffixes and the path's first part) and judge all others. Training uses
 at most TRAINING_ROWS labelled urls, chosen by a hash of the url; suffix statistics count all urls.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is judged by the trees like
@@ -63,7 +63,7 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
 
 
-FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_share", "entropy", "n_parameters", "query_length", "n_hyphens", "upper_share", "suffix_share", "suffix_allowed")
+FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_share", "entropy", "n_parameters", "query_length", "n_hyphens", "upper_share", "suffix_share", "suffix_allowed", "site_share", "site_allowed", "section_share", "section_allowed")
 
 
 def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -78,6 +78,8 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
         "rule",
         F.when(verdict_of(F.col("rule"), rules) == ALLOW, 1.0).when(F.col("rule").isNotNull(), 0.0).alias("label"),
         F.element_at(F.split("host", r"\."), -1).alias("suffix"),
+        F.substring_index("host", ".", -2).alias("site"),
+        F.get(F.split("path", "/", 3), F.lit(1)).alias("section"),
         F.xxhash64("u").alias("hash"),
         F.length("u").cast("double").alias("url_length"),
         F.length("host").cast("double").alias("host_length"),
@@ -93,15 +95,21 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def with_suffix_statistics(df: DataFrame) -> DataFrame:
-    """Adds the share of all urls with the same suffix, and the smoothed share of allowed ones among its labelled urls."""
-    stats = df.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("allowed"))
-    stats = durable(stats)
+def with_statistics(df: DataFrame, key: str) -> DataFrame:
+    """Adds the share of all urls with the same value of `key`, and the smoothed share of allowed ones among its labelled urls."""
+    stats = durable(df.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("allowed")))
     total = stats.agg(F.sum("n")).first()[0] or 1
-    stats = stats.select("suffix", (F.col("n") / F.lit(total)).alias("suffix_share"), ((F.coalesce("allowed", F.lit(0.0)) + 1) / (F.col("labelled") + 2)).alias("suffix_allowed"))
+    stats = stats.select(key, (F.col("n") / F.lit(total)).alias(f"{key}_share"), ((F.coalesce("allowed", F.lit(0.0)) + 1) / (F.col("labelled") + 2)).alias(f"{key}_allowed"))
     if stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         stats = F.broadcast(stats)
-    return df.join(stats, "suffix")
+    return df.join(stats, df[key].eqNullSafe(stats[key])).drop(stats[key])
+
+
+def with_suffix_statistics(df: DataFrame) -> DataFrame:
+    """Statistics of the host's last label, of its last two, and of the path's first part."""
+    for key in ("suffix", "site", "section"):
+        df = with_statistics(df, key)
+    return df
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
