@@ -12,6 +12,7 @@ from plumbline.functions import scalars as S
 from plumbline.operators import baselines, calibration, evaluation, features, grounding, identity, judgements, pooling, rho, sampling, signals
 from plumbline.plans import standins as T
 from plumbline.sources import logs
+from plumbline.sources.durable import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,8 +276,9 @@ def e7_plain_baselines(spark, sf_dir):
 
 
 def baselined_days(spark, sf_dir):
-    rows = T.user_roles(features.long_features(T.raw_features(spark, sf_dir)))
-    return baselines.peer_baselines(baselines.self_baselines(rows))
+    """Raw features are read several times by the baselines, so each step is kept; logs are aggregated once."""
+    rows = durable(T.user_roles(features.long_features(T.raw_features(spark, sf_dir))))
+    return baselines.peer_baselines(durable(baselines.self_baselines(rows)))
 
 
 #: Gates low enough for the stand-in's small counts.
@@ -292,7 +294,7 @@ fired AS (SELECT "user", period, list_filter([CASE WHEN after_hours_logons_v >=
 
 
 def flagged_days(spark, sf_dir):
-    return signals.apply_rules(signals.stat_maps(baselined_days(spark, sf_dir)), config=GATES)
+    return durable(signals.apply_rules(signals.stat_maps(baselined_days(spark, sf_dir)), config=GATES))
 
 
 @query("f6_rules", f"WITH {_DAY_LONG}, {_FIRED} SELECT \"user\", period, array_to_string(t, ',') AS triggered, substr(sha1(\"user\" || '|' || period), 1, 12) AS signal_id FROM fired WHERE len(t) > 0")
