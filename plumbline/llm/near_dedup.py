@@ -40,7 +40,7 @@ SIMILARITY = 85
 LEAST_ESTIMATE = SIMILARITY / 100 - 5 * (0.85 * 0.15 / (TREES * DEPTH)) ** 0.5
 SEED = 97
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)  # odd multipliers, one for each place

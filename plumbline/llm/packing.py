@@ -33,7 +33,7 @@ CARRIED = 2_000
 #: Pieces that a partition packs together.
 BLOCK = 50_000
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: White space that the tokenizer drops and that Python can split at without changing any id.
 _BLANKS = "\t\n\r"
 

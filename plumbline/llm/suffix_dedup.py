@@ -133,35 +133,48 @@ def _blob(x: np.ndarray) -> bytes:
 
 # ---------------------------------------------------------------- 1: blocks
 
-BLOCKS = "block long, ids binary, valid binary, lengths binary, payload binary, size long"
-_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("valid", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary()), ("size", pa.int64())])
+BLOCKS = "block long, ids binary, valid binary, lengths binary, payload binary, size long, carried binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("valid", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary()), ("size", pa.int64()), ("carried", pa.binary())])
 
 
-def blocks(documents: DataFrame) -> DataFrame:
+def blocks(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of documents, packed; columns in `carry` come along as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, texts, others, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
             known = np.array([i is not None for i in ids])
             payload = b"".join(texts)
-            row = (number, _blob(np.array([i or 0 for i in ids], np.int64)), _blob(known), _blob(np.array([len(t) for t in texts], np.int64)), pa.compress(payload, "zstd", asbytes=True), size)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, others[0].schema) as writer:
+                for x in others:
+                    writer.write_batch(x)
+            row = (
+                number, _blob(np.array([i or 0 for i in ids], np.int64)), _blob(known), _blob(np.array([len(t) for t in texts], np.int64)), pa.compress(payload, "zstd", asbytes=True), size,
+                sink.getvalue().to_pybytes() if carry else b"",
+            )
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS)], schema=_BLOCKS)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            begins = 0
+            for k, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 ids.append(doc_id)
                 texts.append(raw)
                 size += len(raw)
                 if size >= BLOCK_BYTES:
+                    others.append(b.select(list(range(2, b.num_columns))).slice(begins, k + 1 - begins))
                     yield made()
                     number += 1
-                    ids, texts, size = [], [], 0
+                    ids, texts, others, size, begins = [], [], [], 0, k + 1
+            if begins < b.num_rows:
+                others.append(b.select(list(range(2, b.num_columns))).slice(begins))
         if ids:
             yield made()
 
-    return documents.select("doc_id", "text").mapInArrow(run, BLOCKS)
+    return documents.select("doc_id", "text", *carry).mapInArrow(run, BLOCKS)
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -503,7 +516,7 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())])
 
 
-def cut(placed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
+def cut(placed: DataFrame, ranges: DataFrame, with_bytes: bool, with_text: bool, carried: str) -> DataFrame:
     joined = placed.join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,16 +538,22 @@ def cut(placed: DataFrame, ranges: DataFrame, with_bytes: bool) -> DataFrame:
                 spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
                 digest = hashlib.sha256(kept).hexdigest()
                 before = hashlib.sha256(payload[a : a + n]).hexdigest() if n_removed else digest
-                out.append((doc if known else None, n, n_removed, spans, digest, before, kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_bytes else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REMOVED)], schema=_REMOVED)
+                out.append((doc if known else None, n, n_removed, spans, digest, before, kept if with_bytes else None, kept.decode("utf-8", "ignore") if with_text else None))
+            columns = {f.name: pa.array(c, f.type) for c, f in zip(zip(*out), _REMOVED)}
+            if carried:
+                others = pa.ipc.open_stream(row["carried"]).read_all().combine_chunks()
+                columns |= {name: others.column(name).combine_chunks() for name in others.column_names}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(run, REMOVED)
+    return joined.mapInArrow(run, REMOVED + carried)
 
 
-def remove_repeats(documents: DataFrame, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(documents: DataFrame, with_bytes: bool = True, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256 (of all bytes) and, if asked for, the
-    kept bytes and the text they make (a character that was cut apart goes)."""
-    packed = durable(blocks(documents))
+    kept bytes, the text they make (a character that was cut apart goes), and other columns as they were."""
+    kinds_of = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    carried = "".join(f", `{c}` {kinds_of[c]}" for c in carry)
+    packed = durable(blocks(documents, carry))
     total = packed.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(16, total // 13_000_000)
     answers = durable(shared_values(packed, n_buckets))
@@ -545,8 +564,8 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = True) -> DataFrame:
     bits = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "shared", "hot"))).alias("bits"))
     kinds = settled_kinds(placed, bits, n_buckets, n_out)
     ranges = settle(open_runs(placed, bits, kinds, n_buckets, n_out))
-    return cut(placed, ranges, with_bytes)
+    return cut(placed, ranges, with_bytes, with_text, carried)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("text_sha256", "kept", "kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False, with_text=False).drop("text_sha256", "kept", "kept_text")
