@@ -18,15 +18,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules.apply_rules(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n")).distinct()
+    judged = quality_rules.apply_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n")).distinct()
     words = F.size(quality_rules.words_of(F.col("text"))).cast("long")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_n")), "left_semi").select(*COLUMNS)
+    rejected = decontaminate.small(decontaminate.durable(judged))
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_n")), "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; of rows with one doc_id, one."""
     found = near_dedup.near_duplicates(docs)
-    out = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = decontaminate.small(decontaminate.durable(found.filter(~F.col("kept")).select("doc_id").distinct()))
+    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
@@ -34,17 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the long strings that a document with a smaller doc_id has too."""
-    changed = suffix_dedup.remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept_text").dropDuplicates(["_id", "_sha"])
-    out = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sha")), "left")
-    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    marked = docs.withColumn("no_text", F.col("text").isNull())
+    out = suffix_dedup.remove_repeats(marked, with_bytes=False, carry=("lang", "source", "n_chars", "no_text"))
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    found = decontaminate.small(decontaminate.durable(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()))
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti").select(*COLUMNS)
 
 
