@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }
