@@ -67,8 +67,10 @@ def ranks_of_wrong(rows: DataFrame, wrong_ids: list[str], ident: str = "cluster_
     """For each given claim, how many grounded rows score at least as high, and their share."""
     cases = rows.filter(F.col(ident).isin(wrong_ids)).select(F.col(ident).alias("case"), F.col("score").alias("case_score"))
     good = rows.filter(F.col("label") == GROUNDED).select("score")
+    total = good.count()
     # the stated cases against all rows
-    return good.join(F.broadcast(cases), F.col("score") >= F.col("case_score"), "right").groupBy("case", "case_score").agg(F.count("score").alias("above")).crossJoin(F.broadcast(good.agg(F.count("*").alias("grounded")))).select("case", "case_score", "above", F.try_divide("above", "grounded").alias("share"))
+    above = good.join(F.broadcast(cases), F.col("score") >= F.col("case_score"), "right").groupBy("case", "case_score").agg(F.count("score").alias("above"))
+    return above.withColumn("share", F.try_divide("above", F.lit(total)))
 
 
 def case_report(rows: DataFrame, cases: DataFrame, ident: str = "cluster_id") -> DataFrame:

@@ -110,7 +110,7 @@ def judged_clusters(units: DataFrame, groups: DataFrame) -> DataFrame:
 
 def threshold_sweep(units: DataFrame, thresholds: list[float]) -> DataFrame:
     """pool_semantic at several thresholds: threshold, signal_id, ord, cluster."""
-    tagged = units.crossJoin(F.broadcast(units.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")))  # a few thresholds
+    tagged = units.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
 
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")

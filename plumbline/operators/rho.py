@@ -69,9 +69,9 @@ def confusion(scored: DataFrame, target: str = "target", score: str = "rho", cut
 def recall_at(scored: DataFrame, ks: tuple[int, ...] = (10, 50, 100, 200, 300, 500), target: str = "target", score: str = "rho", ident: str = "cluster_id") -> DataFrame:
     """Of the rows that are not grounded, the share among the k with the lowest score. Each k is a top-k, so no row is ranked
     against all."""
-    total = scored.agg(F.count_if(F.col(target) == 0).alias("_all"))
+    total = scored.filter(F.col(target) == 0).count()
     lowest = scored.select(target, score, ident).orderBy(score, ident).limit(max(ks))
     ranked = lowest.withColumn("_r", F.row_number().over(Window.orderBy(score, ident)))
     grid = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     found = ranked.select(target, "_r", grid).groupBy("k").agg(F.count_if((F.col("_r") <= F.col("k")) & (F.col(target) == 0)).alias("found"))
-    return found.crossJoin(F.broadcast(total)).select("k", "found", F.try_divide("found", "_all").alias("recall"))
+    return found.select("k", "found", F.try_divide("found", F.lit(total)).alias("recall"))

@@ -633,7 +633,8 @@ def m7_alpha_series(spark, sf_dir):
     """Error and recall of the test side at each alpha's threshold (M7)."""
     split = calibration.split_by_user(T.claims_by_label(spark, sf_dir), group="group")
     cuts = calibration.learn_then_test(split.filter("in_calibration"), alphas=tuple(x / 20 for x in range(1, 11)))
-    test = split.filter(~F.col("in_calibration")).join(F.broadcast(cuts.select("alpha", "lambda_hat")))  # one row for each alpha
+    pairs = [F.struct(F.lit(r.alpha).alias("alpha"), F.lit(r.lambda_hat).cast("double").alias("lambda_hat")) for r in cuts.collect()]  # one for each alpha
+    test = split.filter(~F.col("in_calibration")).select("*", F.explode(F.array(*pairs)).alias("c")).select("*", "c.*")
     return test.groupBy("alpha", "lambda_hat").agg(*evaluation._figures(F.col("score") >= F.col("lambda_hat"), "primary"))
 
 
@@ -770,10 +771,8 @@ def o1_weekly_stream(spark, sf_dir):
     schema = T.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     at = _scratch(spark)
-    # update rows of one key follow each other; the last holds the sum
-    made = stream.weekly_counts(source)
-    made.writeStream.format("memory").queryName(f"weekly_{at[-8:]}").outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(f"weekly_{at[-8:]}").select("user_id", F.date_format("week_start", "yyyy-MM-dd").alias("week"), "events", "after_hours_events", "event_types")
+    stream.run_to_end(stream.weekly_counts(source), f"{at}/out", f"{at}/checkpoint", "complete")
+    return spark.read.parquet(f"{at}/out").select("user_id", F.date_format("week_start", "yyyy-MM-dd").alias("week"), "events", "after_hours_events", "event_types")
 
 
 @query("o2_adaptive_stream")

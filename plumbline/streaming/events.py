@@ -52,5 +52,10 @@ def adaptive_threshold(claims: DataFrame, policy: str = "primary", alpha: float
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Everything there is now, to Parquet."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Everything there is now, to Parquet. In complete mode each trigger's whole result replaces the last one's."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
