@@ -51,7 +51,7 @@ def binomial_tail(wrong: int, n: int, alpha: float) -> float:
     for k in ks:
         term = math.exp(log_term(k))
         total += term
-        if term < total * 1e-18:
+        if term <= total * 1e-18:
             break
     return min(1.0, total) if below else max(0.0, 1.0 - total)
 
