@@ -8,7 +8,7 @@ runs are compared by bytes; hashes (64 bits beside the value) recognise equal on
    equal values, and neighbouring windows mostly share one: they form a run. Blocks send only their distinct values to
    buckets and get back one bit each: does another document have it?
 3. Runs with a shared value meet by that value, at first as hashes of their bytes. Runs of one value and hash are one kind: all
-   but the smallest document's are removed. Values found in very many blocks are dealt as single windows by window hash, so
+   but the smallest document's are removed. Values found in very many blocks, or very often in one, are dealt as single windows by window hash, so
    no value gathers many rows.
 4. Where unequal runs meet, the bytes of one run of each kind are joined to one text. Its Burrows-Wheeler transform is searched breadth-first: an interval of
    suffixes that begin with w is extended backward to cw for each character c before it. Each extension that ends at a
@@ -41,7 +41,9 @@ PANEL_BYTES = 1_000_000
 #: Bytes of candidate runs that one bucket should hold.
 BUCKET_BYTES = 2_000_000
 #: A blocking value in more blocks than this is dealt window by window.
-HOT_BLOCKS = 24
+HOT_BLOCKS = 1024
+#: So is one with more runs than this in a block.
+HOT_RUNS = 200
 
 _U = np.uint64
 _r = np.random.RandomState(50)
@@ -221,21 +223,23 @@ def shared_values(packed: DataFrame, n_buckets: int) -> DataFrame:
             keys, docs = keys[order], docs[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             many = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+            often = np.diff(np.append(first, len(keys))) > HOT_RUNS
             keys = keys[first]
             bucket = (keys >> _U(32)).astype(np.int64)
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
             low = keys.astype(np.uint32)
-            parts = [(int(bucket[a]), row["block"], _blob(low[a:z]), _blob(np.packbits(many[a:z]))) for a, z in zip(edges, edges[1:])]
-            b, o, v, m = zip(*parts)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(o, pa.int64()), pa.array(v, pa.binary()), pa.array(m, pa.binary())], names=["bucket", "block", "values", "many"])
+            parts = [(int(bucket[a]), row["block"], _blob(low[a:z]), _blob(np.packbits(many[a:z])), _blob(np.packbits(often[a:z]))) for a, z in zip(edges, edges[1:])]
+            b, o, *bits = zip(*parts)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(o, pa.int64()), *(pa.array(x, pa.binary()) for x in bits)], names=["bucket", "block", "values", "many", "often"])
 
     def answer(t: pa.Table) -> pa.Table:
         values = [np.frombuffer(x, np.uint32) for x in t.column("values").to_pylist()]
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(t.column("many").to_pylist(), values)])
+        many, often = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(t.column(name).to_pylist(), values)]) for name in ("many", "often"))
         sizes = [len(v) for v in values]
         _, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
         several = np.bincount(place, weights=many, minlength=len(count)) > 0
-        shared, hot = ((count > 1) | several)[place], (count > HOT_BLOCKS)[place]
+        hot = (count > HOT_BLOCKS) | (np.bincount(place, weights=often, minlength=len(count)) > 0)
+        shared, hot = ((count > 1) | several)[place], hot[place]
         cut = np.cumsum(sizes)[:-1]
         bits = [[_blob(np.packbits(x)) for x in np.split(y, cut)] for y in (shared, hot)]
         total = [int(x.sum()) for x in np.split(shared, cut)]
@@ -244,7 +248,7 @@ def shared_values(packed: DataFrame, n_buckets: int) -> DataFrame:
             names=["block", "bucket", "n", "n_shared", "shared", "hot"],
         )
 
-    sent = packed.mapInArrow(send, "bucket long, block long, values binary, many binary")
+    sent = packed.mapInArrow(send, "bucket long, block long, values binary, many binary, often binary")
     return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, n_shared long, shared binary, hot binary")
 
 
@@ -275,7 +279,8 @@ class SharedRuns:
             place = np.searchsorted(distinct, keys[at : at + len(p.row)])
             at += len(p.row)
             use = shared[place] & valid[p.row]
-            hot = hot_values[place] & use
+            # a run longer than one string can cause comes from a repeating text: few windows, many places
+            hot = (hot_values[place] | (p.end - p.start > LENGTH - PART)) & use
             cold = use & ~hot
             n = (p.end - p.start + 1)[hot]
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -350,6 +355,19 @@ def settled_kinds(placed: DataFrame, bits: DataFrame, n_buckets: int, n_out: int
     return sent.groupBy("bucket").applyInArrow(answer, "block long, bucket long, n long, gone binary, open binary")
 
 
+def merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(row, first, last window) with overlapping and neighbouring ranges of a row joined."""
+    if not len(row):
+        return np.empty((0, 3), np.int64)
+    order = np.lexsort((first, row))
+    shift = row[order].astype(np.int64) << 33  # beyond any place in a document
+    start, end = shift + first[order], np.maximum.accumulate(shift + last[order])
+    new = np.append(True, start[1:] > end[:-1] + 1)
+    stop = end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
+    rows = row[order][new]
+    return np.stack([rows, first[order][new], stop - (rows.astype(np.int64) << 33)], axis=1).astype(np.int64)
+
+
 RUNS = "bucket long, block long, groups binary, sizes binary, docs binary, rows binary, places binary, bytes binary, done binary"
 _RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("groups", "sizes", "docs", "rows", "places", "bytes", "done"))])
 
@@ -365,17 +383,19 @@ def open_runs(placed: DataFrame, bits: DataFrame, kinds: DataFrame, n_buckets: i
             runs = SharedRuns(row, n_buckets, n_out, with_bytes=True)
             gone, is_open = (_flags(row["kinds"], x) for x in ("gone", "open"))
             over = gone[runs.kind] | (runs.doc > runs.kind_doc[runs.kind])
-            done = np.stack([runs.row[over], runs.at[over], runs.at[over] + runs.size[over] - LENGTH], axis=1).astype(np.int64)
+            done = merged(runs.row[over], runs.at[over], runs.at[over] + runs.size[over] - LENGTH)
             go = np.flatnonzero(is_open[runs.kind] & ~over)
             bucket = runs.kind_bucket[runs.kind[go]]
             order = np.argsort(bucket, kind="stable")
             go, bucket = go[order], bucket[order]
             begins = np.cumsum(runs.size) - runs.size
-            for b, a, z in _by_bucket(bucket) if len(go) else [(row["block"] % n_out, 0, 0)]:
+            parts = _by_bucket(bucket) if len(go) else [(row["block"] % n_out, 0, 0)]
+            carrier = row["block"] % len(parts)  # one of the block's rows takes what is settled, another one for each block
+            for k, (b, a, z) in enumerate(parts):
                 i = go[a:z]
                 out = (
                     b, row["block"], _blob(runs.group[i]), _blob(runs.size[i].astype(np.uint32)), _blob(runs.doc[i]), _blob(runs.row[i].astype(np.uint32)), _blob(runs.at[i].astype(np.uint32)),
-                    _blob(_gather(runs.data, begins[i], runs.size[i])), _blob(done) if not a else b"",
+                    _blob(_gather(runs.data, begins[i], runs.size[i])), _blob(done) if k == carrier else b"",
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, _RUNS)], schema=_RUNS)
 
