@@ -110,6 +110,7 @@ def test_repeats(docs, rows, nothing):
 
 def test_repeats_with_small_blocks_panels_and_hot_values(spark, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 1)
     few = rows[40:75]
     df = spark.createDataFrame([(d, t) for d, t, *_ in few], "doc_id long, text string").repartition(8)
     assert found_repeats(suffix_dedup.remove_repeats(df, with_bytes=False)) == brute_repeats(few)
