@@ -8,8 +8,9 @@ runs are compared by bytes; hashes (64 bits beside the value) recognise equal on
    equal values, and neighbouring windows mostly share one: they form a run. Blocks send only their distinct values to
    buckets and get back one bit each: does another document have it?
 3. Runs with a shared value meet by that value, at first as hashes of their bytes. Runs of one value and hash are one kind: all
-   but the smallest document's are removed. Values found in very many blocks, or very often in one, are dealt as single windows by window hash, so
-   no value gathers many rows.
+   but the smallest document's are removed. Values found in very many blocks, or very often in one, or with a run too long to be
+   of one short string (a repeating text) are dealt as single windows by window hash, in all blocks alike, so no value gathers
+   many rows and equal windows always meet.
 4. Where unequal runs meet, the bytes of one run of each kind are joined to one text. Its Burrows-Wheeler transform is searched breadth-first: an interval of
    suffixes that begin with w is extended backward to cw for each character c before it. Each extension that ends at a
    boundary not seen before fixes the common prefix there, by increasing value, and goes on; at LENGTH the search stops.
@@ -42,7 +43,7 @@ PANEL_BYTES = 1_000_000
 BUCKET_BYTES = 2_000_000
 #: A blocking value in more blocks than this is dealt window by window.
 HOT_BLOCKS = 1024
-#: So is one with more runs than this in a block.
+#: So is one with more runs than this in a block, or with a run of more than LENGTH - PART + 1 windows anywhere.
 HOT_RUNS = 200
 
 _U = np.uint64
@@ -216,14 +217,17 @@ def shared_values(packed: DataFrame, n_buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            _, keys, _, docs, _ = _block_runs(row, n_buckets)
+            found, keys, _, docs, _ = _block_runs(row, n_buckets)
             if not len(keys):
                 continue
             order = np.argsort(keys)
             keys, docs = keys[order], docs[order]
+            n_windows = np.concatenate([p.end - p.start + 1 for p in found])[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             many = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
             often = np.diff(np.append(first, len(keys))) > HOT_RUNS
+            # a run longer than one string can cause comes from a repeating text: few windows, many places
+            often |= np.maximum.reduceat(n_windows, first) > LENGTH - PART + 1
             keys = keys[first]
             bucket = (keys >> _U(32)).astype(np.int64)
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
@@ -279,8 +283,7 @@ class SharedRuns:
             place = np.searchsorted(distinct, keys[at : at + len(p.row)])
             at += len(p.row)
             use = shared[place] & valid[p.row]
-            # a run longer than one string can cause comes from a repeating text: few windows, many places
-            hot = (hot_values[place] | (p.end - p.start > LENGTH - PART)) & use
+            hot = hot_values[place] & use  # by value alone: a short run must meet a long one's windows
             cold = use & ~hot
             n = (p.end - p.start + 1)[hot]
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)

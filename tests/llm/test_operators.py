@@ -116,6 +116,15 @@ def test_repeats_with_small_blocks_panels_and_hot_values(spark, rows, monkeypatc
     assert found_repeats(suffix_dedup.remove_repeats(df, with_bytes=False)) == brute_repeats(few)
 
 
+def test_repeats_of_short_and_long_runs_of_one_value(spark):
+    rng = random.Random(6)
+    made = [f"{words(rng, 8)}\n{rule}\n{words(rng, 8)}" for unit in ("-", "=-", "| a ") for rule in ((unit * 5000)[:n] for n in (60, 80, 5000, 55, 70))]
+    for texts in (made, made[::-1]):
+        few = list(enumerate(texts))
+        df = spark.createDataFrame(few, "doc_id long, text string").repartition(4)
+        assert found_repeats(suffix_dedup.remove_repeats(df, with_bytes=False)) == brute_repeats(few)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=1, max_size=300).map(lambda b: bytes(x % 3 for x in b)), st.integers(9, 14))
 def test_equal_strings(raw, length):
