@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, near_dedup, packing, quality_rules, suffix_dedup
 
+#: Hundredths from which on two texts are near duplicates.
+NEAR = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; of rows with one doc_id, one."""
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, NEAR)
     gone = decontaminate.small(decontaminate.durable(found.filter(~F.col("kept")).select("doc_id").distinct()))
     out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -10,8 +10,9 @@
    confirming, as they can't change groups; all pairs between groups get confirmed in the end.
 4. Groups are the connected components of confirmed links (large star, small star), computed by joins.
 
-Two texts of similarity 0.85 agree on a tree's first value with probability 0.85, on its first three with 0.61; sixteen
-trees miss both with probability below 1e-6.
+Two texts of similarity 0.85 agree on a tree's first value with probability 0.85, on its first three with 0.61; no tree of
+sixteen agrees on the first three with probability below 1e-6 (1e-5 at 0.8, with 0.51). These figures are about common
+prefixes only: where many rows share a prefix, a partner can stand further away than BESIDE rows in every tree.
 
 Defined results: null or empty text and text of white space alone has no shingles and is a group of its own; fewer than 5
 words are one shingle; rows with the same doc_id are one document; a null doc_id is linked with nothing and kept; an
@@ -21,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,8 @@ from plumbline.llm.decontaminate import small
 SHINGLE = 5
 TREES, DEPTH = 16, 6
 BESIDE = 2
-#: Link when 100 * intersection >= SIMILARITY * union.
+#: Link when 100 * intersection >= similarity * union; this is what the operator's query asks for.
 SIMILARITY = 85
-#: Pairs whose estimate is lower are not looked at: five standard deviations of a 96-value estimate.
-LEAST_ESTIMATE = SIMILARITY / 100 - 5 * (0.85 * 0.15 / (TREES * DEPTH)) ** 0.5
 SEED = 97
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 250_000
@@ -114,6 +114,12 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
+def least_estimate(similarity: int) -> float:
+    """Pairs whose estimate is lower are not looked at: five standard deviations of a 96-value estimate."""
+    share = similarity / 100
+    return share - 5 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
+
+
 SCANNED = "a long, b long, estimate double, tree int, key binary, id long, sketch binary"
 SCANNED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64()), ("tree", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sketch", pa.binary())])
 
@@ -122,8 +128,9 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (tree, key, id): pairs of near neighbours with a common prefix, and the rows at both edges."""
+def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (tree, key, id): pairs of near neighbours with a common prefix and an estimate of `least` or more, and the
+    rows at both edges."""
     held = None
     first: list[tuple] = []
     last: list[tuple] = []
@@ -147,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             apart = sketch[i] ^ sketch[i - by]
             agree = ((apart & 15) == 0).mean(axis=1) / 2 + ((apart >> 4) == 0).mean(axis=1) / 2
             estimate = (agree - 1 / 16) / (15 / 16)
-            good = estimate >= LEAST_ESTIMATE
+            good = estimate >= least
             i, estimate = i[good], estimate[good]
             if len(i):
                 a, b = np.minimum(ids[i], ids[i - by]), np.maximum(ids[i], ids[i - by])
@@ -160,18 +167,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, similarity: int) -> DataFrame:
     """classes: id, sig, sketch. Pairs a < b of ids with their greatest estimate."""
+    scan = partial(_scan, least=least_estimate(similarity))
     order = ["tree", "key", "id"]
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)]))
     rows = classes.select(trees.alias("t"), "id", "sketch").select("t.tree", "t.key", "id", "sketch")
-    scanned = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SCANNED))
+    scanned = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, SCANNED))
     # at most 2 * BESIDE rows of each partition, whatever the input: one task sees them in order
-    edges = scanned.filter(F.col("key").isNotNull()).select("tree", "key", "id", "sketch").coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, SCANNED)
+    edges = scanned.filter(F.col("key").isNotNull()).select("tree", "key", "id", "sketch").coalesce(1).sortWithinPartitions(*order).mapInArrow(scan, SCANNED)
     return scanned.unionByName(edges).filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
     """Those of the pairs whose full shingle sets are similar enough. A document is in few pairs, so no key is hot."""
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = durable(documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi"))
@@ -182,7 +190,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             for s, t in zip(b.column(2), b.column(3)):
                 x, y = shingle_set(s.as_py()), shingle_set(t.as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
+                keep.append(100 * shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
@@ -206,15 +214,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def link(classes: DataFrame, documents: DataFrame) -> DataFrame:
+def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
     """id and root of all classes that have a confirmed link."""
-    pairs = durable(candidates(classes))
+    pairs = durable(candidates(classes, similarity))
     links, take = None, 1
     while not pairs.isEmpty():
         ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
         chosen = durable(ends.withColumn("rank", rank).filter(F.col("rank") <= take).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = confirmed(chosen, documents)
+        found = confirmed(chosen, documents, similarity)
         roots = durable(components(found if links is None else links.unionByName(found)))
         links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
         root_of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
@@ -224,13 +232,13 @@ def link(classes: DataFrame, documents: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("root")) if links is not None else classes.select("id", F.col("id").alias("root")).limit(0)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, kept. Texts are linked from `similarity` hundredths on."""
     signed = durable(signatures(documents))
     same = ["n_shingles", "h1", "h2"]
     grouped = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("x"))
     classes = durable(grouped.select(*same, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), F.col("x.sketch").alias("sketch")))
-    roots = link(classes.select("id", "sig", "sketch"), documents)
+    roots = link(classes.select("id", "sig", "sketch"), documents, similarity)
     rooted = classes.select(*same, "id").join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("doc_id", *same).join(rooted, same, "left")
     found = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

@@ -39,6 +39,23 @@ def test_stages(spark, tmp_path):
     assert DOCUMENTS.startswith("doc_id")
 
 
+def test_near_duplicates_link_at_four_fifths(spark):
+    rng = random.Random(12)
+    rows, shares = [], []
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for k in range(40):
+        first = words(rng, 200)
+        own = rng.randint(12, 25)  # words at the end that differ
+        second = " ".join(first.split()[: 200 - own]) + " " + words(rng, own)
+        rows += [(2 * k, first), (2 * k + 1, second)]
+        x, y = shingles(first), shingles(second)
+        shares.append(100 * len(x & y) / len(x | y))
+    want = {d for d, _ in rows} - {2 * k + 1 for k, s in enumerate(shares) if s >= 80}
+    assert sum(81 <= s <= 84 for s in shares) >= 3 and min(shares) < 80
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
