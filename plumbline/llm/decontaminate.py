@@ -7,8 +7,10 @@ occurs. Steps:
 1. Places of documents whose shingle also occurs in an item. A window that is similar enough has enough such places, and
    moving a window right to the first of them loses none, so windows that start at one and hold enough are all there is.
 2. SimHash fingerprints of those windows and of the items. Fingerprints are cut into RADIUS + 1 blocks; two that differ in
-   at most RADIUS bits agree in a block, so joining by (item, block, value) finds all within the radius. At similarity 0.8
-   each of 64 bits differs with probability acos(8/9) / pi = 0.15, so a radius of 24 misses about one in a million.
+   at most RADIUS bits agree in a block, so joining by (item, block, value) finds all within the radius. Repeats of a shingle
+   vote as shingles of their own, so bits are independent. At similarity 0.8 each of 64 bits differs with probability
+   acos(8/9) / pi = 0.15 for long items and 0.19 for the worst of up to 120 shingles, counted out (a window of 4, an item of
+   5), so a radius of 30 misses less than one in ten million. The blocks find no new windows, step 1 has all of them.
 3. Exact similarity of what is left.
 
 Words are those between white space, A-Z lower-cased; an item of fewer than 5 words is one shingle, its whole sequence.
@@ -29,7 +31,7 @@ from plumbline.llm.common import durable, lower_ascii, table, words_of
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-RADIUS = 24
+RADIUS = 30
 #: Rows up to which a table of fixed-size rows is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -49,6 +51,12 @@ def shingles(words: Column, k: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>")))
 
 
+def occurrences(hashes: Column) -> Column:
+    """The hashes, each repeat of one as a hash of its own: shared weight becomes the number of shared values."""
+    number = lambda s: F.transform(s, lambda h, i: let(i + 1 - F.array_position(s, h).cast("int"), lambda n: F.when(n == 0, h).otherwise(F.xxhash64(h, n))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(let(F.sort_array(hashes), number))
+
+
 def simhash(hashes: Column) -> Column:
     """64 bits; each is set where more than half of the shingles, repeats included, have it set."""
     n = F.size(hashes)
@@ -97,9 +105,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     texts = seen.join(small(wanted), same & (F.col("k") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "key", "k"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k"), "s")
     windows = windows.join(texts, same & (F.col("k") == F.col("_k"))).select("doc_id", "key", "item", "k", "n_item", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
-    windows = durable(windows.withColumn("print", simhash(F.col("h"))).withColumn("window", F.monotonically_increasing_id()))
+    windows = durable(windows.withColumn("print", simhash(occurrences(F.col("h")))).withColumn("window", F.monotonically_increasing_id()))
 
-    prints = durable(items.withColumn("item_print", simhash(F.col("h"))).select("item", "item_print"))
+    prints = durable(items.withColumn("item_print", simhash(occurrences(F.col("h")))).select("item", "item_print"))
     left = windows.select("window", "item", "print", F.explode(blocks(F.col("print"))).alias("b")).select("window", "item", "print", "b.block", "b.value")
     right = prints.select("item", "item_print", F.explode(blocks(F.col("item_print"))).alias("b")).select("item", "item_print", "b.block", "b.value")
     near = left.join(small(durable(right)), ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("window").distinct()

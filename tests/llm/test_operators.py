@@ -305,6 +305,18 @@ def test_leaks(spark, docs, rows, nothing):
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_that_differ_in_a_repeated_phrase(spark):
+    rng = random.Random(21)
+    items, leaky = [], []
+    for i in range(40):
+        passage = words(rng, 118)
+        items.append((i, f"{passage} {'. ' * 14}".strip()))  # the last ten shingles are one
+        leaky.append((i, f"{words(rng, 20)} {passage} {'~ ' * 14}{words(rng, 20)}"))
+    got = decontaminate.find_leaks(spark.createDataFrame(leaky, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(leaky, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) == 40
+
+
 # ---------------------------------------------------------------- 7
 
 
