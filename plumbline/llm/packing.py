@@ -1,9 +1,11 @@
 """Best-fit packing of tokenized documents into sequences (operator 9).
 
-Hierarchical residual packing. Each partition packs its pieces best-fit decreasing, block by block; bins that are nearly
-full are final. What is left over of each bin counts as one item: underfull bins of several partitions meet and are packed
-best-fit again, in a tree of rounds whose width falls by FAN_IN until one group is left. A group hands on at most
-CARRIED bins, those with the most room (others are final), so no task sees more than FAN_IN * CARRIED items.
+Hierarchical residual packing. Each partition packs its pieces best-fit decreasing, block by block. What is left over of each
+bin counts as one item: underfull bins of several partitions meet and are packed best-fit again, in a tree of rounds whose
+width falls by FAN_IN until one group is left. A group hands on at most CARRIED bins, those with the most room, so no task
+sees more than FAN_IN * CARRIED items. In the last round, all bins that are still underfull, handed on or not, are taken apart
+and their pieces packed all together by counts: there are at most CAPACITY lengths, so a best-fit decreasing over (length,
+count) is small, and pieces take its places by their rank. It stands where it needs fewer bins.
 
 Defined results: null or empty text is one piece that holds id 0 alone; only documents longer than a sequence are cut;
 repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
@@ -19,14 +21,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, table
+from plumbline.llm.decontaminate import small
 
 CAPACITY = 2048
 END_ID = 0
-#: A bin with less room than this is final at once.
+#: A bin with less room than this is final at once; it gains too little from another round.
 NEARLY_FULL = 8
 FAN_IN = 16
 CARRIED = 2_000
@@ -138,12 +141,15 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
     return bins, offsets, fill
 
 
+OUT = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+#: Sequences of the last round are numbered from here on; others have the number of a partition's bin.
+NEW_BINS = 1 << 62
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long, open boolean"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_())])
 
 
 def emptiest(fill: list[int]) -> set[int]:
-    """The bins to hand on: not nearly full, those with the most room first."""
+    """The bins to hand on to the next round: not nearly full, those with the most room first. Others wait for the last."""
     return set(sorted((b for b in range(len(fill)) if CAPACITY - fill[b] >= NEARLY_FULL), key=lambda b: (fill[b], b))[:CARRIED])
 
 
@@ -199,12 +205,55 @@ def _merge_round(bins: DataFrame, groups: int) -> DataFrame:
     return bins.withColumn("group", F.col("group") % groups).groupBy("group").applyInArrow(run, MOVES)
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Best-fit decreasing of counts[size] items of each size: (size, rank, n, instance, each, at) says that the n items from
+    that rank on go to bins from that instance on, `each` to a bin, the first at that offset. Like bins are one entry. Also the number of bins."""
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first instance, how many)
+    places, rooms, n_bins = [], 0, 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            if fitting := rooms >> size:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, many = by_room[room].pop()
+                if not by_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, many = capacity, n_bins, -(-left // (capacity // size))
+                n_bins += many
+            each = min(room // size, left)
+            take = min(many, left // each)
+            places.append((size, rank, take * each, first, each, capacity - room))
+            rank, left = rank + take * each, left - take * each
+            for r, f, m in ((room - each * size, first, take), (room, first + take, many - take)):
+                if m and r:
+                    by_room[r].append((f, m))
+                    rooms |= 1 << r
+    return places, n_bins
+
+
+def _repacked(pieces: DataFrame, places: list[tuple]) -> DataFrame:
+    """pieces, of unique (bin, local), with the sequence and offset that `places` has for them."""
+    places = pieces.sparkSession.createDataFrame(places, "_length long, _from long, _n long, _first long, _each long, _at long")
+    # ranks within a length: those of a part, after the parts before it
+    pieces = pieces.withColumn("part", F.shiftright(F.col("bin"), 40))
+    parts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("bin", "local")) - 1)
+    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    within = F.col("rank") - F.col("_from")
+    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & within.between(F.lit(0), F.col("_n") - 1))
+    return placed.withColumn("sequence_id", F.lit(NEW_BINS) + F.floor(within / F.col("_each")) + F.col("_first")).withColumn("offset", F.col("_at") + within % F.col("_each") * F.col("length"))
+
+
 def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = durable(local_pieces(documents, tokenizer or default_tokenizer()))
     group = F.shiftright(F.col("bin"), 40)
     rooms = pieces.filter("open").select("bin", "fill").distinct()
     open_bins = durable(rooms.select("bin", "fill", group.alias("group")))
+    underfull = F.col("fill") <= CAPACITY - NEARLY_FULL
+    rest = pieces.filter(~F.col("open") & underfull).select("bin", "fill").distinct()
     width = (open_bins.agg(F.max("group")).first()[0] or 0) + 1
     moved = None  # bin, root, at: where each bin of the first level is now
     while True:
@@ -217,16 +266,25 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
             on = step.select(F.col("bin").alias("root"), F.col("root").alias("_root"), F.col("at").alias("_at"))
             moved = moved.join(on, "root", "left").select("bin", F.coalesce("_root", "root").alias("root"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"))
         moved = durable(moved)
+        heads = step.filter(F.col("bin") == F.col("root"))
+        rest = rest.unionByName(heads.filter(underfull if groups == 1 else ~F.col("open") & underfull).select("bin", "fill"))
         if groups == 1:
             break
-        heads = step.filter("open").filter(F.col("bin") == F.col("root"))
+        heads = heads.filter("open")
         level = open_bins.select("bin", F.floor(F.col("group") / FAN_IN).alias("group"))
         open_bins = heads.select("bin", "fill").join(level, "bin")
         width = groups
-    moves = moved.select("bin", F.col("root").alias("_root"), F.col("at").alias("_at"))
-    return pieces.join(moves, "bin", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("_root", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("offset")
-    )
+    rest = durable(rest)
+    here = pieces.withColumnRenamed("at", "local").join(moved, "bin", "left")
+    here = here.withColumn("sequence_id", F.coalesce("root", "bin")).withColumn("offset", F.col("local") + F.coalesce("at", F.lit(0)))
+    here = here.join(small(rest.select(F.col("bin").alias("sequence_id"), F.lit(True).alias("loose"))), "sequence_id", "left")
+    here = durable(here.select(*OUT, "bin", "local", F.coalesce("loose", F.lit(False)).alias("loose")))
+    loose = here.filter("loose")
+    counts = {r.length: r.n for r in loose.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most CAPACITY rows
+    places, n_bins = best_fit_counts(counts)
+    if n_bins >= rest.count():
+        return here.select(*OUT)
+    return here.filter(~F.col("loose")).select(*OUT).unionByName(_repacked(loose.drop("sequence_id", "offset"), places).select(*OUT))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -426,6 +426,42 @@ def test_merge_rounds(spark, monkeypatch):
     assert len(got) == 90 and max(used.values()) <= packing.CAPACITY and len(used) <= math.ceil(sum(used.values()) / packing.CAPACITY) + 2
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, packing.CAPACITY) | st.sampled_from([100, 900, 1100]), max_size=300))
+def test_best_fit_of_counts(sizes):
+    by_bin, seen = defaultdict(list), Counter()
+    places, n_bins = packing.best_fit_counts(Counter(sizes))
+    for size, rank, n, instance, each, at in places:
+        assert rank == seen[size]
+        seen[size] += n
+        for k in range(n):
+            by_bin[instance + k // each].append((at + k % each * size, size))
+    assert seen == Counter(sizes) and set(by_bin) == set(range(n_bins)) and n_bins == len(packing.best_fit(sizes)[2])
+    for items in by_bin.values():
+        at = 0
+        for offset, size in sorted(items):
+            assert offset == at
+            at += size
+        assert at <= packing.CAPACITY
+
+
+def test_bins_that_are_not_handed_on_are_matched(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CARRIED", 2)
+    unit = len(packing.encoder_of(packing.default_tokenizer()).ids("ka ")) // 4
+    texts = ["ka " * (n // unit) for n in [1100] * 60 + [900] * 60]  # sorted: no partition can match them alone
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(6, "doc_id")
+    by = defaultdict(list)
+    for r in packing.pack(df).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 120 and len(by) == 60
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
 # ---------------------------------------------------------------- 10
 
 
