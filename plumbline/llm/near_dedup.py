@@ -2,17 +2,19 @@
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes) and a MinHash signature of TREES x DEPTH values. Texts with
    one set are one class from here on, so groups of copies of any size count as one row.
-2. Each tree sorts all signatures by its own DEPTH values, across the cluster. A row's candidates are the rows beside it: they
-   share the longest prefixes, so depth adapts to how crowded a region is, no region is ever gathered, and a row has at
-   most 2 * BESIDE * TREES candidates. Rows at the edges of sorted partitions are matched in a second small pass.
-   A 4-bit sketch of the signature travels along and drops pairs that are five standard deviations below the threshold.
-3. Links are confirmed on full shingle sets, each document's likeliest pairs first. Pairs inside a group found so far need no
-   confirming, as they can't change groups; all pairs between groups get confirmed in the end.
-4. Groups are the connected components of confirmed links (large star, small star), computed by joins.
-
-Two texts of similarity 0.85 agree on a tree's first value with probability 0.85, on its first three with 0.61; no tree of
-sixteen agrees on the first three with probability below 1e-6 (1e-5 at 0.8, with 0.51). These figures are about common
-prefixes only: where many rows share a prefix, a partner can stand further away than BESIDE rows in every tree.
+2. Each tree sorts all signatures by its own DEPTH values, across the cluster. The rows beside a row share the longest
+   prefixes with it; each row's two best neighbours are confirmed on full shingle sets, and groups are the connected
+   components of confirmed links (large star, small star), computed by joins. This settles crowds of copies.
+3. What is left is a question of regions: all rows of a tree that share its first SHARED values. Two texts of the
+   threshold's similarity s share a region of one tree at least, but for a chance of (1 - s ** SHARED) ** TREES: 5e-9 at
+   0.85, 6e-7 at 0.8. In a region, pairs of different groups are compared by the parity of their shingles' hash bits, a
+   bound that never rules out a true link. Depth adapts to the region: one in which more than REGION rows
+   are outside its largest group is walked again with deeper keys and more trees (LEVELS), which keeps that chance below 1e-6;
+   what stays crowded at the last level is dealt in blocks of rows, two by two. A region gives a spanning forest of what the
+   bound leaves; those pairs are confirmed, and only regions with a pair that fails give all their pairs.
+
+So no row has a limit on partners. A crowd of texts that differ from each other by little more than the threshold allows, without
+links to merge them, is compared row by row in blocks: its cost grows with the square of its distinct texts.
 
 Defined results: null or empty text and text of white space alone has no shingles and is a group of its own; fewer than 5
 words are one shingle; rows with the same doc_id are one document; a null doc_id is linked with nothing and kept; an
@@ -34,8 +36,15 @@ from plumbline.llm.common import durable, table
 from plumbline.llm.decontaminate import small
 
 SHINGLE = 5
-TREES, DEPTH = 16, 6
+TREES, DEPTH = 20, 5
+#: Rows on either side of a row that are looked at first.
 BESIDE = 2
+#: Values of a tree that make a region.
+SHARED = 3
+#: Rows outside a region's largest group that one task compares with the rest of it.
+REGION = 4096
+#: Values and trees of the regions that follow where a region is crowded: a pair at 0.8 is missed with a chance of 5e-7.
+LEVELS = ((6, 48),)
 #: Link when 100 * intersection >= similarity * union; this is what the operator's query asks for.
 SIMILARITY = 85
 SEED = 97
@@ -76,111 +85,246 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-_r = np.random.RandomState(SEED)
-_A = (_r.randint(0, 2**32, TREES * DEPTH, np.uint64) << _U(32) | _r.randint(0, 2**32, TREES * DEPTH, np.uint64)) | _U(1)
-_B = _r.randint(0, 2**63, TREES * DEPTH, np.uint64)
+def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.RandomState(seed)
+    return (r.randint(0, 2**32, n, np.uint64) << _U(32) | r.randint(0, 2**32, n, np.uint64)) | _U(1), r.randint(0, 2**63, n, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minima, 32 bits each."""
-    best = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
+_FOREST = _functions(TREES * DEPTH, SEED)
+
+
+def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _FOREST) -> np.ndarray:
+    """The minimum of each function, 32 bits each."""
+    a, b = functions
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(shingles), 1024):
-        values = (shingles[at : at + 1024, None] * _A + _B) >> _U(32)
+        values = (shingles[at : at + 1024, None] * a + b) >> _U(32)
         best = np.minimum(best, values.min(axis=0).astype(np.uint32))
     return best
 
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
+def parity(shingles: np.ndarray) -> bytes:
+    """Bits, four or more for each shingle, at most 2 ** 16; each is the parity of the shingles that fall on it. Two sets differ in as many shingles
+    at least as their bits differ."""
+    n_bits = 1 << min(16, max(9, (4 * len(shingles) - 1).bit_length()))
+    at = (_mix(shingles + _U(0x3C79AC492BA7B653)) & _U(n_bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n_bits) & 1).astype(np.uint8)).tobytes()
+
+
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bits binary"
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """Per row: set size, two hashes of the whole set, the signature (big-endian) and its 4-bit sketch."""
+    """Per row: set size, two hashes of the whole set, the signature (big-endian) and the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, sigs, sketches = [], [], [], [], []
+            n, h1, h2, sigs, bits = [], [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py())
-                sig = signature(s)
-                low = (sig & np.uint32(15)).astype(np.uint8)
                 n.append(len(s))
                 h1.append(s.sum(dtype=_U))
                 h2.append(_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-                sigs.append(sig.astype(">u4").tobytes())
-                sketches.append((low[::2] << np.uint8(4) | low[1::2]).tobytes())
+                sigs.append(signature(s).astype(">u4").tobytes())
+                bits.append(parity(s))
             signed = lambda x: pa.array(np.array(x, _U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "bits"])
 
     return documents.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def least_estimate(similarity: int) -> float:
-    """Pairs whose estimate is lower are not looked at: five standard deviations of a 96-value estimate."""
-    share = similarity / 100
-    return share - 5 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
-
+SCANNED = "a long, b long, shared int, tree int, key binary, id long"
+_SCANNED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("id", pa.int64())])
 
-SCANNED = "a long, b long, estimate double, tree int, key binary, id long, sketch binary"
-SCANNED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64()), ("tree", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sketch", pa.binary())])
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (tree, key, id): pairs of neighbours in one region with the length of their common prefix, and the rows of
+    regions of two rows or more (of any number at the edges of the partition, where a region may go on in another)."""
 
-def _bytes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    def members(tree: np.ndarray, key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        keys = pa.array([k.tobytes() for k in key[:, :SHARED]], pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(tree), f.type) for f in list(_SCANNED)[:3]), pa.array(tree, pa.int32()), keys, pa.array(ids)], schema=_SCANNED)
 
-
-def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (tree, key, id): pairs of near neighbours with a common prefix and an estimate of `least` or more, and the
-    rows at both edges."""
     held = None
-    first: list[tuple] = []
-    last: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        first.extend(rows[: max(0, BESIDE - len(first))])
-        last = [*last, *rows[-BESIDE:]][-BESIDE:]
-        tree, key = batch.column(0).to_numpy(), _bytes(batch.column(1), 4 * DEPTH)[:, :4].copy().view(">u4")[:, 0]
-        ids, sketch = batch.column(2).to_numpy(), _bytes(batch.column(3), TREES * DEPTH // 2)
-        if held is not None:
-            tree, key, ids, sketch = (np.concatenate(x) for x in zip(held, (tree, key, ids, sketch)))
-        new = len(tree) - batch.num_rows
-        held = tuple(x[-BESIDE:] for x in (tree, key, ids, sketch))
+        rows = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH), batch.column(2).to_numpy()
+        old = 0
+        if held is None:
+            yield members(*(x[:1] for x in rows))
+        else:
+            old = len(held[0])
+            rows = tuple(np.concatenate(x) for x in zip(held, rows))
+        tree, key, ids = rows
+        held = tuple(x[-BESIDE:] for x in rows)
+        same = np.append((tree[1:] == tree[:-1]) & (key[1:, :SHARED] == key[:-1, :SHARED]).all(axis=1), False)  # with the next row
+        region = np.flatnonzero(same | np.append(False, same[:-1]))
+        region = region[(region >= max(old - 1, 0)) & (region < len(tree) - 1)]
+        if len(region):
+            yield members(tree[region], key[region], ids[region])
         for by in range(1, BESIDE + 1):
-            i = np.arange(max(new, by), len(tree))
-            i = i[(tree[i] == tree[i - by]) & (key[i] == key[i - by]) & (ids[i] != ids[i - by])]
-            if not len(i):
-                continue
-            apart = sketch[i] ^ sketch[i - by]
-            agree = ((apart & 15) == 0).mean(axis=1) / 2 + ((apart >> 4) == 0).mean(axis=1) / 2
-            estimate = (agree - 1 / 16) / (15 / 16)
-            good = estimate >= least
-            i, estimate = i[good], estimate[good]
+            i = np.arange(max(old, by), len(tree))
+            prefix = np.cumprod(key[i] == key[i - by], axis=1).sum(axis=1)
+            good = (tree[i] == tree[i - by]) & (prefix >= SHARED) & (ids[i] != ids[i - by])
+            i, prefix = i[good], prefix[good]
             if len(i):
                 a, b = np.minimum(ids[i], ids[i - by]), np.maximum(ids[i], ids[i - by])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(estimate), *(pa.nulls(len(i), f.type) for f in list(SCANNED_ARROW)[3:])], schema=SCANNED_ARROW)
-    edges = list(dict.fromkeys([*first, *last]))
-    if edges:
-        t, k, i, s = zip(*edges)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(t), f.type) for f in list(SCANNED_ARROW)[:3]), pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(i, pa.int64()), pa.array(s, pa.binary())], schema=SCANNED_ARROW
-        )
-
-
-def candidates(classes: DataFrame, similarity: int) -> DataFrame:
-    """classes: id, sig, sketch. Pairs a < b of ids with their greatest estimate."""
-    scan = partial(_scan, least=least_estimate(similarity))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(prefix, pa.int32()), *(pa.nulls(len(i), f.type) for f in list(_SCANNED)[3:])], schema=_SCANNED)
+    if held is not None:
+        yield members(*(x[-1:] for x in held))
+
+
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """classes: id, sig. Neighbours a < b with the sum of their common prefixes; and (tree, key, id) of regions that may hold two rows."""
     order = ["tree", "key", "id"]
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)]))
-    rows = classes.select(trees.alias("t"), "id", "sketch").select("t.tree", "t.key", "id", "sketch")
-    scanned = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, SCANNED))
-    # at most 2 * BESIDE rows of each partition, whatever the input: one task sees them in order
-    edges = scanned.filter(F.col("key").isNotNull()).select("tree", "key", "id", "sketch").coalesce(1).sortWithinPartitions(*order).mapInArrow(scan, SCANNED)
-    return scanned.unionByName(edges).filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    rows = classes.select(trees.alias("t"), "id").select("t.tree", "t.key", "id")
+    scanned = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SCANNED))
+    beside = scanned.filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return beside, scanned.filter(F.col("key").isNotNull()).select(*order).distinct()
+
+
+def deeper(documents: DataFrame, ids: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(tree, key, id) of the documents in ids (id, of any number) by `trees` other trees; a key has `depth` values."""
+    functions = _functions(depth * trees, SEED + depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                values = signature(shingle_set(text.as_py()), functions).reshape(trees, depth)
+                keys = pa.array([v.tobytes() for v in values], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(range(trees), pa.int32()), keys, pa.array([doc_id] * trees, pa.int64())], names=["tree", "key", "id"])
+
+    texts = documents.select("doc_id", "text").join(small(durable(ids.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "tree int, key binary, id long").distinct()
+
+
+class Compared:
+    """Rows of regions, with bit matrices by length; `apart` bounds the number of shingles in which pairs of rows differ."""
+
+    def __init__(self, bits: list[bytes]):
+        size = np.array([len(x) for x in bits], np.int64)
+        self.size, self.place, self.rows = size, np.empty(len(bits), np.int64), {}
+        for n in np.unique(size).tolist():
+            which = np.flatnonzero(size == n)
+            self.place[which] = np.arange(len(which))
+            self.rows[n] = np.frombuffer(b"".join(bits[i] for i in which), _U).reshape(len(which), -1)
+        self.folded = {n: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for n, x in self.rows.items()}
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        low, high = np.where(self.size[i] <= self.size[j], i, j), np.where(self.size[i] <= self.size[j], j, i)
+        for n in self.rows:
+            for other in (self.rows, self.folded):
+                m = n if other is self.rows else 2 * n
+                at = np.flatnonzero((self.size[low] == n) & (self.size[high] == m))
+                for k in range(0, len(at), 50_000):
+                    x = at[k : k + 50_000]
+                    out[x] = np.bitwise_count(self.rows[n][self.place[low[x]]] ^ other[m][self.place[high[x]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+PAIRS = "tree int, key binary, a long, b long"
+_PAIRS = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+#: Rows of whole regions that are compared at a time, at least.
+TOGETHER = 4_000
+
+
+def _compare(batches: Iterator[pa.RecordBatch], similarity: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by region: pairs of different groups that may be similar enough. All of them, or only as many as
+    join the groups that they can join."""
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {x: t.column(x).combine_chunks() for x in t.column_names}
+        region, ids, root, n = (cols[x].to_numpy() for x in ("region", "id", "root", "n"))
+        minor = cols["minor"].to_numpy(zero_copy_only=False)
+        rows = Compared(cols["bits"].to_pylist())
+        starts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        stops = np.append(starts[1:], len(region))
+        sizes = np.repeat(stops - starts, stops - starts)
+        few = sizes <= 64
+
+        def good(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keep = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            apart = rows.apart(i, j)
+            keep = (100 + similarity) * apart <= (100 - similarity) * (n[i] + n[j])
+            return i[keep], j[keep], apart[keep]
+
+        found = []
+        for by in range(1, min(64, int((stops - starts).max()))):
+            i = np.flatnonzero(few[by:] & (region[by:] == region[:-by])) + by
+            if len(i):
+                found.append(good(i, i - by))
+        for a, z in zip(starts.tolist(), stops.tolist()):
+            if z - a > 64:
+                everyone, some = np.arange(a, z), np.flatnonzero(minor[a:z]) + a
+                step = max(1, 500_000 // (z - a))
+                for k in range(0, len(some), step):
+                    i, j = np.repeat(some[k : k + step], z - a), np.tile(everyone, len(some[k : k + step]))
+                    once = ~minor[j] | (i < j)
+                    found.append(good(i[once], j[once]))
+        if not found:
+            return
+        i, j, apart = (np.concatenate(x) for x in zip(*found))
+        if not whole:
+            order = np.lexsort((apart, region[i]))
+            above: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(x: tuple[int, int]) -> tuple[int, int]:
+                while x in above:
+                    x = above[x]
+                return x
+
+            taken = []
+            for k in order.tolist():
+                x, y = top((region[i[k]], root[i[k]])), top((region[j[k]], root[j[k]]))
+                if x != y:
+                    above[x] = y
+                    taken.append(k)
+            i, j = i[taken], j[taken]
+        if len(i):
+            at = pa.array(i)
+            yield pa.RecordBatch.from_arrays([cols["tree"].take(at), cols["key"].take(at), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=_PAIRS)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size < TOGETHER:
+            continue
+        t = pa.Table.from_batches(held)
+        region = t.column("region").to_numpy()
+        done = np.flatnonzero(region != region[-1])
+        if len(done):
+            ready = int(done[-1]) + 1
+            yield from pairs_of(t.slice(0, ready).combine_chunks())
+            held = t.slice(ready).combine_chunks().to_batches()
+            size = t.num_rows - ready
+    if size:
+        yield from pairs_of(pa.Table.from_batches(held))
+
+
+def compared(members: DataFrame, regions: DataFrame, classes: DataFrame, similarity: int, whole: bool) -> DataFrame:
+    """members: tree, key, id, root; regions: tree, key, main, n_rows, n_minor; classes: id, n_shingles, bits. Pairs as _compare has them.
+
+    Rows of the region's largest group are dealt in blocks, the others go to each block; with more than REGION others, all rows are
+    dealt in blocks that meet two by two."""
+    here = members.join(small(regions), ["tree", "key"]).withColumn("minor", F.col("root") != F.col("main"))
+    own, every = F.pmod(F.xxhash64("id"), F.col("_blocks")), F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
+    here = here.withColumn("_blocks", F.ceil(F.col("n_rows") / F.lit(REGION // 2)).cast("long"))
+    crowded = F.col("n_minor") > REGION
+    two = F.transform(F.filter(every, lambda x: x != own), lambda x: F.least(x, own) * F.col("_blocks") + F.greatest(x, own))
+    parts = F.when(F.col("n_rows") <= REGION, F.array(F.lit(0).cast("long"))).when(crowded, two).when(F.col("minor"), every).otherwise(F.array(own))
+    here = here.withColumn("part", F.explode(parts)).join(classes.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
+    here = here.select("tree", "key", F.xxhash64("tree", "key", "part").alias("region"), "id", "root", "n", (F.col("minor") | crowded).alias("minor"), "bits")
+    return here.repartition("region").sortWithinPartitions("region", "id").mapInArrow(partial(_compare, similarity=similarity, whole=whole), PAIRS)
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs whose full shingle sets are similar enough. A document is in few pairs, so no key is hot."""
+    """Those of the pairs whose full shingle sets are similar enough."""
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = durable(documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi"))
 
@@ -214,31 +358,67 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the root of each id; links: id, root."""
+    return members.join(links, "id", "left").select("tree", "key", "id", F.coalesce("root", "id").alias("root"))
+
+
+def open_regions(members: DataFrame) -> DataFrame:
+    """Regions that hold more than one group: tree, key, main (the largest group), n_rows, n_minor (rows of others)."""
+    sizes = members.groupBy("tree", "key", "root").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("tree", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n_rows"), F.max("n").alias("most"), F.count("*").alias("groups"))
+    return regions.filter("groups > 1").select("tree", "key", "main", "n_rows", (F.col("n_rows") - F.col("most")).alias("n_minor"))
+
+
 def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
     """id and root of all classes that have a confirmed link."""
-    pairs = durable(candidates(classes, similarity))
-    links, take = None, 1
-    while not pairs.isEmpty():
-        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
-        chosen = durable(ends.withColumn("rank", rank).filter(F.col("rank") <= take).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = confirmed(chosen, documents, similarity)
-        roots = durable(components(found if links is None else links.unionByName(found)))
-        links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        root_of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-        rest = pairs.join(chosen, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        pairs = durable(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "estimate"))
-        take *= 8
-    return links.select(F.col("a").alias("id"), F.col("b").alias("root")) if links is not None else classes.select("id", F.col("id").alias("root")).limit(0)
+
+    def grown(links: DataFrame | None, found: DataFrame) -> DataFrame:
+        edges = found if links is None else links.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
+        return durable(components(edges))
+
+    beside, members = forest(classes)
+    ends = beside.unionByName(beside.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).filter("rank <= 2")
+    tested = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = grown(None, confirmed(tested, documents, similarity))
+    for depth, trees in (*LEVELS, (None, None)):
+        members = durable(members)
+        rooted = _rooted(members, links)
+        regions = durable(open_regions(rooted))
+        crowded = regions.filter(F.col("n_minor") > REGION)
+        more = depth is not None and not crowded.isEmpty()
+        if more:
+            regions = regions.filter(F.col("n_minor") <= REGION)
+        first = durable(compared(rooted, regions, classes, similarity, whole=False))
+        fresh = first.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        good = durable(confirmed(durable(fresh), documents, similarity))
+        links = grown(links, good)
+        # regions with a pair that isn't a link, and ends that are still apart
+        root_of = lambda x: links.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = first.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        again = durable(apart.select("tree", "key").distinct())
+        if not again.isEmpty():
+            tested = durable(tested.unionByName(first.select("a", "b").distinct()).distinct())
+            rooted = _rooted(members.join(small(again), ["tree", "key"], "left_semi"), links)
+            rest = compared(rooted, durable(open_regions(rooted)), classes, similarity, whole=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            rest = durable(rest)
+            links = grown(links, confirmed(rest, documents, similarity))
+            tested = durable(tested.unionByName(rest))
+        if not more:
+            return links
+        ids = members.join(small(crowded.select("tree", "key")), ["tree", "key"], "left_semi").select("id")
+        members = deeper(documents, ids, depth, trees)
+    return links
 
 
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept. Texts are linked from `similarity` hundredths on."""
     signed = durable(signatures(documents))
     same = ["n_shingles", "h1", "h2"]
-    grouped = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("x"))
-    classes = durable(grouped.select(*same, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), F.col("x.sketch").alias("sketch")))
-    roots = link(classes.select("id", "sig", "sketch"), documents, similarity)
+    grouped = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min(F.struct("doc_id", "sig", "bits")).alias("x"))
+    classes = durable(grouped.select(*same, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), F.col("x.bits").alias("bits")))
+    roots = link(classes.select("id", "n_shingles", "sig", "bits"), documents, similarity)
     rooted = classes.select(*same, "id").join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("doc_id", *same).join(rooted, same, "left")
     found = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

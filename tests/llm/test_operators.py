@@ -465,7 +465,7 @@ def test_bins_that_are_not_handed_on_are_matched(spark, monkeypatch):
 # ---------------------------------------------------------------- 10
 
 
-def brute_groups(rows):
+def brute_groups(rows, similarity=85):
     sets, root = {}, {}
     for d, t, *_ in rows:
         w = (t or "").encode().lower().split()
@@ -481,7 +481,7 @@ def brute_groups(rows):
     for a in sets:
         for b in sets:
             shared = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+            if a < b and sets[a] and sets[b] and 100 * shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
@@ -497,6 +497,45 @@ def test_near_duplicates(docs, rows, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def crowd(rng, pairs, n_words=300):
+    """Texts that differ from a common one by four own words each, and for each of them a partner with four more: only partners are similar enough."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
+    texts = []
+    for k in range(pairs):
+        one = list(base)
+        places = rng.sample(range(n_words), 8)
+        for p in places[:4]:
+            one[p] = f"own{k}x{p}"
+        two = list(one)
+        for p in places[4:]:
+            two[p] = f"more{k}x{p}"
+        texts += [one, two]
+    order = list(range(2 * pairs))
+    rng.shuffle(order)
+    return [(order[i], " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("region", [4096, 60])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, region):
+    monkeypatch.setattr(near_dedup, "REGION", region)  # 60: regions are walked again with deeper keys, then dealt in blocks
+    few = crowd(random.Random(31), 150)
+    want = {d: c for d, (_, c) in brute_groups(few).items()}
+    assert len(set(want.values())) > 60
+    df = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_parities_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    for n in (1, 5, 60, 127, 129, 400, 3000, 40000):
+        x = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(0.9 * len(x))], rng.randint(0, 2**62, max(n // 10, 1)).astype(np.uint64)]))
+        bound = near_dedup.Compared([near_dedup.parity(x), near_dedup.parity(y)]).apart(np.array([0, 1]), np.array([1, 0]))
+        assert bound[0] == bound[1] <= len(np.setxor1d(x, y))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (50, 300), (7, 7)]
     random.Random(0).shuffle(links)
