@@ -69,8 +69,8 @@ def repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
 
 
 def measures(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of the contract, base_failed and the grid cells of MEASURES."""
-    df = documents.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_t"))
+    """doc_id, lang, source, text_key (xxhash64 of the text), the counts of the contract, base_failed and the grid cells of MEASURES."""
+    df = documents.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("_t"), F.xxhash64("text").alias("text_key"))
     df = df.withColumn("_w", words_of(F.col("_t")))
     df = repeat_words(df, "_w", "n_repeat_words")
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
@@ -78,6 +78,7 @@ def measures(documents: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "text_key",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", SEPARATOR_CHARS, "")).cast("long").alias("word_chars"),
         _n_chars_in(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -131,7 +132,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def apply_rules(documents: DataFrame) -> DataFrame:
-    """A row per document: doc_id, lang, source, counts, base_failed and kept."""
+    """A row per document: doc_id, lang, source, text_key, counts, base_failed and kept."""
     measured = durable(measures(documents))
     limits = durable(thresholds(sketches(measured))).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -142,13 +143,13 @@ def apply_rules(documents: DataFrame) -> DataFrame:
         if side == "both":
             good &= F.col(m) >= F.col(f"low_{m}")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(good, F.lit(False)).alias("kept"))
+    return joined.select("doc_id", "lang", "source", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(good, F.lit(False)).alias("kept"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     from plumbline.llm.common import table
 
-    return apply_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
+    return apply_rules(table(spark, sf_dir, "documents")).drop("lang", "source", "text_key")
 
 
 def _oracle() -> str:
