@@ -232,21 +232,77 @@ def test_language_model(spark, docs, rows, nothing):
     assert class_lm.score_texts(nothing.selectExpr("doc_id", "text", "false AS held_out")).count() == 0
 
 
+def test_language_model_scores_equal_a_plain_sum(spark, docs, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(class_lm, "CHUNK_BYTES", 3000)
+    held = docs.select("doc_id", "text", F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)).alias("held_out"))
+    learned = class_lm.learn(held)
+    of = {bytes(r.word): r["class"] for r in learned.words().collect()}
+    got = Counter((r.doc_id, round(r.score, 6)) for r in class_lm.score_texts(held).collect())
+    end, k = class_lm.CLASSES, class_lm.CLASSES + 1
+    texts = [(d, d is not None and d % 4 == 1, [*(t or "").encode().lower().split(), "end"]) for d, t, *_ in rows]
+    train, pairs = Counter(), Counter()
+    for _, out, seq in texts:
+        if not out:
+            train.update(seq)
+            classes = [end, *(of.get(w, end) for w in seq)]
+            pairs.update(zip(classes, classes[1:]))
+    follow, share, kinds = Counter(), Counter(), Counter()
+    for (x, y), n in pairs.items():
+        follow[x] += n
+        share[y] += n
+    for w, n in train.items():
+        kinds[of.get(w, end)] += n > 0
+    after = Counter(x for x, _ in pairs)
+    want = Counter()
+    for d, _, seq in texts:
+        before, total = end, 0.0
+        for w in seq:
+            c = of.get(w, end)
+            wide = (share[c] + 1) / (sum(share.values()) + k)
+            step = (pairs[before, c] + after[before] * wide) / (follow[before] + after[before]) if follow[before] else wide
+            total += math.log10(step) + math.log10((train[w] + 0.5) / (share[c] + 0.5 * (kinds[c] + 1)))
+            before = c
+        want[(d, round(total, 6))] += 1
+    assert got == want
+    assert learned.likelihoods == sorted(learned.likelihoods) and len(learned.likelihoods) > 1
+
+
 def test_language_model_is_a_distribution():
     import numpy as np
 
     rng = np.random.RandomState(0)
     bigrams = rng.poisson(3, (9, 9)).astype(float)
-    of = class_lm.exchange(bigrams, classes=3)
-    model = class_lm.Model(bigrams, of, np.ones(9))
+    model = class_lm.Model(bigrams, np.full(9, 4.0))
     assert np.allclose((10.0**model.step).sum(axis=1), 1)
-    counts = bigrams.sum(axis=0)
-    for c in range(of.max() + 1):
-        units = np.flatnonzero(of == c)
-        if not len(units):
-            continue
-        seen = 10.0 ** model.emission(counts[units], units)
-        assert np.isclose(seen.sum() + 10.0 ** model.emission(np.zeros(1), units[:1])[0], 1)
+    for c, n in enumerate(bigrams.sum(axis=0)):
+        counts = np.array([n - 3, 1, 1, 1, 0])  # four words and the unknown one
+        assert np.isclose((10.0 ** (np.log10(counts + class_lm.ADDED) - model.total[c])).sum(), 1)
+
+
+def test_moves_of_words_follow_the_exact_gain(monkeypatch):
+    """A word moved alone raises the likelihood by what its gain says, and goes where it is greatest."""
+    import numpy as np
+
+    rng = np.random.RandomState(4)
+    k, m = class_lm.CLASSES + 1, 30
+    sides = []
+    for _ in range(2):
+        x = rng.randint(0, k, (m, 6))
+        keys, n = np.unique(np.repeat(np.arange(m), 6) * k + x.ravel(), return_counts=True)
+        sides += [class_lm._pack_keys(keys), class_lm._pack(n.astype(np.int64))]
+    row = dict(zip(("before", "n_before", "after", "n_after"), sides)) | {"counts": class_lm._pack(np.full(m, 6)), "start": class_lm._pack(rng.randint(0, class_lm.CLASSES, m).astype(np.uint8))}
+    for only in range(0, m, 5):
+        words = class_lm.Words(row)
+        totals = words.totals()
+        words.counts[np.arange(m) != only] = 0  # the others stay
+        words.move(totals, only)
+        moved, values = class_lm.Words(row), []
+        for c in range(class_lm.CLASSES):
+            moved.of[only] = c
+            values.append(class_lm.likelihood(moved.totals()))
+        assert np.isclose(values[words.of[only]], max(values))
 
 
 def test_exchange_never_lowers_the_likelihood():
