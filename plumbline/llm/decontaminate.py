@@ -4,14 +4,16 @@ An item leaks into a document when some window of the document, as long as the i
 more with it: the shared weight of their 5-word shingles over the joint weight, a shingle's weight being how often it
 occurs. Steps:
 
-1. Places of documents whose shingle also occurs in an item. A window that is similar enough has enough such places, and
-   moving a window right to the first of them loses none, so windows that start at one and hold enough are all there is.
-2. SimHash fingerprints of those windows and of the items. Fingerprints are cut into RADIUS + 1 blocks; two that differ in
-   at most RADIUS bits agree in a block, so joining by (item, block, value) finds all within the radius. Repeats of a shingle
-   vote as shingles of their own, so bits are independent. At similarity 0.8 each of 64 bits differs with probability
-   acos(8/9) / pi = 0.15 for long items and 0.19 for the worst of up to 120 shingles, counted out (a window of 4, an item of
-   5), so a radius of 30 misses less than one in ten million. The blocks find no new windows, step 1 has all of them.
-3. Exact similarity of what is left.
+1. Windows. Places of documents whose shingle also occurs in an item; a window that is similar enough to an item has enough such places,
+   and moving a window right to the first of them loses none, so windows of an item's size that start at one and
+   hold enough of it are all there is. Only texts with such windows are split a second time, for the windows' shingles.
+2. Candidates. SimHash fingerprints of windows and items, BITS wide, in BLOCKS blocks: windows meet all items of their size with an
+   equal block, which finds every pair that differs in fewer bits than there are blocks, and those within RADIUS go on. Repeats of a
+   shingle vote as shingles of their own, so bits are independent. At similarity 0.8 a bit differs with
+   probability acos(8/9) / pi = 0.15 for long items and 0.19 for the worst of up to 120 shingles, so no block is equal with a
+   chance of 4e-5 to 1.4e-3, and more than RADIUS bits differ with one below 1e-7.
+3. Rescue. That chance is no promise, so pairs of a window and an item that share enough places but have no equal block are added.
+4. Exact similarity of all of them.
 
 Words are those between white space, A-Z lower-cased; an item of fewer than 5 words is one shingle, its whole sequence.
 Shingles are compared by 64-bit hashes.
@@ -23,7 +25,9 @@ an empty table on either side gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, lower_ascii, table, words_of
@@ -31,7 +35,8 @@ from plumbline.llm.common import durable, lower_ascii, table, words_of
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-RADIUS = 30
+#: Width of a fingerprint, its blocks (of 8 bits), and the bits in which a candidate may differ.
+BITS, BLOCKS, RADIUS = 256, 32, 84
 #: Rows up to which a table of fixed-size rows is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -58,18 +63,33 @@ def occurrences(hashes: Column) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64 bits; each is set where more than half of the shingles, repeats included, have it set."""
-    n = F.size(hashes)
-    votes = lambda bit: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.bit_get(h, bit))
-    one = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, bit: F.when(votes(bit) * 2 > n, acc.bitwiseOR(one(bit))).otherwise(acc))
+    """BITS / 64 longs; each bit is set where more than half of the shingles, repeats included, have it set."""
+    n, one = F.size(hashes), lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+    def word(k: int) -> Column:
+        own = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))
+        votes = lambda all_, bit: F.aggregate(all_, F.lit(0), lambda s, h: s + F.bit_get(h, bit))
+        return let(own, lambda all_: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, bit: F.when(votes(all_, bit) * 2 > n, acc.bitwiseOR(one(bit))).otherwise(acc)))
+
+    return F.array(*[word(k) for k in range(BITS // 64)])
 
 
 def blocks(fingerprint: Column) -> Column:
-    """RADIUS + 1 structs (block, value) that together hold all 64 bits."""
-    n = RADIUS + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("value")) for i, (a, z) in enumerate(zip(edges, edges[1:]))])
+    """BLOCKS structs (block, value) that together hold all bits."""
+    wide = BITS // BLOCKS
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint[i * wide // 64], i * wide % 64).bitwiseAND(F.lit((1 << wide) - 1).cast("long")).alias("value")) for i in range(BLOCKS)])
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(window, item) within RADIUS that have an equal block. windows: window, k, n_item, print; items: item, k, n_item, print."""
+    left = windows.select("window", "k", "n_item", "print", F.explode(blocks(F.col("print"))).alias("b")).select("window", "k", "n_item", "print", "b.block", "b.value")
+    right = items.select("item", "k", "n_item", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("b")).select("item", "k", "n_item", "item_print", "b.block", "b.value")
+    return left.join(small(durable(right)), ["k", "n_item", "block", "value"]).filter(apart(F.col("print"), F.col("item_print")) <= RADIUS).select("window", "item").distinct()
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -82,14 +102,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = durable(items.select("item", "k", "n_item", F.explode("h").alias("h")).groupBy("item", "k", "n_item", "h").agg(F.count("*").cast("int").alias("in_item")))
     ks = sorted(r.k for r in items.select("k").distinct().collect())  # at most SHINGLE values
 
-    docs = documents.select("doc_id", F.xxhash64("text").alias("key"), words_of(lower_ascii(F.col("text"))).alias("w"))
-    seen = None
-    for k in ks:
-        own = docs.select("doc_id", "key", F.lit(k).alias("k"), shingles(F.col("w"), F.lit(k)).alias("s"))
-        seen = own if seen is None else seen.unionByName(own)
-    if seen is None:
+    def split(texts: DataFrame) -> DataFrame:
+        docs = texts.select("doc_id", F.xxhash64("text").alias("key"), words_of(lower_ascii(F.col("text"))).alias("w"))
+        each = [docs.select("doc_id", "key", F.lit(k).alias("k"), shingles(F.col("w"), F.lit(k)).alias("s")) for k in ks]
+        return reduce(DataFrame.unionByName, each)
+
+    if not ks:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, text_key long")
-    places = seen.select("doc_id", "key", "k", F.size("s").alias("n_doc"), F.posexplode_outer("s").alias("at", "h"))
+    places = split(documents).select("doc_id", "key", "k", F.size("s").alias("n_doc"), F.posexplode_outer("s").alias("at", "h"))
     hits = places.join(small(index.select("item", "k", "n_item", "h")), ["k", "h"]).select("doc_id", "key", "k", "n_doc", "item", "n_item", "at")
 
     # windows that start at a shared shingle and hold enough of them
@@ -97,23 +117,27 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = hits.groupBy("doc_id", "key", "k", "n_doc", "item", "n_item").agg(F.sort_array(F.collect_set("at")).alias("at")).withColumn("n", length)
     runs = runs.withColumn("least", F.ceil(F.lit(SIMILARITY) * (F.col("n") + F.col("n_item")) / F.lit(100 + SIMILARITY)).cast("int")).filter(F.size("at") >= F.col("least"))
     starts = F.filter("at", lambda a, i: F.get(F.col("at"), i + F.col("least") - 1) - a < F.col("n"))
-    windows = runs.withColumn("start", F.explode(F.array_distinct(F.transform(starts, lambda a: F.least(a, F.col("n_doc") - F.col("n"))))))
-    windows = durable(windows.select("doc_id", "key", "k", "item", "n_item", "n", "start"))
-
-    # their shingles, from the documents again
-    wanted = durable(windows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    texts = seen.join(small(wanted), same & (F.col("k") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "key", "k"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k"), "s")
-    windows = windows.join(texts, same & (F.col("k") == F.col("_k"))).select("doc_id", "key", "item", "k", "n_item", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
+    held = runs.withColumn("start", F.explode(F.array_distinct(F.transform(starts, lambda a: F.least(a, F.col("n_doc") - F.col("n"))))))
+    place = ["doc_id", "key", "k", "n_item", "n", "start"]
+    held = durable(held.select("item", *place))
+
+    # their shingles, from those texts again
+    wanted = small(durable(held.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()))
+    texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    texts = split(texts).dropDuplicates(["doc_id", "key", "k"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k"), "s")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("k") == F.col("_k"))
+    windows = held.select(*place).distinct().join(texts, same).select(*place, F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
     windows = durable(windows.withColumn("print", simhash(occurrences(F.col("h")))).withColumn("window", F.monotonically_increasing_id()))
 
-    prints = durable(items.withColumn("item_print", simhash(occurrences(F.col("h")))).select("item", "item_print"))
-    left = windows.select("window", "item", "print", F.explode(blocks(F.col("print"))).alias("b")).select("window", "item", "print", "b.block", "b.value")
-    right = prints.select("item", "item_print", F.explode(blocks(F.col("item_print"))).alias("b")).select("item", "item_print", "b.block", "b.value")
-    near = left.join(small(durable(right)), ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("window").distinct()
+    prints = durable(items.select("item", "k", "n_item", simhash(occurrences(F.col("h"))).alias("print")))
+    near = near_pairs(windows, prints)
+    numbers = windows.select("window", *[F.col(c).alias(f"_{c}") for c in place])
+    rescued = held.join(numbers, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])).select("window", "item")
+    pairs = near.unionByName(rescued).distinct()
 
-    counted = windows.join(near, "window").select("window", "doc_id", "key", "item", "k", "n_item", "n", "start", F.explode("h").alias("h")).groupBy("window", "doc_id", "key", "item", "k", "n_item", "n", "start", "h").agg(F.count("*").cast("int").alias("in_window"))
-    shared = counted.join(small(index.select("item", "h", "in_item")), ["item", "h"]).groupBy("window", "doc_id", "key", "item", "k", "n_item", "n", "start").agg(F.sum(F.least("in_window", "in_item")).alias("shared"))
+    own = ["window", "doc_id", "key", "item", "k", "n_item", "n", "start"]
+    counted = windows.join(pairs, "window").select(*own, F.explode("h").alias("h")).groupBy(*own, "h").agg(F.count("*").cast("int").alias("in_window"))
+    shared = counted.join(small(index.select("item", "h", "in_item")), ["item", "h"]).groupBy(*own).agg(F.sum(F.least("in_window", "in_item")).alias("shared"))
     joint = F.col("n") + F.col("n_item") - F.col("shared")
     found = shared.filter(100 * F.col("shared") >= SIMILARITY * joint).withColumn("similarity", F.col("shared") / joint)
     best = found.groupBy("doc_id", "key", "item").agg(F.max_by(F.struct("start", "n", "k", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))

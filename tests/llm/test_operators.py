@@ -361,6 +361,26 @@ def test_leaks(spark, docs, rows, nothing):
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_fingerprints_alone_find_nearly_all_leaks(spark):
+    """Blocks of fingerprints, without the rescue, on windows whose similarity to their item is just above the threshold."""
+    from pyspark.sql import functions as F
+
+    rng, made = random.Random(23), []
+    while len(made) < 400:
+        item = words(rng, rng.randint(25, 60)).split()
+        window = list(item)
+        for p in rng.sample(range(len(item)), rng.randint(1, 2)):
+            window[p] = "own"
+        a, b = (Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (item, window))
+        shared, n = sum((a & b).values()), len(item) - 4
+        if 80 * (2 * n - shared) <= 100 * shared < 88 * (2 * n - shared):
+            made.append((len(made), n, item, window))
+    df = spark.createDataFrame(made, "number long, n_item int, item_words array<string>, own_words array<string>").withColumn("k", F.lit(5))
+    side = lambda name, c: df.select(F.col("number").alias(name), "k", "n_item", decontaminate.simhash(decontaminate.occurrences(decontaminate.shingles(F.col(c), F.lit(5)))).alias("print"))
+    got = [(r.window, r.item) for r in decontaminate.near_pairs(side("window", "own_words"), side("item", "item_words")).collect()]
+    assert sum(a == b for a, b in got) >= 396 and sum(a != b for a, b in got) <= 40
+
+
 def test_leaks_that_differ_in_a_repeated_phrase(spark):
     rng = random.Random(21)
     items, leaky = [], []
