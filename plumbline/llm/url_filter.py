@@ -3,7 +3,8 @@
 Rules are written `host/path`; one fits its host and all subdomains when the url's path starts with the rule's path, and
 the longest fitting rule wins. The urls that rules decide are the labelled ones: trees are trained on their lexical
 features (lengths, depths, digit share, entropy, parameter counts, statistics of the host's suffixes and the path's first part) and judge all others. Training uses
-at most TRAINING_ROWS labelled urls, chosen by a hash of the url; suffix statistics count all urls.
+at most TRAINING_ROWS labelled urls, chosen by a hash of the url; suffix statistics count all urls. The share of allowed urls
+that a labelled one gets as a feature is that of the other FOLDS (by a hash of the url), so no url's label is in its own features.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is judged by the trees like
 any other; repeated rows are judged each; if rules decide no url, or all alike, the others get that one verdict (allow
@@ -23,7 +24,10 @@ ALLOW, BLOCK = "allow", "block"
 RULES = (("org/", ALLOW), ("example.org/es/", BLOCK), ("example.org/en/1", BLOCK), ("com/fr/", ALLOW), ("com/de/", BLOCK))
 TRAINING_ROWS = 100_000
 TREES, DEPTH, SEED = 15, 4, 7
+FOLDS = 5
 BROADCAST_ROWS = 100_000
+#: Values with at least 1 / FREQUENT of all urls are joined by broadcast where the whole table is too long for it.
+FREQUENT = 10_000
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -96,13 +100,27 @@ def lexical(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def with_statistics(df: DataFrame, key: str) -> DataFrame:
-    """Adds the share of all urls with the same value of `key`, and the smoothed share of allowed ones among its labelled urls."""
-    stats = durable(df.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("allowed")))
-    total = stats.agg(F.sum("n")).first()[0] or 1
-    stats = stats.select(key, (F.col("n") / F.lit(total)).alias(f"{key}_share"), ((F.coalesce("allowed", F.lit(0.0)) + 1) / (F.col("labelled") + 2)).alias(f"{key}_allowed"))
+    """Adds the share of all urls with the same value of `key`, and the smoothed share of allowed ones among its labelled urls (of other
+    folds, for a labelled url)."""
+    fold = F.pmod("hash", F.lit(FOLDS))
+    folds = [x.alias(f"_{name}{f}") for f in range(FOLDS) for name, x in (("labelled", F.count(F.when(fold == f, F.col("label")))), ("allowed", F.sum(F.when(fold == f, F.col("label")).otherwise(0.0))))]
+    stats = durable(df.groupBy(key).agg(F.count("*").alias("_n"), *folds))
+    total = stats.agg(F.sum("_n")).first()[0] or 1
+
+    def joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, rows[key].eqNullSafe(found[key])).drop(found[key])
+
     if stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        stats = F.broadcast(stats)
-    return df.join(stats, df[key].eqNullSafe(stats[key])).drop(stats[key])
+        out = joined(df, F.broadcast(stats))
+    else:
+        often = F.col("_n") * FREQUENT >= total
+        frequent = F.broadcast(stats.filter(often))
+        rare = df.join(frequent, df[key].eqNullSafe(frequent[key]), "left_anti")
+        out = joined(df, frequent).unionByName(joined(rare, stats.filter(~often)))
+    known = F.col("label").isNotNull()
+    others = lambda name: sum((F.when(known & (fold == f), F.lit(0)).otherwise(F.col(f"_{name}{f}")) for f in range(FOLDS)), F.lit(0))
+    out = out.withColumn(f"{key}_share", F.col("_n") / F.lit(total)).withColumn(f"{key}_allowed", (others("allowed") + 1) / (others("labelled") + 2))
+    return out.drop("_n", *[f"_{name}{f}" for f in range(FOLDS) for name in ("labelled", "allowed")])
 
 
 def with_suffix_statistics(df: DataFrame) -> DataFrame:
