@@ -2,8 +2,8 @@
 
 Every document gets integer measures. Each measure is counted on a fixed grid per (lang, source): a quantile sketch
 that merges by adding counts, with an error of one grid step at most and a size that does not depend on the rows.
-Sketches of small groups are replaced by the merged sketch of the language, then of everything. Cut-offs are the median
-plus or minus a multiple of the half spread on the clean side, and are joined back to the measures.
+Quantiles of a group are drawn towards those of its language's merged sketch, and these towards those of everything, as if WIDER more
+documents of the wider sketch were in the group: the fewer documents, the more. Cut-offs are the median plus or minus a multiple of the half spread on the clean side, and are joined back to the measures.
 
 Defined results: null or empty text has 0 words and fails; null lang or source is a group of its own; repeated rows are
 judged one by one; an empty table gives an empty result; other columns are ignored.
@@ -19,8 +19,8 @@ from plumbline.llm.common import SEPARATOR_CHARS, UPPER, durable, words_of
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A group with fewer documents uses the next wider sketch.
-MIN_GROUP = 200
+#: Documents that the next wider sketch counts for.
+WIDER = 200
 #: measure: (side, multiple of the half spread, least half spread, grid cells). Shares are in thousandths, word length in hundredths.
 MEASURES = {
     "symbol_share": ("high", 6, 10, 1000),
@@ -120,7 +120,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     lang = _quantiles(sketch, ["lang"], "1").withColumnRenamed("lang", "_lang").withColumnRenamed("measure", "_m1")
     whole = _quantiles(sketch, [], "2").withColumnRenamed("measure", "_m2")
     x = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m1"))).join(whole, F.col("measure") == F.col("_m2"))
-    pick = lambda q: F.when(F.col("n0") >= MIN_GROUP, F.col(f"{q}0")).when(F.col("n1") >= MIN_GROUP, F.col(f"{q}1")).otherwise(F.col(f"{q}2"))
+    drawn = lambda n, own, wider: (F.col(n) * F.col(own) + WIDER * wider) / (F.col(n) + WIDER)
+    pick = lambda q: drawn("n0", f"{q}0", drawn("n1", f"{q}1", F.col(f"{q}2")))
     x = x.select("lang", "source", "measure", pick("q10_").alias("q10"), pick("q50_").alias("q50"), pick("q90_").alias("q90"))
     limits = []
     for m, (side, k, least, _) in MEASURES.items():
@@ -164,7 +165,8 @@ def _oracle() -> str:
 {name} AS (SELECT {keys}measure, max(total) AS n, min(cell) FILTER (up * 100 >= total * 10) AS q10, min(cell) FILTER (up * 100 >= total * 50) AS q50,
   min(cell) FILTER (up * 100 >= total * 90) AS q90 FROM {name}_r GROUP BY {keys}measure)"""
 
-    pick = lambda q: f"CASE WHEN a.n >= {MIN_GROUP} THEN a.{q} WHEN b.n >= {MIN_GROUP} THEN b.{q} ELSE c.{q} END AS {q}"
+    drawn = lambda side, q, wider: f"(({side}.n * {side}.{q})::DOUBLE + {WIDER} * ({wider})::DOUBLE) / ({side}.n + {WIDER})::DOUBLE"
+    pick = lambda q: f"{drawn('a', q, drawn('b', q, f'c.{q}'))} AS {q}"
     limits, tests = [], []
     for m, (side, k, least, _) in MEASURES.items():
         limits.append(f"max(q50 + {k} * greatest(q50 - q10, {least})) FILTER (measure = '{m}') AS high_{m}")
