@@ -175,19 +175,22 @@ def token_overlap(hypothesis: Column, premise: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens_of(premise))) / F.size(own)).otherwise(0.0)
 
 
-#: Words without content, for content overlap.
-STOP_WORDS = ("the", "and", "for", "was", "were", "with", "that", "this", "from", "has", "had", "have", "are", "but", "not", "their", "they", "which", "while", "who", "been", "its", "than", "into", "also")
+# Words without content, for content overlap.
+STOP_WORDS = (
+    "the", "a", "an", "is", "was", "were", "of", "to", "for", "in", "on", "with", "and", "or", "this", "that", "their", "her", "his", "its", "as", "at", "by", "due", "which", "than",
+    "typical", "activity", "week", "flagged", "rule", "evidence",
+)
 
 
 def content_words(text: Column) -> Column:
-    return F.array_except(F.filter(tokens_of(text), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    """Distinct runs of a-z and digits in the lower-cased text, of three or more, without STOP_WORDS."""
+    return F.array_except(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0)), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def content_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of content words; 0 if there are none."""
+    """Jaccard similarity of content words; 0 if either has none."""
     x, y = content_words(a), content_words(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both > 0, F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
 PRONOUNS = r"(?i)\b(?:he|she|they|his|her|their|him|them)\b"
@@ -228,6 +231,7 @@ def sentence_of(cluster: Column) -> Column:
     return F.get(F.split(cluster, "_", 2), F.lit(1))
 
 
+# Abbreviations that end no sentence.
 ABBREVIATIONS = ("no", "approx", "cf", "est", "avg", "max", "ca", "min")
 
 
@@ -241,7 +245,7 @@ def sentences_in(text: Column) -> Column:
 
 def scrub_boilerplate(text: Column) -> Column:
     """Rule ids, week labels and `N weeks` are blanked before numbers are matched."""
-    return F.regexp_replace(text, r"\bR[1-5]\b|\b\d{4}-W\d{2}\b|\b\d+[- ]weeks?\b", " ")
+    return F.regexp_replace(text, r"(?i)\[?\bR\d+\]?|\b\d{4}-W\d{1,2}\b|\b\d+[- ]?weeks?\b", " ")
 
 
 def z_or_zero(z: Column) -> Column:

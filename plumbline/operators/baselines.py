@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.durable import durable, small
+
 MAD_TO_SD = 1.4826
 NOT_COUNTS = ("earliest_hour", "latest_hour", "attachment_bytes")
 
@@ -36,10 +38,22 @@ def array_mad(values: Column, centre: Column) -> Column:
     return array_median(F.transform(values, lambda v: F.abs(v - centre)))
 
 
+def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each value stands in each group: what medians are taken of, so that a large group is counted by all tasks first."""
+    return rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+
+
+def _middle(value: Column) -> Column:
+    return F.percentile(value, F.lit(0.5), F.col("_n"))
+
+
 def global_scales(rows: DataFrame) -> DataFrame:
     """Spread of each feature over everything: scaled MAD, or where that is 0 the standard deviation, 1 at least."""
-    centred = rows.join(rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("_m")), "feature")
-    scale = centred.groupBy("feature").agg((F.lit(MAD_TO_SD) * F.percentile(F.abs(F.col("value") - F.col("_m")), F.lit(0.5))).alias("_mad"), F.stddev_pop("value").alias("_sd"))
+    counts = value_counts(rows, ["feature"])
+    weight = F.when(F.col("value").isNotNull(), F.col("_n"))
+    centred = counts.join(F.broadcast(counts.groupBy("feature").agg(_middle(F.col("value")).alias("_m"), (F.sum(F.col("value") * F.col("_n")) / F.sum(weight)).alias("_mean"))), "feature")  # one row for each feature
+    variance = F.sum((F.col("value") - F.col("_mean")) ** 2 * F.col("_n")) / F.sum(weight)
+    scale = centred.groupBy("feature").agg((F.lit(MAD_TO_SD) * _middle(F.abs(F.col("value") - F.col("_m")))).alias("_mad"), F.sqrt(variance).alias("_sd"))
     return scale.select("feature", F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.greatest(F.coalesce("_sd", F.lit(1.0)), F.lit(1.0))).alias("scale"))
 
 
@@ -82,11 +96,14 @@ def peer_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), r
     """Adds peer_center, peer_spread, peer_z, peer_n from all rows of the same role, period and feature. The z is withheld
     at centre 0, centre and z in groups below min_peers; spread and size stay."""
     keys = ["feature", role, "period"]
-    scaled = rows.join(F.broadcast(global_scales(rows)), "feature")
-    middle = F.percentile("value", F.lit(0.5)) if config.robust else F.avg("value")
-    centred = scaled.join(scaled.groupBy(*keys).agg(middle.alias("_c"), F.count("*").alias("peer_n")), keys)
-    raw = F.lit(MAD_TO_SD) * F.percentile(F.abs(F.col("value") - F.col("_c")), F.lit(0.5)) if config.robust else F.coalesce(F.stddev_samp("value"), F.lit(0.0))
-    both = centred.join(centred.groupBy(*keys).agg(raw.alias("_raw")), keys)
+    if config.robust:
+        counts = value_counts(rows, keys)
+        centres = counts.groupBy(*keys).agg(_middle(F.col("value")).alias("_c"), F.sum("_n").alias("peer_n"))
+        spreads = counts.join(centres, keys).groupBy(*keys).agg((F.lit(MAD_TO_SD) * _middle(F.abs(F.col("value") - F.col("_c")))).alias("_raw"), F.first("_c").alias("_c"), F.first("peer_n").alias("peer_n"))
+    else:
+        spreads = rows.groupBy(*keys).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("_raw"), F.avg("value").alias("_c"), F.count("*").alias("peer_n"))
+    spreads = small(durable(spreads.join(F.broadcast(global_scales(rows)), "feature")))  # one row for each group
+    both = rows.join(spreads, keys)
     both = both.withColumn("peer_spread", F.greatest("_raw", spread_floor(F.col("feature"), F.col("_c"), F.col("scale"), config)))
     enough = F.col("peer_n") >= config.min_peers
     z = F.when(enough & (F.col("_c") != 0), clipped_z(F.col("value"), F.col("_c"), F.col("peer_spread"), config.z_cap))

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.sampling import ranked, shuffle_key
+
 # What counts as wrong under each policy, and the grids.
 POLICIES = {"primary": ("hallucinated", "misweighted", "false precision"), "secondary": ("hallucinated",)}
 LAMBDAS = tuple(round(1 - 0.05 * i, 2) for i in range(21))
@@ -21,10 +23,9 @@ def split_by_user(rows: DataFrame, fraction: float = 0.5, group: str | None = No
     rows are on one side; a user in several groups belongs to the least."""
     g = F.col(group) if group else F.lit("")
     users = rows.groupBy("user").agg(F.min(g).alias("_g"))
-    key = F.md5(F.concat_ws(":", F.col("user").cast("string"), F.lit(str(seed))).cast("binary"))
-    w = Window.partitionBy("_g")
-    ranked = users.withColumn("_r", F.row_number().over(w.orderBy(key, "user"))).withColumn("_n", F.count("*").over(w))
-    return rows.join(ranked.select("user", (F.col("_r") <= F.ceil(F.col("_n") * F.lit(fraction))).alias("in_calibration")), "user")
+    sizes = users.groupBy(F.col("_g").alias("_group")).agg(F.count("*").alias("_n"))
+    placed = ranked(users.withColumn("_k", shuffle_key(F.col("user"), seed)), "_g", "_k", "user", "_r").join(sizes, F.col("_g").eqNullSafe(F.col("_group")))
+    return rows.join(placed.select("user", (F.col("_r") <= F.ceil(F.col("_n") * F.lit(fraction))).alias("in_calibration")), "user")
 
 
 def risk_curve(rows: DataFrame, policy: str = "primary", lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:

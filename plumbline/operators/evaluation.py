@@ -109,34 +109,48 @@ def in_both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 
 
-def hidden_maxima(facts: Column) -> Column:
-    """Recent maxima that no other rendered number of the signal shows."""
-    maxima = F.array_compact(F.transform(facts, lambda f: f["self_recent_max"]))
+def identity_numbers(identity: Column, fields: tuple[str, ...]) -> Column:
+    """The numbers that stand in the shown identity fields."""
+    texts = F.concat_ws(" ", *[identity[f] for f in fields]) if fields else F.lit("")
+    return F.transform(F.regexp_extract_all(F.coalesce(texts, F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("double"))
+
+
+def hidden_maxima(facts: Column, others: Column | None = None) -> Column:
+    """Recent maxima of what happened before, that no other rendered number of the signal shows; others: further shown numbers."""
+    maxima = F.array_compact(F.transform(facts, lambda f: F.when(~F.coalesce(f["never_before"], F.lit(False)), f["self_recent_max"])))
     shown = F.flatten(F.transform(facts, lambda f: F.array_compact(F.array(f["value"], f["self_center"], f["peer_center"], f["peer_group_size"].cast("double")))))
-    return F.array_except(maxima, shown)
+    return F.array_except(maxima, shown if others is None else F.concat(shown, others))
 
 
 def signal_profile(signals: DataFrame) -> DataFrame:
-    """Peer sizes, whether a value truly exceeds its recent maximum, and hidden maxima of each signal."""
+    """Peer sizes, whether a value truly exceeds its recent maximum, and hidden maxima of each signal. Digits of role, team and unit are
+    shown, too, where the identity has these fields."""
+    has = {f.name: f.dataType for f in signals.schema.fields}["identity"].names if "identity" in signals.columns else []
+    digits = identity_numbers(F.col("identity"), tuple(f for f in ("role", "team", "functional_unit") if f in has))
     exceeds = F.exists("facts", lambda f: F.coalesce((f["value"] > f["self_recent_max"]) & ~F.coalesce(f["never_before"], F.lit(False)), F.lit(False)))
     sizes = F.array_distinct(F.array_compact(F.transform("facts", lambda f: f["peer_group_size"])))
-    return signals.select("signal_id", F.array_sort(sizes).alias("peer_sizes"), exceeds.alias("true_exceedance"), F.array_sort(hidden_maxima(F.col("facts"))).alias("hidden_maxima"))
+    return signals.select("signal_id", F.array_sort(sizes).alias("peer_sizes"), exceeds.alias("true_exceedance"), F.array_sort(hidden_maxima(F.col("facts"), digits)).alias("hidden_maxima"))
 
 
-WORDINGS = {"exceeds_max": r"(?i)exceed\w*\s+(?:\w+\s+){0,4}(?:max\w*|high\w*|record)", "sigma": r"(?i)\b(?:sigma|standard deviations?|z-score)\b"}
+# Wordings that count.
+WORDINGS = {
+    "exceeds_max": r"(?i)\b(?:exceed(?:s|ed|ing)?|surpass(?:es|ed|ing)?|above|over|beyond|higher than)\b[^.]{0,60}?\b(?:maximum|max|peak|highest|previous high|prior high|limit|threshold)\b",
+    "sigma": r"(?i)z[- ]?score[^.]{0,20}?\d|\d+(?:\.\d+)?\s*(?:standard deviations?|sigma|σ)|\d+(?:\.\d+)?\s*(?:sd|s\.d\.)\b",
+}
 
 
 def wording_hits(drafts: DataFrame, profiles: DataFrame) -> DataFrame:
     """drafts: signal_id, sample_index, text. Hits of each wording, of a peer group's size used as a denominator, and of hidden
     maxima as figures; the last two patterns follow from each signal's numbers."""
     rows = drafts.join(profiles, "signal_id")
-    number = lambda x: F.regexp_replace(x.cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    # as the renderer shows them: no decimals where there are none; digits of rule ids, weeks and window lengths don't count
+    number = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(F.regexp_replace(x.cast("decimal(18,3)").cast("string"), r"0+$", ""))
     sizes = F.array_join(F.transform("peer_sizes", lambda n: n.cast("string")), "|")
     maxima = F.array_join(F.transform("hidden_maxima", lambda n: F.replace(number(n), F.lit("."), F.lit(r"\."))), "|")
-    hits = lambda pattern: F.size(F.regexp_extract_all("text", pattern, F.lit(0)))
-    within = lambda inner, form: F.when(inner != "", hits(F.concat(F.lit(form[0]), inner, F.lit(form[1])))).otherwise(0)
+    hits = lambda pattern, text=F.col("text"): F.size(F.regexp_extract_all(text, pattern, F.lit(0)))
+    within = lambda inner, form, text=F.col("text"): F.when(inner != "", hits(F.concat(F.lit(form[0]), inner, F.lit(form[1])), text)).otherwise(0)
     named = [hits(F.lit(p)).alias(n) for n, p in WORDINGS.items()]
-    return rows.select("signal_id", "sample_index", "true_exceedance", *named, within(sizes, (r"\bof (?:the )?(?:", r")\b")).alias("peer_denominator"), within(maxima, (r"\b(?:", r")\b")).alias("max_figure"))
+    return rows.select("signal_id", "sample_index", "true_exceedance", *named, within(sizes, (r"\b(?:out of|of|among|amongst|across)\s+(?:the\s+)?(?:", r")\b(?!\s+(?:peers|same-role|colleagues|others))")).alias("peer_denominator"), within(maxima, (r"(?<![\d.])(?:", r")(?![\d.])"), S.scrub_boilerplate(F.col("text"))).alias("max_figure"))
 
 
 def wording_comparison(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -88,8 +88,9 @@ def match_numbers(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
     per row."""
     own = S.numbers_in(F.col("text"))
     rows = rows.withColumn("numbers", own if numbers is None else F.coalesce(numbers, own))
-    rows = rows.withColumn("_targets", candidates(F.col("facts")))
-    return rows.withColumn("matches", F.transform("numbers", lambda n: match_number(n, F.col("_targets")))).drop("_targets")
+    # an array of one, so that the optimizer can't move the making of targets into the loop over numbers
+    found = F.transform(F.array(candidates(F.col("facts"))), lambda targets: F.transform(F.col("numbers"), lambda n: match_number(n, targets)))
+    return rows.withColumn("matches", F.get(found, F.lit(0)))
 
 
 def share_grounded(matches: Column) -> Column:

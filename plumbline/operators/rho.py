@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.sampling import ranked, shuffle_key
+from plumbline.sources.durable import durable
+
 FEATURES = ("self_consistency", "fact_match", "misweighted", "hallucinated_context")
 
 
@@ -34,13 +37,13 @@ def predict(model: LogisticRegressionModel, rows: DataFrame, features: tuple[str
 
 def with_folds(gold: DataFrame, k: int = 5, target: str = "target", ident: str = "cluster_id", seed: int = 42) -> DataFrame:
     """Stratified folds: rows of a class are shuffled by hash and dealt out in turn."""
-    order = Window.partitionBy(target).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident)
-    return gold.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(k)))
+    keyed = gold.withColumn("_k", shuffle_key(F.col(ident), seed))
+    return ranked(keyed, target, "_k", ident, "fold").withColumn("fold", F.pmod("fold", F.lit(k)).cast("int")).drop("_k")
 
 
 def cross_validated(gold: DataFrame, k: int = 5, features: tuple[str, ...] = FEATURES, target: str = "target", ident: str = "cluster_id") -> DataFrame:
     """Every row with the probability of a model that did not see its fold."""
-    folded = with_folds(gold, k, target, ident).persist()
+    folded = durable(with_folds(gold, k, target, ident))
     parts = [predict(train(folded.filter(F.col("fold") != i), features, target), folded.filter(F.col("fold") == i), features) for i in range(k)]
     out = parts[0]
     for p in parts[1:]:

@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of fixed-size rows is broadcast; beyond, Spark shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A folder of this machine stands in for it on a local master only, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint folder, which all executors see; later plans start from it. A
-    folder of our own is set only where the session has none."""
+    """df, computed once and kept in the session's checkpoint folder, which all executors see; later plans start from it."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint, where df (kept durably) has been counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.functions import scalars as S
 from plumbline.operators.calibration import POLICIES
 
+#: Scores of 0 to 1 in steps of a ten-thousandth.
+CELLS = 10_001
+
 
 def weekly_counts(events: DataFrame, late: str = "14 days", approximate: bool = True) -> DataFrame:
     """events (a stream or a table): user_id, ts, event_type, value. Per user and Monday week: events, after-hours events, value,
@@ -29,20 +33,26 @@ def weekly_counts(events: DataFrame, late: str = "14 days", approximate: bool =
 
 def adaptive_threshold(claims: DataFrame, policy: str = "primary", alpha: float = 0.10, gamma: float = 0.05, start: float = 0.90) -> DataFrame:
     """claims (a stream): stream_id, period, score, label. Each trigger's periods move the stream's lambda in order; the state is
-    one number. Rows: stream_id, period, lambda (in force for it), err."""
-    wrong_labels = set(POLICIES[policy])
+    one number. Scores count to four decimals, so what a trigger holds for a period is CELLS counts. Rows: stream_id,
+    period, lambda (in force for it), err."""
+    wrong_labels = list(POLICIES[policy])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (lam,) = state.get if state.exists else (start,)
-        sums: dict[Any, list] = {}
+        sums: dict[Any, np.ndarray] = {}
         for pdf in batches:
-            for period, part in pdf.groupby("period"):
-                sums.setdefault(period, []).append(part[["score", "label"]])
+            pdf = pdf[pdf["score"].notna()]
+            cell = np.floor(pdf["score"].to_numpy() * (CELLS - 1) + 0.5).astype(int)
+            wrong = pdf["label"].isin(wrong_labels).to_numpy()
+            for period, at in pdf.groupby("period").indices.items():
+                counts = sums.setdefault(period, np.zeros((2, CELLS)))
+                counts[0] += np.bincount(cell[at], minlength=CELLS)
+                counts[1] += np.bincount(cell[at], weights=wrong[at], minlength=CELLS)
         out = []
+        scores = np.arange(CELLS) / (CELLS - 1)
         for period in sorted(sums):
-            rows = pd.concat(sums[period])
-            taken = rows[rows["score"] >= lam]
-            err = float(taken["label"].isin(wrong_labels).sum()) / max(len(taken), 1)
+            taken, wrong = sums[period][:, scores >= lam].sum(axis=1)
+            err = float(wrong) / max(float(taken), 1.0)
             out.append((*key, period, lam, err))
             lam = min(1.0, max(0.0, lam + gamma * (err - alpha)))
         state.update((lam,))

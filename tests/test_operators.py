@@ -244,7 +244,13 @@ def test_wordings(spark):
     assert p.peer_sizes == [8] and p.true_exceedance and p.hidden_maxima == [3.0]
     said = spark.createDataFrame([(p.signal_id, 0, "It exceeds the recent maximum of 3, two standard deviations, 5 of 8 peers")], "signal_id string, sample_index int, text string")
     h = evaluation.wording_hits(said, profile).first()
-    assert (h.exceeds_max, h.sigma, h.peer_denominator, h.max_figure) == (1, 1, 1, 1)
+    # a deviation counts with a digit only, and `of 8 peers` is the right way to put it
+    assert (h.exceeds_max, h.sigma, h.peer_denominator, h.max_figure) == (1, 0, 0, 1)
+    said = said.withColumn("text", F.lit("Above its usual peak of 3, by 2.5 standard deviations, z-score near 4, out of the 8, in the past 3 weeks, [R3] 2010-W03, not 13 or 3.5"))
+    h = evaluation.wording_hits(said, profile).first()
+    assert (h.exceeds_max, h.sigma, h.peer_denominator, h.max_figure) == (1, 2, 1, 1)
+    named = record(spark).withColumn("identity", F.struct(F.lit("Clerk 3").alias("role"), F.lit("12 - X").alias("team")))
+    assert evaluation.signal_profile(named).first().hidden_maxima == []
 
 
 def test_rho_model(spark):

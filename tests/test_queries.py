@@ -34,5 +34,5 @@ def test_query(spark, data, duck, tmp_path, name):
 def test_entry(spark):
     found = __spark_entry__.queries()
     assert set(q.QUERIES) <= set(found) and set(__spark_entry__.oracle_sql()) <= set(found)
-    assert ("pipeline" in found) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    assert ("pipeline" in found) == (importlib.util.find_spec("plumbline.llm") is not None)
     assert __spark_entry__.entry(spark).columns == ["user", "period", "triggered", "signal_id"]
