@@ -6,6 +6,7 @@ sentence to the nearest cluster by the vectors given; judged pooling takes group
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,36 +58,40 @@ def sentence_ids(rows: DataFrame, claims: DataFrame) -> DataFrame:
     return seen.groupBy("signal_id", "sample_index").agg(F.transform(ordered, lambda x: x["sentence_id"]).alias("sentence_ids"))
 
 
-def greedy_clusters(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Each vector in order joins the cluster whose first vector is most similar, at `threshold` or more (ties: the later
+class Heads:
+    """First vectors of clusters. A vector joins the cluster whose first one is most similar, at `threshold` or more (ties: the later
     cluster), else opens one."""
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norms, out=np.zeros_like(vectors, dtype=float), where=norms > 0)
-    heads = np.empty_like(unit)
-    of, n = np.empty(len(unit), np.int64), 0
-    for i, v in enumerate(unit):
-        if n:
-            similar = heads[:n] @ v
-            best = n - 1 - int(np.argmax(similar[::-1]))
-            if similar[best] >= threshold:
-                of[i] = best
-                continue
-        heads[n], of[i] = v, n
-        n += 1
-    return of
 
+    def __init__(self, threshold: float):
+        self.threshold, self.n, self.units = threshold, 0, np.empty((0, 0))
+
+    def join(self, vector: np.ndarray) -> int:
+        norm = np.linalg.norm(vector)
+        v = vector / norm if norm > 0 else np.zeros_like(vector)
+        if self.n:
+            similar = self.units[: self.n] @ v
+            best = self.n - 1 - int(np.argmax(similar[::-1]))
+            if similar[best] >= self.threshold:
+                return best
+        if self.n == len(self.units):
+            grown = np.empty((max(16, 2 * self.n), len(v)))
+            if self.n:
+                grown[: self.n] = self.units
+            self.units = grown
+        self.units[self.n] = v
+        self.n += 1
+        return self.n - 1
 
-def pool_semantic(units: DataFrame, threshold: float) -> DataFrame:
-    """units: signal_id, ord, vector (distinct sentences in order). Adds cluster. The result depends on the order, so the
-    sentences of one signal, k drafts of some tens, are clustered in one task; signals spread over the cluster."""
 
-    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        of = greedy_clusters(np.vstack(pdf["vector"].to_numpy()).astype(float), threshold)
-        return pd.DataFrame({"signal_id": pdf["signal_id"].to_numpy(), "ord": pdf["ord"].to_numpy(), "cluster": of})
+def greedy_clusters(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Clusters of vectors in their order."""
+    heads = Heads(threshold)
+    return np.array([heads.join(v) for v in np.asarray(vectors, float)], np.int64)
 
-    kind = dict(units.dtypes)
-    return units.select("signal_id", "ord", "vector").groupBy("signal_id").applyInPandas(cluster, f"signal_id {kind['signal_id']}, ord {kind['ord']}, cluster long")
+
+def pool_semantic(units: DataFrame, threshold: float) -> DataFrame:
+    """units: signal_id, ord, vector (distinct sentences in order). Adds cluster."""
+    return threshold_sweep(units, [threshold]).drop("threshold")
 
 
 def pool_clusters(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -109,16 +114,23 @@ def judged_clusters(units: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(units: DataFrame, thresholds: list[float]) -> DataFrame:
-    """pool_semantic at several thresholds: threshold, signal_id, ord, cluster."""
-    tagged = units.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    """pool_semantic at several thresholds: threshold, signal_id, ord, cluster. The result depends on the order, so one signal's vectors
+    pass through one task in it; the task holds the clusters' first vectors only, not the signal."""
+    tagged = units.select("signal_id", "ord", "vector", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    kind = dict(units.dtypes)
 
-    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        of = greedy_clusters(np.vstack(pdf["vector"].to_numpy()).astype(float), key[0])
-        return pd.DataFrame({"threshold": key[0], "signal_id": pdf["signal_id"].to_numpy(), "ord": pdf["ord"].to_numpy(), "cluster": of})
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, heads = None, None
+        for pdf in batches:
+            of = []
+            for threshold, signal, vector in zip(pdf["threshold"], pdf["signal_id"], pdf["vector"]):
+                if (threshold, signal) != now:
+                    now, heads = (threshold, signal), Heads(threshold)
+                of.append(heads.join(np.asarray(vector, float)))
+            yield pd.DataFrame({"threshold": pdf["threshold"], "signal_id": pdf["signal_id"], "ord": pdf["ord"], "cluster": np.array(of, np.int64)})
 
-    kind = dict(units.dtypes)
-    return tagged.groupBy("threshold", "signal_id").applyInPandas(cluster, f"threshold double, signal_id {kind['signal_id']}, ord {kind['ord']}, cluster long")
+    ordered = tagged.repartition("threshold", "signal_id").sortWithinPartitions("threshold", "signal_id", "ord")
+    return ordered.select("threshold", "signal_id", "ord", "vector").mapInPandas(cluster, f"threshold double, signal_id {kind['signal_id']}, ord {kind['ord']}, cluster long")
 
 
 def distribution(claims: DataFrame, k: Column, by: list[str] | None = None) -> DataFrame:
@@ -138,6 +150,13 @@ def generator_stats(drafts: DataFrame) -> DataFrame:
     return drafts.agg(F.count_distinct("signal_id").alias("signals"), F.count("*").alias("drafts"), F.count_distinct(F.lower(F.trim("text"))).alias("distinct_drafts"))
 
 
+def generation_summary(requested: DataFrame, drafts: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row about a run. requested: signal_id, is_malicious; drafts and claims of the signals that succeeded."""
+    done = drafts.select("signal_id").distinct().withColumn("_done", F.lit(True))
+    counts = requested.join(done, "signal_id", "left").agg(F.count("*").alias("signals_requested"), F.count("_done").alias("signals_succeeded"), F.count_if(F.col("_done") & F.col("is_malicious")).alias("malicious_signals"))
+    return counts.join(F.broadcast(claims.agg(F.count("*").alias("unique_sentences"))))  # one row each
+
+
 def pooling_stats(claims: DataFrame) -> DataFrame:
     return claims.agg(F.sum("n_samples").alias("mentions"), F.count("*").alias("claims"), (F.sum("n_samples") / F.count("*")).alias("compression"), F.count_if(F.col("n_samples") == 1).alias("singletons"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from plumbline.functions import scalars as S
 from plumbline.operators import baselines, calibration, evaluation, features, grounding, identity, judgements, pooling, rho, sampling, signals
 from plumbline.plans import standins as T
 from plumbline.sources import logs
-from plumbline.sources.durable import durable
+from plumbline.sources.durable import durable, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,20 +58,19 @@ def a6_bounded_scan(spark, sf_dir):
 
 @query(
     "a4_truth_windows",
-    """WITH top AS (SELECT user_id, arg_max(ts, value) AS t FROM events WHERE user_id % 10 = 0 GROUP BY user_id)
+    """WITH top AS (SELECT user_id, arg_max(ts, value) AS t FROM events GROUP BY user_id HAVING arg_max(event_type, value) = 'purchase')
 SELECT 'U' || user_id AS "user", strftime(t, '%Y-%m-%d %H:%M:%S') AS "start", strftime(t + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') AS "end", 's' || user_id % 3 AS scenario FROM top""",
 )
 def a4_truth_windows(spark, sf_dir):
-    """Answers with one unreadable date per third user, mended by a fix for (user, raw) (A4, A5)."""
+    """Answers for users whose greatest value is a purchase, every third with an unreadable date that a fix for (user, raw) mends (A4, A5)."""
     return _windows(spark, sf_dir).select("user", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "scenario")
 
 
 def _windows(spark, sf_dir):
-    e = T.events(spark, sf_dir).filter(F.col("user_id") % 10 == 0)
-    top = e.groupBy("user", "user_id").agg(F.max_by("ts", "value").alias("t"))
+    top = T.events(spark, sf_dir).groupBy("user", "user_id").agg(F.max_by("ts", "value").alias("t"), F.max_by("event_type", "value").alias("kind")).filter("kind = 'purchase'")
     form = lambda c: F.date_format(c, logs.DATE_FORMAT)
     start, broken = form(F.col("t")), F.concat(F.lit("/21/2011 "), F.col("user"))
-    is_broken = F.col("user_id") % 30 == 0
+    is_broken = F.col("user_id") % 3 == 0
     answers = top.select(F.lit("r6.2").alias("dataset"), "user", F.concat(F.lit("s"), F.col("user_id") % 3).alias("scenario"), F.when(is_broken, broken).otherwise(start).alias("start"), form(F.timestamp_add("DAY", F.lit(3), F.col("t"))).alias("end"))
     fixes = top.filter(is_broken).select("user", broken.alias("raw"), start.alias("fixed"))
     return logs.truth_windows(answers, "r6.2", fixes)
@@ -142,17 +141,6 @@ def b13_text_scalars(spark, sf_dir):
     )
 
 
-@query("b15_text_measures")
-def b15_text_measures(spark, sf_dir):
-    """Numbers, entities, clauses, sentences, pronouns, scrubbed text of all documents."""
-    d = T.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.concat(F.lit("U"), F.col("doc_id")).alias("u"))
-    t, head = F.col("t"), F.substring_index("t", "\n", 1)
-    return d.select(
-        "doc_id", F.size(S.numbers_in(t)).alias("n_numbers"), F.size(S.entities_in(t)).alias("n_entities"), F.size(S.sentences_in(t)).alias("n_sentences"), S.pronoun_mentions(t).alias("pronouns"), S.id_mentions(t, F.col("u")).alias("ids"),
-        F.length(S.scrub_boilerplate(t)).alias("scrubbed_chars"), F.length(S.name_referents(t, F.col("u"))).alias("named_chars"), F.length(S.main_clause(F.concat(F.lit("While a (x, y), "), head))).alias("main_chars"), r6(S.content_overlap(head, t)).alias("overlap"),
-    )
-
-
 @query(
     "b14_cosine",
     """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
@@ -201,7 +189,7 @@ def d4_identity_as_of(spark, sf_dir):
     return found.select(F.col("user").alias("c_custkey"), "month", "snapshot_month", "role")
 
 
-_LABELLED = f"""{T.RAW_FEATURES}, top AS (SELECT user_id, arg_max(ts, value) AS t FROM events WHERE user_id % 10 = 0 GROUP BY user_id),
+_LABELLED = f"""{T.RAW_FEATURES}, top AS (SELECT user_id, arg_max(ts, value) AS t FROM events GROUP BY user_id HAVING arg_max(event_type, value) = 'purchase'),
 win AS (SELECT 'U' || user_id AS u, t AS s, t + INTERVAL 3 DAY AS e, 's' || user_id % 3 AS scenario FROM top),
 lab AS (SELECT "user", period, total_http_requests > 0 AS is_flagged, u IS NOT NULL AS is_malicious, scenario FROM raw LEFT JOIN win ON "user" = u AND period::TIMESTAMP <= date_trunc('second', e) AND date_trunc('second', s) <= period::TIMESTAMP + INTERVAL 86399 SECOND)"""
 
@@ -307,20 +295,6 @@ def signal_records(spark, sf_dir):
     return signals.records(signals.facts(flagged_days(spark, sf_dir), config=GATES), period_type="day")
 
 
-@query("g1_facts")
-def g1_facts(spark, sf_dir):
-    """Facts of all signals, one row each."""
-    return signal_records(spark, sf_dir).select("signal_id", F.explode("facts").alias("f")).select("signal_id", "f.*")
-
-
-@query("g3_signals")
-def g3_signals(spark, sf_dir):
-    """Signal records as JSON, evidence ids and context text."""
-    r = signal_records(spark, sf_dir)
-    ids = r.select("signal_id", F.array_join(signals.evidence_ids(F.col("facts")), ",").alias("evidence_ids"), F.to_json(F.struct(*r.columns)).alias("record"))
-    return ids.join(signals.context_text(r), "signal_id")
-
-
 # ---------------------------------------------------------------- H: samples
 
 _ORDER_ROWS = "rows_ AS (SELECT o_orderkey, o_orderpriority, o_orderstatus = 'P' AS bad, md5(o_orderkey || ':20260816') AS k FROM orders)"
@@ -340,10 +314,11 @@ def h2_stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(rows, 1000, "o_orderpriority", "bad", "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
-@query("d5_not_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("d5_not_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def d5_not_done(spark, sf_dir):
-    """What a finished table doesn't have yet."""
-    return sampling.not_done(T.table(spark, sf_dir, "customer").select("c_custkey"), T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """What a finished table, that of customers with an order under way, doesn't have yet."""
+    done = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return sampling.not_done(T.table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
 # ---------------------------------------------------------------- I, C: pooling
@@ -363,7 +338,12 @@ def i1_pool_exact(spark, sf_dir):
     return pooling.pool_exact(_sentences(spark, sf_dir)).select("signal_id", "sentence_id", F.md5(F.col("text").cast("binary")).alias("text"), "n_samples")
 
 
-@query("i2_sentence_ids")
+@query(
+    "i2_sentence_ids",
+    f"""WITH {_POOLED}, n AS (SELECT signal_id, key, 's' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS sentence_id FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY first) AS n FROM p)),
+f AS (SELECT signal_id, sample_index, sentence_id, min(pos) AS pos FROM s JOIN n USING (signal_id, key) GROUP BY ALL)
+SELECT signal_id, sample_index, string_agg(sentence_id, ',' ORDER BY pos) AS sentence_ids FROM f GROUP BY ALL""",
+)
 def i2_sentence_ids(spark, sf_dir):
     """Claims of each draft in order."""
     rows = _sentences(spark, sf_dir)
@@ -408,17 +388,31 @@ def _units(spark, sf_dir):
     return T.table(spark, sf_dir, "embeddings").select(F.col("label").alias("signal_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
 
 
-@query("i3_pool_semantic")
+def _greedy(thresholds: str) -> str:
+    """SQL of greedy clusters, one vector of each label and threshold a step: g(label, t, i, vec_id, heads, cluster)."""
+    sims = "list_transform(g.heads, lambda h: list_cosine_similarity(h, v.e))"
+    hit = f"list_max({sims}) >= g.t"
+    return f"""v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+g(label, t, i, vec_id, heads, cluster) AS (SELECT label, t, i, vec_id, [e], 0::BIGINT FROM v, (SELECT unnest({thresholds}::DOUBLE[]) AS t) WHERE i = 1 UNION ALL
+  SELECT g.label, g.t, v.i, v.vec_id, CASE WHEN {hit} THEN g.heads ELSE list_append(g.heads, v.e) END, CASE WHEN {hit} THEN len(g.heads) - list_position(list_reverse({sims}), list_max({sims})) ELSE len(g.heads) END FROM g JOIN v ON v.label = g.label AND v.i = g.i + 1)"""
+
+
+@query("i3_pool_semantic", f"WITH RECURSIVE {_greedy('[0.3]')} SELECT label AS signal_id, vec_id AS ord, cluster FROM g")
 def i3_pool_semantic(spark, sf_dir):
     """Greedy clusters of vectors in order."""
     return pooling.pool_semantic(_units(spark, sf_dir), 0.3)
 
 
-@query("i5_threshold_sweep")
+@query(
+    "i5_threshold_sweep",
+    f"""WITH RECURSIVE {_greedy('[0.2, 0.3, 0.4]')}, z AS (SELECT t AS threshold, label, cluster, count(*) AS n FROM g GROUP BY ALL)
+SELECT threshold, count(*) AS claims, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n >= 2) AS recurring, count(*) FILTER (n >= 6) AS majority, round(count(*) FILTER (n = 1) / count(*), 6) AS singleton_share, round(count(*) FILTER (n >= 2) / count(*), 6) AS recurring_share, round(count(*) FILTER (n >= 6) / count(*), 6) AS majority_share FROM z GROUP BY threshold""",
+)
 def i5_threshold_sweep(spark, sf_dir):
     """Clusters and singletons at three thresholds."""
     sizes = pooling.threshold_sweep(_units(spark, sf_dir), [0.2, 0.3, 0.4]).groupBy("threshold", "signal_id", "cluster").agg(F.count("*").alias("n_samples"))
-    return pooling.distribution(sizes, F.lit(10), ["threshold"])
+    d = pooling.distribution(sizes, F.lit(10), ["threshold"])
+    return d.withColumns({c: r6(F.col(c)) for c in ("singleton_share", "recurring_share", "majority_share")})
 
 
 @query(
@@ -452,34 +446,47 @@ def j1_self_consistency(spark, sf_dir):
     return grounding.self_consistency(grounding.judged(outside)).withColumn("self_consistency", r6("self_consistency"))
 
 
-def _fact_claims(spark, sf_dir):
-    """Claims from templates over each fact of each signal: its value, a ratio to its own centre, or a number from nowhere."""
-    r = signal_records(spark, sf_dir)
-    f = r.select("signal_id", F.explode("facts").alias("f"))
-    place = F.substring("f.fact_id", 2, 3).cast("int")
-    text = (
-        F.when(place % 3 == 0, F.concat(F.lit("The reason is that "), F.col("f.gloss"), F.lit(" reached "), F.col("f.display")))
-        .when(place % 3 == 1, F.concat(F.lit("While activity (a, b) was normal, the user had "), F.col("f.display"), F.lit(" "), F.col("f.gloss")))
-        .otherwise(F.concat(F.lit("John Smith made 7777777 "), F.col("f.gloss")))
-    )
-    return f.select("signal_id", F.concat(F.lit("s"), F.substring("f.fact_id", 2, 3)).alias("sentence_id"), text.alias("text")), r
-
-
-@query("j13_score_claims")
-def j13_score_claims(spark, sf_dir):
-    """Whole score rows: numbers, entities, weighting, rho."""
-    claims, records = _fact_claims(spark, sf_dir)
-    named = records.withColumn("identity", F.struct(F.lit("Ann Lee").alias("employee_name"), F.lit("Clerk").alias("role"), F.lit("1 - Sales").alias("functional_unit"), F.lit("T1").alias("team")))
-    consistency = claims.select("signal_id", "sentence_id", F.lit(0.5).alias("self_consistency"))
-    return grounding.score_claims(claims, named, consistency)
+@query(
+    "j2_stored_judgements",
+    f"""WITH {T.LINES}, {_OVERLAP.replace("AS hit FROM k c", "AS similar_, c.text AS h, s.text AS p FROM k c").replace("bool_or(hit) AS hit", "bool_or(CASE WHEN length(p) % 3 = 0 THEN length(h) % 2 = 0 ELSE similar_ END) AS hit")} SELECT signal_id, sentence_id, round(avg(hit::INT), 6) AS self_consistency, count(*) AS n_drafts FROM drafts GROUP BY ALL""",
+)
+def j2_stored_judgements(spark, sf_dir):
+    """The same where every third premise has a stored judgement, which counts instead of the overlap."""
+    lines = T.turn_lines(spark, sf_dir)
+    pairs = grounding.claim_pairs(lines.select("signal_id", "sentence_id", "text"), lines).filter(F.col("sample_index") != F.get(F.split("sentence_id", "-"), F.lit(0)).cast("long"))
+    stored = pairs.filter(F.length("premise") % 3 == 0).select("premise", "hypothesis", F.when(F.length("hypothesis") % 2 == 0, "entailment").otherwise("neutral").alias("label")).distinct()
+    return grounding.self_consistency(grounding.judged(pairs, stored)).withColumn("self_consistency", r6("self_consistency"))
 
 
-@query("j14_best_siblings")
+@query(
+    "j14_best_siblings",
+    f"""WITH {T.LINES}, k AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda x: x NOT IN ({", ".join(repr(x) for x in S.STOP_WORDS)})) AS w FROM lines),
+o AS (SELECT c.signal_id, c.sentence_id, s.sample_index, s.text AS premise, CASE WHEN len(c.w) > 0 AND len(s.w) > 0 THEN len(list_intersect(c.w, s.w)) / len(list_distinct(list_concat(c.w, s.w))) ELSE 0 END AS overlap FROM k c JOIN k s ON c.signal_id = s.signal_id AND c.sample_index <> s.sample_index),
+b AS (SELECT signal_id, sentence_id, sample_index, max((overlap, premise)) AS b FROM o WHERE overlap >= 0.1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, sentence_id ORDER BY b[1] DESC, sample_index) AS rank FROM b)
+SELECT signal_id, sentence_id, sample_index, rank::INT AS rank, b[2] AS premise, round(b[1], 6) AS overlap FROM r WHERE rank <= 3""",
+)
 def j14_best_siblings(spark, sf_dir):
-    """The likeliest sentence of each other turn, ranked."""
+    """The likeliest sentence of each other turn, ranked (J14, B20); invented lines share few words, so a tenth is enough here."""
     lines = T.turn_lines(spark, sf_dir)
     pairs = grounding.claim_pairs(lines.select("signal_id", "sentence_id", "text"), lines).filter(F.col("sample_index") != F.get(F.split("sentence_id", "-"), F.lit(0)).cast("long"))
-    return grounding.best_siblings(pairs)
+    return grounding.best_siblings(pairs, least=0.1).withColumn("overlap", r6("overlap"))
+
+
+@query("k2_folds", f"""WITH {T.CLAIMS}, c AS (SELECT cluster_id, label = 'grounded' AS target FROM claims) SELECT cluster_id, target::INT AS target, (row_number() OVER (PARTITION BY target ORDER BY md5(cluster_id || ':42'), cluster_id) % 5)::INT AS fold FROM c""")
+def k2_folds(spark, sf_dir):
+    """Stratified folds (K2)."""
+    return rho.with_folds(T.claims_by_label(spark, sf_dir)).select("cluster_id", "target", "fold")
+
+
+@query(
+    "k3_figures",
+    f"""WITH {T.CLAIMS}, c AS (SELECT score AS s, (label = 'grounded')::INT AS y FROM claims), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM c)
+SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 4) AS auc, round(avg((s - y) ** 2), 6) AS brier, round(avg(abs(s - y)), 6) AS mae FROM r""",
+)
+def k3_figures(spark, sf_dir):
+    """AUC, Brier score and error of a score taken as a probability (K3)."""
+    found = rho.probability_figures(T.claims_by_label(spark, sf_dir), score="score")
+    return spark.createDataFrame([(round(found["auc"], 4), round(found["brier"], 6), round(found["mae"], 6))], "auc double, brier double, mae double")
 
 
 @query("k1_rho_model")
@@ -532,11 +539,27 @@ def l2_risk_curve(spark, sf_dir):
     return calibration.risk_curve(T.claims_by_label(spark, sf_dir)).withColumn("risk", r6("risk"))
 
 
-@query("l3_learn_then_test")
+def _certified(source: str, alphas: str) -> str:
+    """SQL of certified thresholds over the rows of `source`: best(alpha, lambda_hat, achieved_risk, n_selected, n_wrong, p_value, status)."""
+    term = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(alpha) + (n - k) * ln(1 - alpha))"
+    return f"""{_grid}, lc AS (SELECT "lambda", count(*) FILTER (score >= "lambda") AS n, count(*) FILTER (score >= "lambda" AND label IN ('hallucinated', 'misweighted', 'false precision')) AS w FROM grid, {source} GROUP BY "lambda"),
+al AS (SELECT unnest({alphas}::DOUBLE[]) AS alpha), tails AS (SELECT alpha, "lambda", n, w, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, w + 1), lambda k: {term}))) END AS p FROM lc, al),
+runs AS (SELECT *, bool_and(p <= 0.1) OVER (PARTITION BY alpha ORDER BY "lambda" DESC) AS fine FROM tails),
+best AS (SELECT alpha, min("lambda") FILTER (fine) AS lambda_hat, arg_min(w / greatest(n, 1), "lambda") FILTER (fine) AS achieved_risk, arg_min(n, "lambda") FILTER (fine) AS n_selected, arg_min(w, "lambda") FILTER (fine) AS n_wrong, arg_min(p, "lambda") FILTER (fine) AS p_value, CASE WHEN bool_or(fine) THEN 'pass' ELSE 'fail' END AS status FROM runs GROUP BY alpha)"""
+
+
+_six = "[0.05, 0.1, 0.15, 0.2, 0.25, 0.3]"
+
+
+@query(
+    "l3_learn_then_test",
+    f"WITH {_SPLIT}, cal AS (SELECT * FROM split WHERE in_calibration), {_certified('cal', _six)} SELECT alpha, lambda_hat, round(achieved_risk, 6) AS achieved_risk, n_selected, n_wrong, round(p_value, 6) AS p_value, status FROM best",
+)
 def l3_learn_then_test(spark, sf_dir):
     """Certified thresholds on the calibration side (L3)."""
     split = calibration.split_by_user(T.claims_by_label(spark, sf_dir), group="group")
-    return calibration.learn_then_test(split.filter("in_calibration"))
+    found = calibration.learn_then_test(split.filter("in_calibration"))
+    return found.withColumns({c: r6(F.col(c)) for c in ("achieved_risk", "p_value")})
 
 
 @query(
@@ -548,11 +571,18 @@ def l4_conformal_risk(spark, sf_dir):
     return calibration.conformal_risk(T.claims_by_label(spark, sf_dir)).select("alpha", "bound", "lambda_hat")
 
 
-@query("l5_manifest")
+@query(
+    "l5_manifest",
+    f"""WITH {T.CLAIMS}, {_certified('claims', _six)} SELECT 'primary' AS policy, 0.1::DOUBLE AS delta, 42::INT AS seed, 21::INT AS n_lambdas, 'documents' AS source, alpha, lambda_hat, n_selected, n_wrong, status FROM best""",
+)
 def l5_manifest(spark, sf_dir):
-    """The calibration's record as JSON."""
-    m = calibration.manifest(T.claims_by_label(spark, sf_dir), {"source": "documents"})
-    return m.select("policy", F.to_json(F.struct(*m.columns)).alias("record"))
+    """The calibration's record, written as JSON and read again; a row per result."""
+    from plumbline.sources import sinks
+
+    m, at = calibration.manifest(T.claims_by_label(spark, sf_dir), {"source": "documents"}), f"{_scratch(spark)}/manifest"
+    sinks.write_records(m, at)
+    read = logs.read_records(spark, at, m.schema).select("*", F.explode("results").alias("r"))
+    return read.select("policy", "delta", "seed", F.size("lambdas").alias("n_lambdas"), F.col("provenance")["source"].alias("source"), "r.alpha", "r.lambda_hat", "r.n_selected", "r.n_wrong", "r.status")
 
 
 @query(
@@ -628,14 +658,29 @@ def m5_ranks_of_wrong(spark, sf_dir):
     return r.select("case", r6("case_score").alias("case_score"), "above", r6("share").alias("share"))
 
 
-@query("m7_alpha_series")
+_test_error = 'count(*) FILTER (score >= lambda_hat AND label IN (\'hallucinated\', \'misweighted\', \'false precision\'))'
+
+
+@query(
+    "m7_alpha_series",
+    f"""WITH {_SPLIT}, cal AS (SELECT * FROM split WHERE in_calibration), {_certified('cal', '[0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]')}
+SELECT alpha, lambda_hat, count(*) FILTER (score >= lambda_hat) AS accepted, {_test_error} AS wrong, round({_test_error} / greatest(count(*) FILTER (score >= lambda_hat), 1), 6) AS error, round(coalesce(count(*) FILTER (score >= lambda_hat AND label = 'grounded') / nullif(count(*) FILTER (label = 'grounded'), 0), 0), 6) AS recall
+FROM best, (SELECT * FROM split WHERE NOT in_calibration) GROUP BY alpha, lambda_hat""",
+)
 def m7_alpha_series(spark, sf_dir):
     """Error and recall of the test side at each alpha's threshold (M7)."""
     split = calibration.split_by_user(T.claims_by_label(spark, sf_dir), group="group")
     cuts = calibration.learn_then_test(split.filter("in_calibration"), alphas=tuple(x / 20 for x in range(1, 11)))
     pairs = [F.struct(F.lit(r.alpha).alias("alpha"), F.lit(r.lambda_hat).cast("double").alias("lambda_hat")) for r in cuts.collect()]  # one for each alpha
     test = split.filter(~F.col("in_calibration")).select("*", F.explode(F.array(*pairs)).alias("c")).select("*", "c.*")
-    return test.groupBy("alpha", "lambda_hat").agg(*evaluation._figures(F.col("score") >= F.col("lambda_hat"), "primary"))
+    return _rounded(test.groupBy("alpha", "lambda_hat").agg(*evaluation._figures(F.col("score") >= F.col("lambda_hat"), "primary")))
+
+
+@query("m11_case_report", f"WITH {T.CLAIMS}, k AS (SELECT unnest(['24', '37', '67', 'nowhere']) AS cluster_id) SELECT cluster_id, label, round(score, 6) AS score, round(fact_match, 6) AS fact_match FROM k LEFT JOIN claims USING (cluster_id)")
+def m11_case_report(spark, sf_dir):
+    """Score rows of named claims, one of which isn't there."""
+    cases = spark.createDataFrame([("24",), ("37",), ("67",), ("nowhere",)], "cluster_id string")
+    return evaluation.case_report(T.claims_by_label(spark, sf_dir), cases).select("cluster_id", "label", r6("score").alias("score"), r6("fact_match").alias("fact_match"))
 
 
 @query("c13_score_histogram", f"WITH {T.CLAIMS} SELECT label, least(floor(score * 20), 19)::INT AS bin, count(*) AS n FROM claims GROUP BY ALL")
@@ -643,23 +688,6 @@ def c13_score_histogram(spark, sf_dir):
     return evaluation.score_histogram(T.claims_by_label(spark, sf_dir))
 
 
-@query("m8_signal_profile")
-def m8_signal_profile(spark, sf_dir):
-    """Peer sizes, true exceedance, hidden maxima of signals (M8)."""
-    return evaluation.signal_profile(signal_records(spark, sf_dir))
-
-
-@query("m10_wordings")
-def m10_wordings(spark, sf_dir):
-    """Two wordings of drafts over the same signals, compared."""
-    r = signal_records(spark, sf_dir)
-    profiles = evaluation.signal_profile(r)
-    context = signals.context_text(r)
-    old = context.select("signal_id", F.lit(0).alias("sample_index"), F.concat(F.lit("This exceeds the recent maximum of 5 sigma. "), F.col("context")).alias("text"))
-    new = context.select("signal_id", F.lit(0).alias("sample_index"), F.col("context").alias("text"))
-    return evaluation.wording_comparison(evaluation.wording_hits(old, profiles), evaluation.wording_hits(new, profiles))
-
-
 @query("d6_context", f"""WITH {T.CLAIMS} SELECT cluster_id || '_s001' AS cluster_id, cluster_id AS signal_id, CASE WHEN cluster_id::BIGINT % 2 = 0 THEN 'R' || cluster_id::BIGINT % 5 ELSE 'Unknown' END AS rules, CASE WHEN cluster_id::BIGINT % 3 = 0 THEN "group" ELSE 'Unknown' END AS "group" FROM claims""")
 def d6_context(spark, sf_dir):
     """Key lookups with defaults."""
@@ -703,25 +731,19 @@ def d13_disagreements(spark, sf_dir):
 # ---------------------------------------------------------------- N: judgement tables
 
 
-@query("n1_requests")
-def n1_requests(spark, sf_dir):
-    """Generation and grouping requests as JSON lines."""
-    made = judgements.generation_requests(signals.context_text(signal_records(spark, sf_dir)), "Describe the user's period.").withColumn("kind", F.lit("generation"))
-    claims = pooling.pool_exact(pooling.sentence_rows(T.turn_lines(spark, sf_dir).select("signal_id", "sample_index", "text"), F.split("text", "\n")))
-    grouped = judgements.grouping_requests(claims, "Group what means the same.").select("value", F.lit("grouping").alias("kind"))
-    return made.select("value", "kind").unionByName(grouped)
-
-
 @query(
     "n3_scoring_requests",
-    f"""WITH {T.LINES}, c AS (SELECT DISTINCT text FROM lines) SELECT sha1('m|' || kind || '|' || text) AS key_sha1, kind FROM c, (SELECT unnest(['weighting', 'numbers']) AS kind) WHERE NOT (kind = 'weighting' AND length(text) % 2 = 0)""",
+    f"""WITH {T.LINES}, c AS (SELECT DISTINCT text FROM lines), p AS (SELECT DISTINCT a.text AS p, b.text AS h FROM lines a JOIN lines b ON a.signal_id = b.signal_id AND b.sample_index = a.sample_index + 1)
+SELECT sha1('m|' || kind || '|' || text) AS key_sha1, kind FROM c, (SELECT unnest(['weighting', 'numbers']) AS kind) WHERE NOT (kind = 'weighting' AND length(text) % 2 = 0) UNION ALL SELECT sha1('m|entailment|' || p || '|' || h), 'entailment' FROM p""",
 )
 def n3_scoring_requests(spark, sf_dir):
-    """Requests that no stored judgement answers, kind by kind."""
-    lines = T.turn_lines(spark, sf_dir).select("text")
+    """Requests that no stored judgement answers, kind by kind; pairs are lines of a turn and of the next one."""
+    all_lines = T.turn_lines(spark, sf_dir)
+    lines = all_lines.select("text")
+    after = all_lines.select("signal_id", (F.col("sample_index") - 1).alias("sample_index"), F.col("text").alias("hypothesis"))
+    pairs = all_lines.select("signal_id", "sample_index", F.col("text").alias("premise")).join(after, ["signal_id", "sample_index"]).select("premise", "hypothesis")
     stored = lines.filter(F.length("text") % 2 == 0).select(judgements.request_key("m", "weighting", F.col("text")).alias("key_sha1"), F.lit("weighting").alias("kind")).distinct()
-    none = lines.limit(0).select(F.col("text").alias("premise"), F.col("text").alias("hypothesis"))
-    return judgements.scoring_requests(none, lines, stored, "m").select("key_sha1", "kind")
+    return judgements.scoring_requests(pairs, lines, stored, "m").select("key_sha1", "kind")
 
 
 @query(
@@ -754,35 +776,47 @@ def n6_stored_drafts(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the session's shared checkpoint folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 @query(
     "o1_weekly_stream",
-    """SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS events, count(*) FILTER (hour(ts) < 7 OR hour(ts) >= 19) AS after_hours_events, count(DISTINCT event_type) AS event_types FROM events GROUP BY 1, 2""",
+    """SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS events, count(*) FILTER (hour(ts) < 7 OR hour(ts) >= 19) AS after_hours_events, count(DISTINCT event_type) AS event_types FROM events GROUP BY 1, 2, date_trunc('week', ts) HAVING date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 14 DAY""",
 )
 def o1_weekly_stream(spark, sf_dir):
-    """Weekly features of a file stream, read to its end (O1)."""
+    """Weekly features of a file stream, read to its end: weeks come out once the watermark, 14 days behind, has passed them, and leave the
+    state (O1)."""
     from plumbline.streaming import events as stream
 
     schema = T.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     at = _scratch(spark)
-    stream.run_to_end(stream.weekly_counts(source), f"{at}/out", f"{at}/checkpoint", "complete")
+    stream.run_to_end(stream.weekly_counts(source), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("user_id", F.date_format("week_start", "yyyy-MM-dd").alias("week"), "events", "after_hours_events", "event_types")
 
 
-@query("o2_adaptive_stream")
+_STEP = 'greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1)))'
+
+
+@query(
+    "o2_adaptive_stream",
+    f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "group" AS k, "user" AS period, round(score * 10000)::INT / 10000.0::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
+g AS (SELECT k, period, list((s, wrong)) AS l, row_number() OVER (PARTITION BY k ORDER BY period) AS i FROM c GROUP BY k, period),
+step(k, i, period, "lambda", err) AS (SELECT k, 1::BIGINT, period, 0.9::DOUBLE, len(list_filter(l, lambda x: x[1] >= 0.9 AND x[2]))::DOUBLE / greatest(len(list_filter(l, lambda x: x[1] >= 0.9)), 1) FROM g WHERE i = 1 UNION ALL
+  SELECT g.k, g.i, g.period, {_STEP}, len(list_filter(g.l, lambda x: x[1] >= {_STEP} AND x[2]))::DOUBLE / greatest(len(list_filter(g.l, lambda x: x[1] >= {_STEP})), 1) FROM step JOIN g ON g.k = step.k AND g.i = step.i + 1)
+SELECT k AS stream_id, period, round("lambda", 6) AS "lambda", round(err, 6) AS err FROM step""",
+)
 def o2_adaptive_stream(spark, sf_dir):
-    """The acceptance threshold of a stream of claims (O2)."""
+    """The acceptance threshold of streams of claims, one for each group (O2)."""
     from plumbline.streaming import events as stream
 
     at = _scratch(spark)
-    claims = T.claims_by_label(spark, sf_dir).select(F.lit("all").alias("stream_id"), F.col("user").alias("period"), "score", "label")
+    claims = T.claims_by_label(spark, sf_dir).select(F.col("group").alias("stream_id"), F.col("user").alias("period"), "score", "label")
     claims.write.parquet(f"{at}/claims")
     source = spark.readStream.schema(claims.schema).parquet(f"{at}/claims")
     stream.run_to_end(stream.adaptive_threshold(source), f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").withColumns({c: r6(F.col(c)) for c in ("lambda", "err")})
+
+
+# modules that register more of them
+from plumbline.plans import record_queries, table_queries, text_queries  # noqa: E402,F401

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Number of fields of each log, and the place of each field that is read.
 LOGS: dict[str, tuple[int, dict[str, int]]] = {
@@ -55,9 +56,10 @@ def without_periods(features: DataFrame, periods: list[str]) -> DataFrame:
     return features.filter(~F.col("period").isin(periods))
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly `YYYY-MM.csv` files with their month; an error if there are none."""
-    rows = spark.read.option("header", True).csv(f"{folder}/*.csv").withColumn("snapshot_month", F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2})\.csv$", 1))
+def read_snapshots(spark: SparkSession, folder: str, files: str = "*.csv") -> DataFrame:
+    """Monthly `YYYY-MM.csv` files with their month, or with files="*/*.csv" folders that a month ends the name of; an error if there
+    are none."""
+    rows = spark.read.option("header", True).csv(f"{folder}/{files}").withColumn("snapshot_month", F.regexp_extract("_metadata.file_path", r"(\d{4}-\d{2})(?:\.csv|/[^/]*)$", 1))
     return rows.filter(F.assert_true(F.col("snapshot_month") != "", F.lit("a snapshot's file name has no month")).isNull())
 
 
@@ -92,7 +94,7 @@ NARRATIVE = """signal_id string, model string, prompt_version string, temperatur
  sentences array<struct<sentence_id:string,text:string,variants:array<string>,n_variants:int,appears_in:array<int>,n_samples:int>>"""
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines with a given schema; absent keys are null."""
     return spark.read.schema(schema).json(path)
 
