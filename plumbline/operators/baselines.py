@@ -67,11 +67,11 @@ def clipped_z(value: Column, centre: Column, spread: Column, cap: float) -> Colu
     return F.when(z.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), z)))
 
 
-def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig()) -> DataFrame:
+def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), scales: DataFrame | None = None) -> DataFrame:
     """Adds self_center, self_spread, self_z, self_first, self_hist_max from the user's earlier rows: the last `window` present
-    ones, at least `min_history`, the row itself left out. Arrays hold `window` values at most."""
+    ones, at least `min_history`, the row itself left out. Arrays hold `window` values at most. scales: global_scales, if at hand."""
     earlier = Window.partitionBy("user", "feature").orderBy("period").rowsBetween(-config.window, -1)
-    scaled = rows.join(F.broadcast(global_scales(rows)), "feature")  # one row for each feature
+    scaled = rows.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature
     h = scaled.withColumn("_h", F.collect_list("value").over(earlier))
     ready = F.size("_h") >= config.min_history
     mean = F.aggregate("_h", F.lit(0.0), lambda s, v: s + v) / F.size("_h")
@@ -92,9 +92,8 @@ def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig()) -
     )
 
 
-def peer_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
-    """Adds peer_center, peer_spread, peer_z, peer_n from all rows of the same role, period and feature. The z is withheld
-    at centre 0, centre and z in groups below min_peers; spread and size stay."""
+def peer_spreads(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role", scales: DataFrame | None = None) -> DataFrame:
+    """A row per role, period and feature: centre, size and raw spread of its values, and the feature's scale."""
     keys = ["feature", role, "period"]
     if config.robust:
         counts = value_counts(rows, keys)
@@ -102,9 +101,27 @@ def peer_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), r
         spreads = counts.join(centres, keys).groupBy(*keys).agg((F.lit(MAD_TO_SD) * _middle(F.abs(F.col("value") - F.col("_c")))).alias("_raw"), F.first("_c").alias("_c"), F.first("peer_n").alias("peer_n"))
     else:
         spreads = rows.groupBy(*keys).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("_raw"), F.avg("value").alias("_c"), F.count("*").alias("peer_n"))
-    spreads = small(durable(spreads.join(F.broadcast(global_scales(rows)), "feature")))  # one row for each group
-    both = rows.join(spreads, keys)
+    return spreads.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature
+
+
+def with_peers(rows: DataFrame, spreads: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
+    """Adds peer_center, peer_spread, peer_z, peer_n to rows from peer_spreads. The z is withheld at centre 0, centre and z in groups
+    below min_peers; spread and size stay."""
+    both = rows.join(small(durable(spreads)), ["feature", role, "period"])
     both = both.withColumn("peer_spread", F.greatest("_raw", spread_floor(F.col("feature"), F.col("_c"), F.col("scale"), config)))
     enough = F.col("peer_n") >= config.min_peers
     z = F.when(enough & (F.col("_c") != 0), clipped_z(F.col("value"), F.col("_c"), F.col("peer_spread"), config.z_cap))
     return both.select(*rows.columns, F.when(enough, F.col("_c")).alias("peer_center"), "peer_spread", z.alias("peer_z"), F.col("peer_n").cast("int").alias("peer_n"))
+
+
+def peer_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
+    """rows with the baselines of all rows of the same role, period and feature."""
+    return with_peers(rows, peer_spreads(rows, config, role), config, role)
+
+
+def baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
+    """Self and peer baselines of rows that are cheap to read again: the scales are found once, and rows are shuffled for the
+    users' histories only."""
+    scales = durable(global_scales(rows))
+    # kept: what follows would else be merged with the nested medians of histories into expressions too large to plan
+    return with_peers(durable(self_baselines(rows, config, scales)), peer_spreads(rows, config, role, scales), config, role)

@@ -264,9 +264,8 @@ def e7_plain_baselines(spark, sf_dir):
 
 
 def baselined_days(spark, sf_dir):
-    """Raw features are read several times by the baselines, so each step is kept; logs are aggregated once."""
-    rows = durable(T.user_roles(features.long_features(T.raw_features(spark, sf_dir))))
-    return baselines.peer_baselines(durable(baselines.self_baselines(rows)))
+    """The baselines read features several times, so these are kept; logs are aggregated once."""
+    return baselines.baselines(durable(T.user_roles(features.long_features(T.raw_features(spark, sf_dir)))))
 
 
 #: Gates low enough for the stand-in's small counts.
