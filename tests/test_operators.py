@@ -271,3 +271,36 @@ def test_judgement_tables(spark):
     stored = judgements.upsert(keys, spark.createDataFrame([("k1", "entailment")], keys.schema))
     assert stored.count() == 2
     assert judgements.chunk_of(spark.createDataFrame([(str(i),) for i in range(10)], "key_sha1 string"), 4).select("chunk").distinct().count() <= 3
+
+
+def test_ranks_in_parts_are_those_of_the_whole(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).alias("g")).withColumn("k", sampling.shuffle_key(F.col("id"), 42))
+    got = {(r.g, r["rank"]): r.id for r in sampling.ranked(rows, "g", "k", "id").collect()}
+    for g in (True, False):
+        want = [r.id for r in sorted((r for r in rows.filter(F.col("g") == g).collect()), key=lambda r: (r.k, r.id))]
+        assert [got[(g, i + 1)] for i in range(len(want))] == want
+
+
+def test_generation_summary(spark):
+    asked = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "signal_id string, is_malicious boolean")
+    drafts = spark.createDataFrame([("a", 0), ("a", 1), ("c", 0)], "signal_id string, sample_index int")
+    r = pooling.generation_summary(asked, drafts, spark.range(7)).first()
+    assert tuple(r) == (3, 2, 1, 7)
+
+
+def test_late_events_are_left_out_and_leave_no_state(spark, tmp_path):
+    import os
+
+    from plumbline.streaming import events as stream
+
+    schema = "user_id long, ts timestamp, event_type string, value double"
+    batches = (["2024-02-26 10:00:00", "2024-03-20 10:00:00"], ["2024-03-21 23:00:00"], ["2024-01-02 10:00:00", "2024-05-01 10:00:00"])  # a batch drops what the watermark before the last batch has passed
+    for i, times in enumerate(batches):
+        path = tmp_path / "in" / f"{i}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("".join(f'{{"user_id": 1, "ts": "{t}", "event_type": "a", "value": 1.0}}\n' for t in times))
+        os.utime(path, (1_700_000_000 + 100 * i,) * 2)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream.run_to_end(stream.weekly_counts(source), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = {str(r.week_start)[:10]: (r.events, r.after_hours_events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2024-02-26": (1, 0), "2024-03-18": (2, 1)}  # the event of January came when its week was over; May's is still open
