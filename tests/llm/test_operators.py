@@ -77,6 +77,13 @@ def test_chat_rows(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_a_very_long_conversation(spark):
+    rows = [(5, t, "assistant" if t % 2 else "user", f"turn {t} </s>" * (40_000 if t == 7 else 1)) for t in range(600)]
+    got = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))).filter("conv_id = 5").first()
+    said = "".join(x for _, t, _, x in rows if t % 2)
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (600, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -225,6 +232,34 @@ def test_quality_classifier(spark, docs, rows, nothing):
     assert quality_classifier.document_statistics(nothing).count() == 0
 
 
+def test_quality_classifier_equals_plain_numpy(spark):
+    """Partition sums, weights and the isotonic grid against one matrix and pooled violators."""
+    import numpy as np
+
+    q = quality_classifier
+    rng = np.random.RandomState(7)
+    x = rng.normal(size=(240, len(q.STATISTICS)))
+    y = (x[:, 0] + 0.7 * rng.normal(size=240) > 0).astype(int)
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, y int")
+    to_features = q.FourierMap(x.mean(axis=0), x.std(axis=0))
+    z = to_features(x)
+    sums = q.normal_equations(features.join(labels, "doc_id").select("x", "y"), to_features)
+    assert np.allclose(sums, z.T @ np.column_stack([z, y]))
+    raw = z @ np.linalg.solve(z.T @ z + q.RIDGE * len(y) * np.eye(z.shape[1]), z.T @ y)
+    cells = np.round(np.clip(raw, -0.5, 1.5) * q.GRID).astype(int)
+    blocks = []  # mean, weight, cells
+    for c in np.unique(cells):
+        blocks.append([y[cells == c].mean(), (cells == c).sum(), [c]])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (m, w, cs), (n, v, ds) = blocks[-2:]
+            blocks[-2:] = [[(m * w + n * v) / (w + v), w + v, cs + ds]]
+    at, value = zip(*[(c / q.GRID, m) for m, _, cs in blocks for c in cs])
+    want = np.clip(0.999 * np.interp(raw, at, value) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    got = {r.doc_id: r.score for r in q.score(features, q.fit(features, labels)).collect()}
+    assert np.allclose([got[i] for i in range(240)], want, atol=1e-6)
+
+
 # ---------------------------------------------------------------- 5
 
 
