@@ -6,7 +6,10 @@ A claim is accepted when its score is at least lambda. Rows: user, group, score,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,24 +99,36 @@ def manifest(rows: DataFrame, settings: dict, policy: str = "primary", delta: fl
     )
 
 
+CELLS = 10_001
+
+
 def adaptive_thresholds(rows: DataFrame, policy: str = "primary", alpha: float = 0.10, gamma: float = 0.05, start: float = 0.90) -> DataFrame:
     """Lambda period by period: after a period with error e it moves by gamma * (e - alpha), within 0 and 1. rows: period, score,
-    label. Scores count to four decimals, so what is folded in order is 10,001 counts a period at most."""
-    cell = F.round(F.col("score") * 10_000).cast("int")
+    label. Scores count to four decimals, so all tasks count first, and what the one chain of periods reads, period by period, is CELLS
+    counts each at most, whatever the rows."""
+    cell = F.round(F.col("score") * (CELLS - 1)).cast("int")
     wrong = F.count_if(F.col("label").isin(*POLICIES[policy]))
     cells = rows.filter("score IS NOT NULL").groupBy("period", cell.alias("cell")).agg(F.count("*").cast("double").alias("n"), wrong.cast("double").alias("w"))
-    periods = cells.groupBy("period").agg(F.collect_list(F.struct("cell", "n", "w")).alias("cells"))
-    ordered = periods.agg(F.array_sort(F.collect_list(F.struct("period", "cells"))).alias("p"))
-    zero = F.expr(f"named_struct('lam', {start}D, 'path', cast(array() as array<struct<period:string,lambda:double,err:double>>))")
-    kind = dict(rows.dtypes)["period"]
-
-    def step(state, p):
-        inside = F.filter(p["cells"], lambda c: c["cell"] / 10_000.0 >= state["lam"])
-        total = F.aggregate(inside, F.lit(0.0), lambda s, c: s + c["n"])
-        err = F.aggregate(inside, F.lit(0.0), lambda s, c: s + c["w"]) / F.greatest(total, F.lit(1.0))
-        after = F.greatest(F.lit(0.0), F.least(F.lit(1.0), state["lam"] + F.lit(gamma) * (err - F.lit(alpha))))
-        seen = F.struct(p["period"].cast("string").alias("period"), state["lam"].alias("lambda"), err.alias("err"))
-        return F.struct(after.alias("lam"), F.concat(state["path"], F.array(seen)).alias("path"))
-
-    path = ordered.select(F.explode(F.aggregate("p", zero, step)["path"]).alias("x"))
-    return path.select(F.col("x.period").cast(kind).alias("period"), F.col("x.lambda").alias("lambda"), F.col("x.err").alias("err"))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lam, period, sums = start, None, np.zeros((2, CELLS))
+        scores = np.arange(CELLS) / (CELLS - 1)
+
+        def closed() -> tuple:
+            n, w = sums[:, scores >= lam].sum(axis=1)
+            return period, lam, float(w) / max(float(n), 1.0)
+
+        for pdf in batches:
+            out = []
+            for now, part in pdf.groupby("period", sort=False):
+                if period is not None and now != period:
+                    out.append(closed())
+                    lam = min(1.0, max(0.0, lam + gamma * (out[-1][2] - alpha)))
+                    sums = np.zeros((2, CELLS))
+                period = now
+                np.add.at(sums, (slice(None), part["cell"].to_numpy()), part[["n", "w"]].to_numpy().T)
+            yield pd.DataFrame(out, columns=["period", "lambda", "err"])
+        if period is not None:
+            yield pd.DataFrame([closed()], columns=["period", "lambda", "err"])
+
+    return cells.repartition(1).sortWithinPartitions("period", "cell").mapInPandas(chain, f"period {dict(rows.dtypes)['period']}, lambda double, err double")
