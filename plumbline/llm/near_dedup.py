@@ -11,7 +11,7 @@
    bound that never rules out a true link. Depth adapts to the region: one in which more than REGION rows
    are outside its largest group is walked again with deeper keys and more trees (LEVELS), which keeps that chance below 1e-6;
    what stays crowded at the last level is dealt in blocks of rows, two by two. A region gives a spanning forest of what the
-   bound leaves; those pairs are confirmed, and only regions with a pair that fails give all their pairs.
+   bound leaves; those pairs are confirmed, and regions with a pair that fails give another one, up to FORESTS, then all their pairs.
 
 So no row has a limit on partners. A crowd of texts that differ from each other by little more than the threshold allows, without
 links to merge them, is compared row by row in blocks: its cost grows with the square of its distinct texts.
@@ -45,6 +45,8 @@ SHARED = 3
 REGION = 4096
 #: Values and trees of the regions that follow where a region is crowded: a pair at 0.8 is missed with a chance of 5e-7.
 LEVELS = ((6, 48),)
+#: Spanning forests of a region that are tried before all of its pairs are.
+FORESTS = 4
 #: Link when 100 * intersection >= similarity * union; this is what the operator's query asks for.
 SIMILARITY = 85
 SEED = 97
@@ -200,6 +202,10 @@ def deeper(documents: DataFrame, ids: DataFrame, depth: int, trees: int) -> Data
     return texts.mapInArrow(run, "tree int, key binary, id long").distinct()
 
 
+#: Bytes of bits that are compared at a time.
+COMPARED_BYTES = 4_000_000
+
+
 class Compared:
     """Rows of regions, with bit matrices by length; `apart` bounds the number of shingles in which pairs of rows differ."""
 
@@ -219,8 +225,9 @@ class Compared:
             for other in (self.rows, self.folded):
                 m = n if other is self.rows else 2 * n
                 at = np.flatnonzero((self.size[low] == n) & (self.size[high] == m))
-                for k in range(0, len(at), 50_000):
-                    x = at[k : k + 50_000]
+                step = max(1, COMPARED_BYTES // n)
+                for k in range(0, len(at), step):
+                    x = at[k : k + step]
                     out[x] = np.bitwise_count(self.rows[n][self.place[low[x]]] ^ other[m][self.place[high[x]]]).sum(axis=1, dtype=np.int64)
         return out
 
@@ -231,9 +238,9 @@ _PAIRS = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("a", pa.int64()
 TOGETHER = 4_000
 
 
-def _compare(batches: Iterator[pa.RecordBatch], similarity: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by region: pairs of different groups that may be similar enough. All of them, or only as many as
-    join the groups that they can join."""
+def _compare(batches: Iterator[pa.RecordBatch], similarity: int, attempt: int | None) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by region: pairs of different groups that may be similar enough. Only as many as join the groups that
+    they can join, the likeliest first (attempt 0) or others (further attempts); all of them if attempt is None."""
 
     def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = {x: t.column(x).combine_chunks() for x in t.column_names}
@@ -260,7 +267,7 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, whole: bool) ->
         for a, z in zip(starts.tolist(), stops.tolist()):
             if z - a > 64:
                 everyone, some = np.arange(a, z), np.flatnonzero(minor[a:z]) + a
-                step = max(1, 500_000 // (z - a))
+                step = max(1, 100_000 // (z - a))
                 for k in range(0, len(some), step):
                     i, j = np.repeat(some[k : k + step], z - a), np.tile(everyone, len(some[k : k + step]))
                     once = ~minor[j] | (i < j)
@@ -268,8 +275,9 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, whole: bool) ->
         if not found:
             return
         i, j, apart = (np.concatenate(x) for x in zip(*found))
-        if not whole:
-            order = np.lexsort((apart, region[i]))
+        if attempt is not None:
+            mixed = _mix((ids[i] * 31 + ids[j]).astype(_U) + _U(attempt) * _PLACE[0])
+            order = np.lexsort((apart if attempt == 0 else mixed, region[i]))
             above: dict[tuple[int, int], tuple[int, int]] = {}
 
             def top(x: tuple[int, int]) -> tuple[int, int]:
@@ -307,7 +315,7 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, whole: bool) ->
         yield from pairs_of(pa.Table.from_batches(held))
 
 
-def compared(members: DataFrame, regions: DataFrame, classes: DataFrame, similarity: int, whole: bool) -> DataFrame:
+def compared(members: DataFrame, regions: DataFrame, classes: DataFrame, similarity: int, attempt: int | None) -> DataFrame:
     """members: tree, key, id, root; regions: tree, key, main, n_rows, n_minor; classes: id, n_shingles, bits. Pairs as _compare has them.
 
     Rows of the region's largest group are dealt in blocks, the others go to each block; with more than REGION others, all rows are
@@ -320,7 +328,7 @@ def compared(members: DataFrame, regions: DataFrame, classes: DataFrame, similar
     parts = F.when(F.col("n_rows") <= REGION, F.array(F.lit(0).cast("long"))).when(crowded, two).when(F.col("minor"), every).otherwise(F.array(own))
     here = here.withColumn("part", F.explode(parts)).join(classes.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
     here = here.select("tree", "key", F.xxhash64("tree", "key", "part").alias("region"), "id", "root", "n", (F.col("minor") | crowded).alias("minor"), "bits")
-    return here.repartition("region").sortWithinPartitions("region", "id").mapInArrow(partial(_compare, similarity=similarity, whole=whole), PAIRS)
+    return here.repartition("region").sortWithinPartitions("region", "id").mapInArrow(partial(_compare, similarity=similarity, attempt=attempt), PAIRS)
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
@@ -390,21 +398,22 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
         more = depth is not None and not crowded.isEmpty()
         if more:
             regions = regions.filter(F.col("n_minor") <= REGION)
-        first = durable(compared(rooted, regions, classes, similarity, whole=False))
-        fresh = first.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        good = durable(confirmed(durable(fresh), documents, similarity))
-        links = grown(links, good)
-        # regions with a pair that isn't a link, and ends that are still apart
-        root_of = lambda x: links.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-        apart = first.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        again = durable(apart.select("tree", "key").distinct())
-        if not again.isEmpty():
-            tested = durable(tested.unionByName(first.select("a", "b").distinct()).distinct())
+        for attempt in (*range(FORESTS), None):
+            pairs = durable(compared(rooted, regions, classes, similarity, attempt))
+            fresh = durable(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+            good = durable(confirmed(fresh, documents, similarity))
+            links = grown(links, good)
+            if attempt is None:
+                break
+            tested = durable(tested.unionByName(fresh))
+            # regions with a pair that isn't a link, and ends that are still apart
+            root_of = lambda x: links.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+            apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            again = durable(apart.select("tree", "key").distinct())
+            if again.isEmpty():
+                break
             rooted = _rooted(members.join(small(again), ["tree", "key"], "left_semi"), links)
-            rest = compared(rooted, durable(open_regions(rooted)), classes, similarity, whole=True).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            rest = durable(rest)
-            links = grown(links, confirmed(rest, documents, similarity))
-            tested = durable(tested.unionByName(rest))
+            regions = durable(open_regions(rooted))
         if not more:
             return links
         ids = members.join(small(crowded.select("tree", "key")), ["tree", "key"], "left_semi").select("id")
