@@ -37,7 +37,7 @@ from plumbline.llm.common import durable, table
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's blocking value; a window holds LENGTH - PART + 1 = 25 of them.
 PART = 26
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 PANEL_BYTES = 1_000_000
 #: Bytes of candidate runs that one bucket should hold.
 BUCKET_BYTES = 2_000_000
@@ -74,10 +74,9 @@ class Panel:
 
     def __init__(self, data: np.ndarray, rows: np.ndarray, bases: np.ndarray, lengths: np.ndarray):
         self.data = data
-        power, inverse = _tables()
+        inverse = _tables()[1]
         n = len(data)
-        self.sums = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[data] * power[:n], out=self.sums[1:])
+        sums = self.sums()
         piece = np.repeat(np.arange(len(lengths)), lengths)
         windows = n - LENGTH + 1
         if windows <= 0:
@@ -85,7 +84,7 @@ class Panel:
             self.value = self.content = np.empty(0, _U)
             self.row = self.at = np.empty(0, np.int64)
             return
-        h = _mix((self.sums[PART:] - self.sums[:-PART]) * inverse[: n - PART + 1])
+        h = _mix((sums[PART:] - sums[:-PART]) * inverse[: n - PART + 1])
         for step in (1, 2, 4, 8):
             h = np.minimum(h[:-step], h[step:])
         least = np.minimum(h[: -(LENGTH - PART + 1 - 16)], h[LENGTH - PART + 1 - 16 :])
@@ -98,14 +97,20 @@ class Panel:
         good = ok[start]
         self.start, self.end = start[good], end[good]
         self.value = least[self.start]
-        self.content = self.hash_of(self.start, self.end + LENGTH)
+        self.content = self.hash_of(self.start, self.end + LENGTH, sums)
         own = piece[self.start]
         begins = np.cumsum(lengths) - lengths
         self.row, self.at = rows[own], self.start - begins[own] + bases[own]  # at: place of the first window in its document
 
-    def hash_of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def sums(self) -> np.ndarray:
+        """Running sums of the bytes' hashes; eight times the data, so they are made where they are needed and not kept."""
+        out = np.zeros(len(self.data) + 1, _U)
+        np.cumsum(_BYTE[self.data] * _tables()[0][: len(self.data)], out=out[1:])
+        return out
+
+    def hash_of(self, start: np.ndarray, stop: np.ndarray, sums: np.ndarray) -> np.ndarray:
         inverse = _tables()[1]
-        return _mix((self.sums[stop] - self.sums[start]) * inverse[start] + (stop - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+        return _mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def panels(payload: bytes, lengths: np.ndarray) -> Iterator[Panel]:
@@ -288,7 +293,7 @@ class SharedRuns:
             n = (p.end - p.start + 1)[hot]
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             hot_start = np.repeat(p.start[hot], n) + within
-            hot_hash = p.hash_of(hot_start, hot_start + LENGTH)
+            hot_hash = p.hash_of(hot_start, hot_start + LENGTH, p.sums()) if len(hot_start) else np.empty(0, _U)
             start = np.concatenate([p.start[cold], hot_start])
             size = np.concatenate([p.end[cold] - p.start[cold], np.zeros(len(hot_start), np.int64)]) + LENGTH
             parts.append(
@@ -301,7 +306,7 @@ class SharedRuns:
                     _gather(p.data, start, size) if with_bytes else np.empty(0, np.uint8),
                 )
             )
-            p.data = p.sums = None
+            p.data = None
         empty = (np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8))
         self.group, self.content, self.size, self.row, self.at, self.data = (np.concatenate(x) for x in zip(*parts)) if parts else empty
         self.doc = ids[self.row]
