@@ -11,7 +11,8 @@
    bound that never rules out a true link. Depth adapts to the region: one in which more than REGION rows
    are outside its largest group is walked again with deeper keys and more trees (LEVELS), which keeps that chance below 1e-6;
    what stays crowded at the last level is dealt in blocks of rows, two by two. A region gives a spanning forest of what the
-   bound leaves; those pairs are confirmed, and regions with a pair that fails give another one, up to FORESTS, then all their pairs.
+   bound leaves; those pairs are confirmed, and regions with a pair that fails give another one while that finds links, up to FORESTS, then all
+   their pairs.
 
 So no row has a limit on partners. A crowd of texts that differ from each other by little more than the threshold allows, without
 links to merge them, is compared row by row in blocks: its cost grows with the square of its distinct texts.
@@ -398,7 +399,8 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
         more = depth is not None and not crowded.isEmpty()
         if more:
             regions = regions.filter(F.col("n_minor") <= REGION)
-        for attempt in (*range(FORESTS), None):
+        attempt = 0
+        while True:
             pairs = durable(compared(rooted, regions, classes, similarity, attempt))
             fresh = durable(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
             good = durable(confirmed(fresh, documents, similarity))
@@ -414,6 +416,8 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
                 break
             rooted = _rooted(members.join(small(again), ["tree", "key"], "left_semi"), links)
             regions = durable(open_regions(rooted))
+            # further forests while they find links
+            attempt = attempt + 1 if attempt + 1 < FORESTS and not good.isEmpty() else None
         if not more:
             return links
         ids = members.join(small(crowded.select("tree", "key")), ["tree", "key"], "left_semi").select("id")
