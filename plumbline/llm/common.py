@@ -1,12 +1,13 @@
-"""Pieces that several operators share: word splitting, table reading, durable intermediate results."""
+"""Pieces that several operators share: word splitting, table reading, vectors as matrices; durable intermediate results are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.durable import durable, shared_folder, small  # noqa: F401  for the operators of this folder
+
 #: What separates words: space, and tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,23 +30,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. A folder of this machine stands in for it on a local master only, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and has no null, NaN or infinite entry."""
+    return vector.isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as files in the session's checkpoint folder (all executors see it), so that a lost
-    executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def matrix(column, dims: int, fill: int = 0) -> np.ndarray:
+    """An Arrow column of number lists, without nulls, as rows of dims entries; shorter ones are filled up at their end."""
+    lengths, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    if (lengths == dims).all():
+        return flat.reshape(len(lengths), dims)
+    out = np.full((len(lengths), dims), fill, flat.dtype)
+    out[np.arange(dims) < lengths[:, None]] = flat
+    return out
 
 
 def crc_mod(doc_id: Column, n: int = 5) -> Column:
