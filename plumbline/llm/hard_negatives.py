@@ -114,7 +114,7 @@ class Bucket(Rows):
 
 def feasible(t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range of a direction's value at a coordinate where the anchor's direction has q, given a cosine of t or more (0 < t <= 1)."""
-    t = np.minimum(t, 1)
+    t = np.clip(t, 0, 1)
     wide = np.sqrt((1 - t * t) * np.maximum(1 - q * q, 0))
     return np.where(-q >= t, -np.inf, q * t - wide - _SLACK), np.where(q >= t, np.inf, q * t + wide + _SLACK)
 
@@ -318,8 +318,8 @@ def op12(spark, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = """
-WITH taken AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> floor(c::DOUBLE * 256)) AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+WITH taken AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(c::DOUBLE * 256) FOR c IN embedding] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
 scores AS (SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.x, b.x)::BIGINT AS score FROM taken a JOIN taken b ON a.vec_id % 100 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id),
 positives AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST) AS p FROM scores WHERE same QUALIFY p <= 5),
 negatives AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.r, p.p ORDER BY n.score DESC, n.id NULLS LAST) AS k, n.id AS negative_id, positive_score, n.score AS negative_score

@@ -18,8 +18,10 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,18 +36,20 @@ END_ID = 1
 WINDOWS = 64
 FAN_IN = 16
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Rows that a task hands to Spark at a time.
 ROWS = 20_000
 _WIDTH = 4
 
-#: Letters that a word may have to take the short way; other characters in it are ASCII, without white space but for single line ends.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ſЀ-ҁ"
-_PLAIN = re.compile(rf"(?!.*\n\n)(?:[!-~{_LETTERS}]|(?<!\A)\n(?!\Z))+", re.S)
-#: The tokenizer's own split pattern, for these characters.
-_RUN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\n")
-#: A blank that begins a word: nothing joins the texts on its two sides.
+#: Characters of words that take the short way, beside line ends: the libraries agree on what they are.
+_PLAIN = re.compile("[!-~A-Za-zÀ-ÖØ-öø-ſЀ-ҁ\n]+")
+#: A mark at the end of a word, after one of these, is a piece of its own.
+_MARKS, _BEFORE_MARK = ",.", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: A blank that begins a word: nothing joins the texts on its two sides. Other blanks are found with the rest of their piece.
 _BEFORE_WORD = re.compile(r"(?= \S)")
+_OTHER_BLANKS = [f" {c}" for c in map(chr, range(0x3001)) if c.isspace()]
+#: How the tokenizer splits text.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -55,61 +59,67 @@ def default_tokenizer() -> str:
 
 
 class ByteEncoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers, by a byte-level BPE tokenizer. Pieces that begin with a blank before a word
-    are encoded apart and remembered."""
+    """Ids of a text as little-endian unsigned 32-bit numbers, by a byte-level BPE tokenizer. Words with the blank before them
+    are encoded apart and remembered; those of plain characters by tiktoken, from the ranks that the tokenizer's own file gives."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         text = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in text["added_tokens"]]
-        before, self.known_kind = text["pre_tokenizer"], text["normalizer"] is None and text["model"]["type"] == "BPE"
-        self.known_kind &= before["type"] == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+        before, model = text["pre_tokenizer"], text["model"]
+        #: The short way holds for this kind of tokenizer only: pieces stand alone, and ids of merges rise in the merges' order.
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model.get("merges", [])]
+        self.short = text["normalizer"] is None and model["type"] == "BPE" and before["type"] == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+        self.short = self.short and not model.get("ignore_merges") and merged == sorted(merged)
+        if self.short:
+            import tiktoken
+
+            byte = {letter: b for b, letter in byte_letters().items()}
+            ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in self.special}
+            self.plain = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.marks = {m: self.whole(m) for m in _MARKS}
+            self.begins = np.zeros(max(ranks.values()) + 1, bool)
+            self.begins[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(_WIDTH, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def run(self, run: str) -> bytes:
-        spelled = "".join(map(self.letters.__getitem__, run.encode()))
-        return b"".join(t.id.to_bytes(_WIDTH, "little") for t in self.tokenizer.model.tokenize(spelled))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """Ids of a piece that begins with a blank, or of a text's beginning."""
-        if not _PLAIN.fullmatch(piece.removeprefix(" ")):
-            return self.whole(piece)
-        out, runs = [], self.runs
-        for run in _RUN.findall(piece):
-            if run not in runs:
-                if len(runs) > REMEMBERED:
-                    runs.clear()
-                runs[run] = self.run(run)
-            out.append(runs[run])
-        return b"".join(out)
+        """Ids of a text's head, or of a piece that begins with a blank before a word."""
+        if _PLAIN.fullmatch(piece, 1 if piece[:1] == " " else 0):
+            return array("I", self.plain(piece)).tobytes()
+        return self.whole(piece)
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers words with the blank before them. Plain ones are encoded in one text: a token that begins with a blank begins a word there."""
+        known = self.words
+        marked = [w for w in words if w[-1] in _MARKS and w[-2:-1] in _BEFORE_MARK]
+        fresh = [w for w in words.difference(marked).union(w[:-1] for w in marked) if w not in known]
+        if plain := [w for w in fresh if _PLAIN.fullmatch(w)]:
+            ids = np.array(self.plain(" " + " ".join(plain)), "<u4")
+            starts, ids = (_WIDTH * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist(), ids.tobytes()
+            known.update((w, ids[a:z]) for w, a, z in zip(plain, starts, starts[1:]))
+        known.update((w, self.whole(f" {w}")) for w in fresh if w not in known)
+        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.known_kind or any(s in text for s in self.special):
+        if not self.short or any(s in text for s in self.special):
             return self.whole(text)
-        head, *words = text.split(" ")
-        known = self.words
-        if not words or "" in words or not head or any(w[0].isspace() for w in words):
-            # several blanks in a row, or blanks at the ends: they are found with the rest of their piece
+        if text[0] == " " or text[-1] == " " or any(b in text for b in _OTHER_BLANKS):
             return b"".join(map(self.piece, _BEFORE_WORD.split(text)))
-        try:
-            return self.piece(head) + b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.piece(" " + w)
-            return self.piece(head) + b"".join(map(known.__getitem__, words))
+        head, *words = text.split(" ")
+        if missing := set(words).difference(self.words):
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+                missing = set(words)
+            self.learn(missing)
+        return self.piece(head) + b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, ByteEncoder] = {}
