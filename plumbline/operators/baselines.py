@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.selection import medians
 from plumbline.sources.durable import durable, small
 
 MAD_TO_SD = 1.4826
@@ -43,18 +44,21 @@ def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
 
 
-def _middle(value: Column) -> Column:
-    return F.percentile(value, F.lit(0.5), F.col("_n"))
+def middle_and_deviation(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Median of each group's values, and of their distances from it: keys, _m, _mad, _n; exact at any size (see selection)."""
+    counts = durable(value_counts(rows, keys))
+    centres = medians(counts, keys, "_m")
+    apart = counts.join(small(durable(centres)), keys).groupBy(*keys, F.abs(F.col("value") - F.col("_m")).alias("value")).agg(F.sum("_n").alias("_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    return centres.join(medians(durable(apart), keys, "_mad"), keys).join(sizes, keys)
 
 
 def global_scales(rows: DataFrame) -> DataFrame:
     """Spread of each feature over everything: scaled MAD, or where that is 0 the standard deviation, 1 at least."""
-    counts = value_counts(rows, ["feature"])
-    weight = F.when(F.col("value").isNotNull(), F.col("_n"))
-    centred = counts.join(F.broadcast(counts.groupBy("feature").agg(_middle(F.col("value")).alias("_m"), (F.sum(F.col("value") * F.col("_n")) / F.sum(weight)).alias("_mean"))), "feature")  # one row for each feature
-    variance = F.sum((F.col("value") - F.col("_mean")) ** 2 * F.col("_n")) / F.sum(weight)
-    scale = centred.groupBy("feature").agg((F.lit(MAD_TO_SD) * _middle(F.abs(F.col("value") - F.col("_m")))).alias("_mad"), F.sqrt(variance).alias("_sd"))
-    return scale.select("feature", F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.greatest(F.coalesce("_sd", F.lit(1.0)), F.lit(1.0))).alias("scale"))
+    deviations = rows.groupBy("feature").agg(F.stddev_pop("value").alias("_sd"))
+    scale = middle_and_deviation(rows, ["feature"]).join(deviations, "feature")
+    mad = F.lit(MAD_TO_SD) * F.col("_mad")
+    return scale.select("feature", F.when(mad > 0, mad).otherwise(F.greatest(F.coalesce("_sd", F.lit(1.0)), F.lit(1.0))).alias("scale"))
 
 
 def spread_floor(feature: Column, centre: Column, scale: Column, config: BaselineConfig) -> Column:
@@ -96,9 +100,7 @@ def peer_spreads(rows: DataFrame, config: BaselineConfig = BaselineConfig(), rol
     """A row per role, period and feature: centre, size and raw spread of its values, and the feature's scale."""
     keys = ["feature", role, "period"]
     if config.robust:
-        counts = value_counts(rows, keys)
-        centres = counts.groupBy(*keys).agg(_middle(F.col("value")).alias("_c"), F.sum("_n").alias("peer_n"))
-        spreads = counts.join(centres, keys).groupBy(*keys).agg((F.lit(MAD_TO_SD) * _middle(F.abs(F.col("value") - F.col("_c")))).alias("_raw"), F.first("_c").alias("_c"), F.first("peer_n").alias("peer_n"))
+        spreads = middle_and_deviation(rows, keys).select(*keys, F.col("_m").alias("_c"), F.col("_n").alias("peer_n"), (F.lit(MAD_TO_SD) * F.col("_mad")).alias("_raw"))
     else:
         spreads = rows.groupBy(*keys).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("_raw"), F.avg("value").alias("_c"), F.count("*").alias("peer_n"))
     return spreads.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature

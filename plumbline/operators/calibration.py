@@ -6,14 +6,12 @@ A claim is accepted when its score is at least lambda. Rows: user, group, score,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.sampling import ranked, shuffle_key
+from plumbline.sources.durable import durable
 
 # What counts as wrong under each policy, and the grids.
 POLICIES = {"primary": ("hallucinated", "misweighted", "false precision"), "secondary": ("hallucinated",)}
@@ -99,36 +97,56 @@ def manifest(rows: DataFrame, settings: dict, policy: str = "primary", delta: fl
     )
 
 
-CELLS = 10_001
+#: Cells that a round splits an undecided range of scores into.
+SPLIT = 64
+UNKNOWN = "Unknown"
+
+
+def _chain(periods: list, cells: dict, alpha: float, gamma: float, start: float) -> tuple[list[tuple], list[tuple]]:
+    """Rows (period, lambda, err) as far as counts decide, and the ranges of scores (period, least, most) to be split next. A cell whose
+    scores lie on both sides of lambda is undecided: half of it is taken, to guess where later periods will need more."""
+    lam, rows, asked = start, [], []
+    for period in periods:
+        n = w = 0.0
+        for least, most, k, wrong in cells[period]:
+            share = 1.0 if least >= lam else 0.0
+            if least < lam <= most:
+                asked.append((period, least, most))
+                share = 0.5
+            n, w = n + share * k, w + share * wrong
+        err = w / max(n, 1.0)
+        if not asked:
+            rows.append((period, lam, err))
+        lam = max(0.0, min(1.0, lam + gamma * (err - alpha)))
+    return rows, asked
 
 
 def adaptive_thresholds(rows: DataFrame, policy: str = "primary", alpha: float = 0.10, gamma: float = 0.05, start: float = 0.90) -> DataFrame:
     """Lambda period by period: after a period with error e it moves by gamma * (e - alpha), within 0 and 1. rows: period, score,
-    label. Scores count to four decimals, so all tasks count first, and what the one chain of periods reads, period by period, is CELLS
-    counts each at most, whatever the rows."""
-    cell = F.round(F.col("score") * (CELLS - 1)).cast("int")
-    wrong = F.count_if(F.col("label").isin(*POLICIES[policy]))
-    cells = rows.filter("score IS NOT NULL").groupBy("period", cell.alias("cell")).agg(F.count("*").cast("double").alias("n"), wrong.cast("double").alias("w"))
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lam, period, sums = start, None, np.zeros((2, CELLS))
-        scores = np.arange(CELLS) / (CELLS - 1)
-
-        def closed() -> tuple:
-            n, w = sums[:, scores >= lam].sum(axis=1)
-            return period, lam, float(w) / max(float(n), 1.0)
-
-        for pdf in batches:
-            out = []
-            for now, part in pdf.groupby("period", sort=False):
-                if period is not None and now != period:
-                    out.append(closed())
-                    lam = min(1.0, max(0.0, lam + gamma * (out[-1][2] - alpha)))
-                    sums = np.zeros((2, CELLS))
-                period = now
-                np.add.at(sums, (slice(None), part["cell"].to_numpy()), part[["n", "w"]].to_numpy().T)
-            yield pd.DataFrame(out, columns=["period", "lambda", "err"])
-        if period is not None:
-            yield pd.DataFrame([closed()], columns=["period", "lambda", "err"])
-
-    return cells.repartition(1).sortWithinPartitions("period", "cell").mapInPandas(chain, f"period {dict(rows.dtypes)['period']}, lambda double, err double")
+    label; rows without a period or of period `Unknown` don't count.
+
+    Exact, and counted in parallel: all tasks count scores in cells, and the chain of periods sees counts only. Where lambda falls
+    between the scores of a cell, that cell is split into SPLIT ones by another count, until every period is decided; a round
+    extends the decided periods, mostly by all, as it splits what later periods are likely to need. The driver holds some
+    SPLIT counts a period and round, whatever the number of scores."""
+    wrong = F.col("label").isin(*POLICIES[policy]).cast("int")
+    kept = rows.filter(F.col("score").isNotNull() & F.col("period").isNotNull() & (F.col("period").cast("string") != UNKNOWN))
+    counts = durable(kept.groupBy("period", "score").agg(F.count("*").alias("n"), F.sum(F.coalesce(wrong, F.lit(0))).alias("w")))
+    cell = lambda: [F.min("score").alias("least"), F.max("score").alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")]
+    cells: dict = {}
+    # lambda stays within 0 and 1: scores beyond are on one side of it always
+    for r in counts.groupBy("period", F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))) * SPLIT).alias("part")).agg(*cell()).collect():
+        cells.setdefault(r.period, []).append((r.least, r.most, float(r.n), float(r.w)))
+    kind = dict(rows.dtypes)["period"]
+    while True:
+        done, asked = _chain(sorted(cells), cells, alpha, gamma, start)
+        if not asked:
+            return rows.sparkSession.createDataFrame(done, f"period {kind}, lambda double, err double")
+        ranges = rows.sparkSession.createDataFrame(asked, f"_period {kind}, _least double, _most double")
+        inside = counts.join(F.broadcast(ranges), (F.col("period") == F.col("_period")) & F.col("score").between(F.col("_least"), F.col("_most")))  # one row a period
+        share = (F.col("score") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+        split = inside.groupBy("period", "_least", F.least(F.floor(share * SPLIT), F.lit(SPLIT - 1)).alias("part")).agg(*cell()).collect()
+        for period, least, most in asked:
+            cells[period] = [c for c in cells[period] if c[:2] != (least, most)]
+        for r in split:
+            cells[r.period].append((r.least, r.most, float(r.n), float(r.w)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
@@ -586,7 +586,7 @@ def l5_manifest(spark, sf_dir):
 
 @query(
     "l6_adaptive_thresholds",
-    f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "user" AS period, round(score * 10000)::INT / 10000.0::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
+    f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "user" AS period, score::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
 g AS (SELECT period, list((s, wrong)) AS l, row_number() OVER (ORDER BY period) AS i FROM c GROUP BY period),
 step(i, period, "lambda", err) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0.9::DOUBLE, 0.1::DOUBLE UNION ALL
   SELECT g.i, g.period, CASE WHEN step.i = 0 THEN step."lambda" ELSE greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1))) END AS lam,
@@ -799,7 +799,7 @@ _STEP = 'greatest(0.0, least(1.0, step."lambda" + 0.05 * (step.err - 0.1)))'
 
 @query(
     "o2_adaptive_stream",
-    f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "group" AS k, "user" AS period, round(score * 10000)::INT / 10000.0::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
+    f"""WITH RECURSIVE {T.CLAIMS}, c AS (SELECT "group" AS k, "user" AS period, score::DOUBLE AS s, label IN ('hallucinated', 'misweighted', 'false precision') AS wrong FROM claims),
 g AS (SELECT k, period, list((s, wrong)) AS l, row_number() OVER (PARTITION BY k ORDER BY period) AS i FROM c GROUP BY k, period),
 step(k, i, period, "lambda", err) AS (SELECT k, 1::BIGINT, period, 0.9::DOUBLE, len(list_filter(l, lambda x: x[1] >= 0.9 AND x[2]))::DOUBLE / greatest(len(list_filter(l, lambda x: x[1] >= 0.9)), 1) FROM g WHERE i = 1 UNION ALL
   SELECT g.k, g.i, g.period, {_STEP}, len(list_filter(g.l, lambda x: x[1] >= {_STEP} AND x[2]))::DOUBLE / greatest(len(list_filter(g.l, lambda x: x[1] >= {_STEP})), 1) FROM step JOIN g ON g.k = step.k AND g.i = step.i + 1)
@@ -810,8 +810,12 @@ def o2_adaptive_stream(spark, sf_dir):
     from plumbline.streaming import events as stream
 
     at = _scratch(spark)
-    claims = T.claims_by_label(spark, sf_dir).select(F.col("group").alias("stream_id"), F.col("user").alias("period"), "score", "label")
-    claims.write.parquet(f"{at}/claims")
+    rows = T.claims_by_label(spark, sf_dir).select(F.col("group").alias("stream_id"), F.col("user").alias("period"), "score", "label")
+    # sources as periods, a week each, in the order of their names; a last row without a score ends the last week
+    names = rows.select("period").distinct().select("period", (F.lit("2020-01-06").cast("timestamp") + F.make_interval(weeks=F.row_number().over(Window.orderBy("period")))).alias("closes"))
+    claims = rows.join(F.broadcast(names), "period").select("stream_id", "period", "closes", "score", "label")  # a row for each source
+    end = claims.groupBy().agg(F.max("closes").alias("closes")).select(F.lit("").alias("stream_id"), F.lit("end").alias("period"), (F.col("closes") + F.expr("INTERVAL 30 DAYS")).alias("closes"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("label"))
+    claims.unionByName(end).write.parquet(f"{at}/claims")
     source = spark.readStream.schema(claims.schema).parquet(f"{at}/claims")
     stream.run_to_end(stream.adaptive_threshold(source), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").withColumns({c: r6(F.col(c)) for c in ("lambda", "err")})

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions import scalars as S
 from plumbline.operators.calibration import POLICIES
 
-#: Scores of 0 to 1 in steps of a ten-thousandth.
-CELLS = 10_001
-
 
 def weekly_counts(events: DataFrame, late: str = "14 days", approximate: bool = True) -> DataFrame:
     """events (a stream or a table): user_id, ts, event_type, value. Per user and Monday week: events, after-hours events, value,
@@ -31,38 +26,78 @@ def weekly_counts(events: DataFrame, late: str = "14 days", approximate: bool =
     return made.select("user_id", F.col("w.start").alias("week_start"), "events", "after_hours_events", "value", "event_types")
 
 
-def adaptive_threshold(claims: DataFrame, policy: str = "primary", alpha: float = 0.10, gamma: float = 0.05, start: float = 0.90) -> DataFrame:
-    """claims (a stream): stream_id, period, score, label. Each trigger's periods move the stream's lambda in order; the state is
-    one number. Scores count to four decimals, so what a trigger holds for a period is CELLS counts. Rows: stream_id,
-    period, lambda (in force for it), err."""
-    wrong_labels = list(POLICIES[policy])
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (lam,) = state.get if state.exists else (start,)
-        sums: dict[Any, np.ndarray] = {}
-        for pdf in batches:
-            pdf = pdf[pdf["score"].notna()]
-            cell = np.floor(pdf["score"].to_numpy() * (CELLS - 1) + 0.5).astype(int)
-            wrong = pdf["label"].isin(wrong_labels).to_numpy()
-            for period, at in pdf.groupby("period").indices.items():
-                counts = sums.setdefault(period, np.zeros((2, CELLS)))
-                counts[0] += np.bincount(cell[at], minlength=CELLS)
-                counts[1] += np.bincount(cell[at], weights=wrong[at], minlength=CELLS)
+class _Threshold(StatefulProcessor):
+    """State of a stream: lambda, and for each period that is still open how many claims, and how many wrong ones, have each score."""
+
+    def __init__(self, wrong: tuple[str, ...], alpha: float, gamma: float, start: float):
+        self.wrong, self.alpha, self.gamma, self.start = wrong, alpha, gamma, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lam = handle.getValueState("lam", "lam double")
+        self.open = handle.getMapState("open", "closes long", "period string")
+        self.counts = handle.getMapState("counts", "closes long, score double", "n long, w long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            pdf = pdf.assign(closes=pdf["closes"].astype("datetime64[ms]").astype("int64"), w=pdf["label"].isin(self.wrong))
+            pdf = pdf[pdf["closes"] > now]  # a closed period stays as it is
+            for closes, period in pdf.groupby("closes")["period"].first().items():
+                if not self.open.containsKey((closes,)):
+                    self.open.updateValue((closes,), (period,))
+                    self.handle.registerTimer(closes)
+            scored = pdf[pdf["score"].notna()].groupby(["closes", "score"])["w"].agg(["size", "sum"])
+            for cell, n, w in zip(scored.index, scored["size"], scored["sum"]):
+                old = self.counts.getValue(cell) or (0, 0)
+                self.counts.updateValue(cell, (old[0] + int(n), old[1] + int(w)))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        over = sorted((c, p) for (c,), (p,) in self.open.iterator() if c <= now)  # all that the watermark has passed, in order
+        if not over:  # an earlier timer of this trigger has closed them
+            yield pd.DataFrame()
+            return
+        sums: dict[int, list] = {c: [] for c, _ in over}
+        for (closes, score), (n, w) in self.counts.iterator():
+            if closes in sums:
+                sums[closes].append((score, n, w))
+        lam = self.lam.get()[0] if self.lam.exists() else self.start
         out = []
-        scores = np.arange(CELLS) / (CELLS - 1)
-        for period in sorted(sums):
-            taken, wrong = sums[period][:, scores >= lam].sum(axis=1)
+        for closes, period in over:
+            taken = sum(n for score, n, _ in sums[closes] if score >= lam)
+            wrong = sum(w for score, _, w in sums[closes] if score >= lam)
             err = float(wrong) / max(float(taken), 1.0)
-            out.append((*key, period, lam, err))
-            lam = min(1.0, max(0.0, lam + gamma * (err - alpha)))
-        state.update((lam,))
+            if sums[closes]:  # as in a table, a period without a score is none
+                out.append((*key, period, lam, err))
+                lam = max(0.0, min(1.0, lam + self.gamma * (err - self.alpha)))
+            self.open.removeKey((closes,))
+            for score, _, _ in sums[closes]:
+                self.counts.removeKey((closes, score))
+        self.lam.update((lam,))
         yield pd.DataFrame(out, columns=["stream_id", "period", "lambda", "err"])
 
-    return claims.groupBy("stream_id").applyInPandasWithState(update, "stream_id string, period string, lambda double, err double", "lambda double", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def adaptive_threshold(claims: DataFrame, late: str = "14 days", policy: str = "primary", alpha: float = 0.10, gamma: float = 0.05, start: float = 0.90) -> DataFrame:
+    """claims (a stream): stream_id, period, closes (timestamp at which the period ends), score, label. Counts of open periods stand in the
+    state; a period is closed, and lambda moves, when the watermark, `late` behind the last end seen, has passed its end, so it does not
+    matter how rows are spread over triggers. Rows of closed periods are dropped. A row without a score only moves the watermark. Rows: stream_id,
+    period, lambda (in force for it), err, as adaptive_thresholds gives them for a table. Needs the RocksDB state store (see run_to_end)."""
+    timed = claims.withColumn("closes", F.col("closes").cast("timestamp")).withWatermark("closes", late)
+    return timed.groupBy("stream_id").transformWithStateInPandas(_Threshold(POLICIES[policy], alpha, gamma, start), "stream_id string, period string, lambda double, err double", "Append", "EventTime")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Everything there is now, to Parquet. In complete mode each trigger's whole result replaces the last one's."""
+    """Everything there is now, to Parquet. In complete mode each trigger's whole result replaces the last one's. State stands in RocksDB, on disk."""
+    stream.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "complete":
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
