@@ -480,12 +480,25 @@ def k2_folds(spark, sf_dir):
 @query(
     "k3_figures",
     f"""WITH {T.CLAIMS}, c AS (SELECT score AS s, (label = 'grounded')::INT AS y FROM claims), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM c)
-SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 4) AS auc, round(avg((s - y) ** 2), 6) AS brier, round(avg(abs(s - y)), 6) AS mae FROM r""",
+SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc, round(avg((s - y) ** 2), 6) AS brier, round(avg(abs((s >= 0.5)::INT - y)), 6) AS mae FROM r""",
 )
 def k3_figures(spark, sf_dir):
-    """AUC, Brier score and error of a score taken as a probability (K3)."""
+    """Exact AUC, Brier score, and error of the class, of a score taken as a probability (K3)."""
     found = rho.probability_figures(T.claims_by_label(spark, sf_dir), score="score")
-    return spark.createDataFrame([(round(found["auc"], 4), round(found["brier"], 6), round(found["mae"], 6))], "auc double, brier double, mae double")
+    return found.select(F.round("auc", 9).alias("auc"), r6("brier").alias("brier"), r6("mae").alias("mae"))
+
+
+@query(
+    "k3_fold_figures",
+    f"""WITH {T.CLAIMS}, f AS (SELECT score AS s, (label = 'grounded')::INT AS y, (row_number() OVER (PARTITION BY label = 'grounded' ORDER BY md5(cluster_id || ':42'), cluster_id) % 5) AS fold FROM claims),
+r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2 AS r FROM f),
+g AS (SELECT fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc, avg((s - y) ** 2) AS brier, avg(abs((s >= 0.5)::INT - y)) AS mae FROM r GROUP BY fold)
+SELECT round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std, round(avg(brier), 6) AS brier_mean, round(stddev_pop(brier), 6) AS brier_std, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std FROM g""",
+)
+def k3_fold_figures(spark, sf_dir):
+    """The same by fold: means and deviations over five folds (K2, K3)."""
+    found = rho.fold_figures(rho.with_folds(T.claims_by_label(spark, sf_dir)), score="score")
+    return found.select(*[r6(c).alias(c) for c in found.columns])
 
 
 @query("k1_rho_model")
@@ -495,11 +508,19 @@ def k1_rho_model(spark, sf_dir):
     return scored.select("cluster_id", "target", "rho")
 
 
+@query("k1_saved_model")
+def k1_saved_model(spark, sf_dir):
+    """Scores of the model of all claims, written as a record and loaded again."""
+    claims, at = T.claims_by_label(spark, sf_dir), f"{_scratch(spark)}/model"
+    rho.save_model(spark, rho.train(claims), at)
+    return rho.predict(rho.load_model(spark, at), claims).select("cluster_id", "target", "rho")
+
+
 @query("k3_rho_figures")
 def k3_rho_figures(spark, sf_dir):
-    """AUC, Brier score, error (K3)."""
-    found = rho.probability_figures(rho.cross_validated(T.claims_by_label(spark, sf_dir)))
-    return spark.createDataFrame(list(found.items()), "figure string, value double")
+    """AUC, Brier score, error of the model's out-of-fold probabilities, and their means and deviations over folds (K3)."""
+    scored = durable(rho.cross_validated(T.claims_by_label(spark, sf_dir)))
+    return rho.probability_figures(scored).join(F.broadcast(rho.fold_figures(scored)))  # a row each
 
 
 @query(
@@ -580,7 +601,7 @@ def l5_manifest(spark, sf_dir):
 
     m, at = calibration.manifest(T.claims_by_label(spark, sf_dir), {"source": "documents"}), f"{_scratch(spark)}/manifest"
     sinks.write_records(m, at)
-    read = logs.read_records(spark, at, m.schema).select("*", F.explode("results").alias("r"))
+    read = logs.read_records(spark, sinks.current(spark, at), m.schema).select("*", F.explode("results").alias("r"))
     return read.select("policy", "delta", "seed", F.size("lambdas").alias("n_lambdas"), F.col("provenance")["source"].alias("source"), "r.alpha", "r.lambda_hat", "r.n_selected", "r.n_wrong", "r.status")
 
 

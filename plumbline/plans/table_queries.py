@@ -37,7 +37,7 @@ def a9_signal_records(spark, sf_dir):
     """Signal records as JSON lines under a path that names the pooling, read with their schema."""
     at = sinks.output_path(_scratch(spark), "semantic", 0.85)
     sinks.write_records(signal_records(spark, sf_dir), at, max_rows=100)
-    read = logs.read_records(spark, at, logs.SIGNAL)
+    read = logs.read_records(spark, sinks.current(spark, at), logs.SIGNAL)
     total = F.aggregate("facts", F.lit(0.0), lambda s, f: s + f["value"])
     evidence = F.size(F.filter("facts", lambda f: F.size(f["triggering_rule_ids"]) > 0))
     return read.select("signal_id", F.size("facts").alias("n_facts"), F.round(total, 4).alias("total"), evidence.alias("n_evidence"))
@@ -51,7 +51,7 @@ def a10_labels(spark, sf_dir):
     kinds = {f.name: f.dataType for f in lab.schema.fields}
     marked = lab.select(F.col("doc_id").alias("﻿doc_id"), "quality", "toxic")  # each file of it begins with the mark
     sinks.write_records(marked, at, "csv")
-    return logs.read_labels(spark, at).select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("doc_id", "quality", "toxic")])
+    return logs.read_labels(spark, sinks.current(spark, at)).select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("doc_id", "quality", "toxic")])
 
 
 @query("a13_guarded_output", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -63,7 +63,7 @@ def a13_guarded_output(spark, sf_dir):
     try:
         sinks.write_records(counts.filter("n < 0"), at, "parquet")
     except ValueError:
-        return spark.read.parquet(at)
+        return spark.read.parquet(sinks.current(spark, at))
     raise AssertionError("an empty result has replaced a good one")
 
 
@@ -86,7 +86,7 @@ def a15_settings(spark, sf_dir):
     rows = told.join(F.broadcast(k)).select("signal_id", F.lit("m").alias("model"), F.lit("v3").alias("prompt_version"), F.lit(0.7).alias("temperature"), pooled.alias("pooling"), "k", "narratives")
     at = f"{_scratch(spark)}/narratives"
     sinks.write_records(rows, at)
-    found = logs.generation_settings(logs.read_records(spark, at, logs.NARRATIVE))
+    found = logs.generation_settings(logs.read_records(spark, sinks.current(spark, at), logs.NARRATIVE))
     return found.select("model", F.col("k").cast("long").alias("k"), "temperature", "threshold", "prompt_version")
 
 

@@ -108,3 +108,102 @@ def test_late_rows_do_not_reopen_a_period(spark, tmp_path):
         source = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         stream.run_to_end(stream.adaptive_threshold(source, late="7 days"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert sorted((r.period, round(r["lambda"], 6), r.err) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("2010-W01", 0.9, 1.0), ("2010-W09", 0.945, 0.0)]
+
+
+# ---------------------------------------------------------------- models and figures
+
+
+def gold_rows(n=300):
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.3)
+        rows.append((f"c{i}", min(1.0, max(0.0, rng.gauss(0.4 + 0.3 * y, 0.2))), None if i % 5 == 0 else round(rng.random() * (0.5 + y / 2), 2), rng.random() < 0.4 - 0.3 * y, float(rng.random() < 0.2), y))
+    return rows
+
+
+GOLD = "cluster_id string, self_consistency double, fact_match double, misweighted boolean, hallucinated_context double, target int"
+
+
+def test_fit_equals_newton_and_outlives_its_session(spark, tmp_path):
+    import numpy as np
+
+    from plumbline.operators import rho
+
+    rows = gold_rows()
+    gold = spark.createDataFrame(rows, GOLD).repartition(3)
+    x = np.array([[s, s if f is None else f, float(m), h, 1.0] for _, s, f, m, h, _ in rows])
+    y = np.array([r[-1] for r in rows], float)
+    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
+    w, ridge = np.zeros(5), np.diag([1.0, 1.0, 1.0, 1.0, 0.0])  # C = 1: half of the squared weights, the intercept free
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
+    model = rho.train(gold)
+    assert np.abs(np.array([*model.weights, model.intercept]) - w).max() < 1e-6
+
+    rho.save_model(spark, model, str(tmp_path / "model"))
+    loaded = rho.load_model(spark.newSession(), str(tmp_path / "model"), policy="primary")
+    assert loaded == model and loaded.n_rows == 300
+    other = rho.train(gold.withColumn("target", F.col("target") + F.when(F.col("cluster_id") == "c7", 0).otherwise(0)))
+    assert other.fingerprint == model.fingerprint != rho.train(gold.filter("cluster_id <> 'c7'")).fingerprint
+    scored = {r.cluster_id: r.rho for r in rho.predict(loaded, gold).collect()}
+    p = 1 / (1 + np.exp(-x @ w))
+    assert all(abs(scored[r[0]] - q) < 1e-6 for r, q in zip(rows, p))
+    with pytest.raises(ValueError):
+        rho.load_model(spark, str(tmp_path / "model"), policy="secondary")
+    with pytest.raises(ValueError):
+        rho.predict(loaded, gold, ("fact_match", "self_consistency"))
+
+
+def test_figures_are_exact(spark):
+    from plumbline.operators import rho
+
+    rng = random.Random(6)
+    rows = [(rng.choice([rng.random(), 0.5, 0.25]), int(rng.random() < 0.4), i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "rho double, target int, fold int")
+
+    def plain(rs):
+        pos, neg = [s for s, y, _ in rs if y], [s for s, y, _ in rs if not y]
+        auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        return auc, sum((s - y) ** 2 for s, y, _ in rs) / len(rs), sum(abs((s >= 0.5) - y) for s, y, _ in rs) / len(rs)
+
+    assert tuple(rho.probability_figures(df).first()) == pytest.approx(plain(rows), abs=1e-12)
+    folds = list(zip(*[plain([r for r in rows if r[2] == k]) for k in range(3)]))
+    want = [f(v) for v in folds for f in (statistics.mean, statistics.pstdev)]
+    assert tuple(rho.fold_figures(df).first()) == pytest.approx(want, abs=1e-12)
+    assert rho.probability_figures(df.filter("target = 1")).first().auc is None
+
+
+# ---------------------------------------------------------------- outputs
+
+
+def test_a_failing_job_leaves_the_output_as_it_was(spark, tmp_path):
+    from plumbline.sources import sinks
+
+    at = str(tmp_path / "out")
+    sinks.write_records(spark.range(5), at, "parquet")
+
+    @F.udf("long")
+    def failing(i):
+        if i == 90:
+            raise ValueError("half-way")
+        return i
+
+    with pytest.raises(Exception, match="half-way"):
+        sinks.write_records(spark.range(100).repartition(4).select(failing("id").alias("id")), at, "parquet")
+    assert spark.read.parquet(sinks.current(spark, at)).count() == 5
+    with pytest.raises(ValueError):
+        sinks.write_records(spark.range(0), at, "parquet")
+    assert spark.read.parquet(sinks.current(spark, at)).count() == 5
+
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        ran.add(1)
+        return i
+
+    sinks.write_records(spark.range(7).select(counted("id").alias("id")), at, "parquet")
+    assert ran.value == 7 and spark.read.parquet(sinks.current(spark, at)).count() == 7  # the plan ran once
+    assert sinks.drop_old_versions(spark, at) == 2 and spark.read.parquet(sinks.current(spark, at)).count() == 7

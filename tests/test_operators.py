@@ -42,7 +42,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_records(rows, path)
     with pytest.raises(ValueError, match="stays"):
         sinks.write_records(rows.limit(0), path)
-    assert spark.read.json(path).count() == 5
+    assert spark.read.json(sinks.current(spark, path)).count() == 5
     made = []
     build = lambda: (made.append(1), rows)[1]
     for _ in range(2):
@@ -257,7 +257,7 @@ def test_rho_model(spark):
     rows = [(f"c{i}", i / 200, None if i % 5 == 0 else i / 200, i % 2 == 0, 0.0, int(i > 120)) for i in range(200)]
     gold = spark.createDataFrame(rows, "cluster_id string, self_consistency double, fact_match double, misweighted boolean, hallucinated_context double, target int")
     scored = rho.cross_validated(gold)
-    assert scored.count() == 200 and rho.probability_figures(scored)["auc"] > 0.95
+    assert scored.count() == 200 and rho.probability_figures(scored).first().auc > 0.95
     assert rho.recall_at(scored, (10, 500)).orderBy("k").first().found == 10
     assert {r["class"] for r in rho.confusion(scored).collect()} == {0, 1}
 
