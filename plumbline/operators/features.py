@@ -37,70 +37,62 @@ def capped_distinct(value: Column, cap: int = DISTINCT_CAP, approximate: bool =
     return F.least(F.approx_count_distinct(value) if approximate else F.count_distinct(value), F.lit(cap))
 
 
-def logon_features(logons: DataFrame) -> DataFrame:
-    """Log-offs count for machines and active days, not for logons or hours."""
-    on, day = F.col("activity") == "Logon", F.to_date("ts")
-    return logons.groupBy(*KEY).agg(
-        F.count_if(on).alias("total_logons"),
-        F.count_if(on & F.col("after_hours")).alias("after_hours_logons"),
-        F.count_if(on & F.col("weekend")).alias("weekend_logons"),
-        capped_distinct(F.col("pc")).alias("distinct_pcs"),
-        capped_distinct(day).alias("n_active_days"),
-        capped_distinct(F.when(F.col("weekend"), day)).alias("n_weekend_days"),
-        F.min(F.when(on, F.col("hour"))).alias("earliest_hour"),
-        F.max(F.when(on, F.col("hour"))).alias("latest_hour"),
-    )
-
-
-def device_features(devices: DataFrame) -> DataFrame:
-    connect = F.col("activity") == "Connect"
-    return devices.groupBy(*KEY).agg(F.count_if(connect).alias("total_device_connects"), F.count_if(connect & F.col("after_hours")).alias("after_hours_device_connects"))
-
-
-def file_features(files: DataFrame) -> DataFrame:
-    return files.groupBy(*KEY).agg(
-        F.count("*").alias("total_file_events"),
-        F.count_if(S.is_true_text(F.col("to_removable_media"))).alias("removable_media_copies"),
-        F.count_if("after_hours").alias("after_hours_file_events"),
-        capped_distinct(F.col("filename")).alias("distinct_files"),
-        capped_distinct(S.file_extension(F.col("filename"))).alias("distinct_file_exts"),
-    )
-
-
-def email_features(mails: DataFrame) -> DataFrame:
-    sent = mails.filter(F.col("activity") == "Send").withColumn("outside", sum(S.external_recipients(F.col(c)) for c in ("to", "cc", "bcc")))
-    made = sent.groupBy(*KEY).agg(
-        F.count("*").alias("total_emails_sent"),
-        F.sum(S.attachment_count(F.col("attachments"))).alias("total_attachments"),
-        F.count_if(F.col("outside") > 0).alias("external_emails"),
-        F.sum("outside").alias("external_recipients"),
-        F.sum(S.attachment_bytes(F.col("attachments"))).alias("attachment_bytes"),
-        F.count_if("after_hours").alias("after_hours_emails"),
-    )
-    return mails.select(*KEY).distinct().join(made, KEY, "left").na.fill(0)
-
-
-def http_features(visits: DataFrame) -> DataFrame:
-    domain = S.url_domain(F.col("url"))
-    return visits.groupBy(*KEY).agg(
-        F.count("*").alias("total_http_requests"),
-        F.count_if("after_hours").alias("after_hours_http"),
-        F.count_if(S.has_keyword(domain, S.JOB_SEARCH)).alias("job_search_visits"),
-        F.count_if(S.has_keyword(domain, S.CLOUD_STORAGE)).alias("cloud_storage_visits"),
-        F.count_if(S.has_keyword(domain, S.LEAK_SITES)).alias("leak_site_visits"),
-        capped_distinct(domain).alias("distinct_domains"),
-    )
-
-
-def raw_features(logon: DataFrame, device: DataFrame, file: DataFrame, email: DataFrame, http: DataFrame) -> DataFrame:
-    """Prepared logs in, one wide row per (user, period) out: zero where a log has nothing, but null hours; no negative count."""
-    parts = [logon_features(logon), device_features(device), file_features(file), email_features(email), http_features(http)]
+def measures(log: str) -> dict[str, tuple[str, Column]]:
+    """The measures of a log: name, how rows combine (sum, min, max, distinct), and a row's value; null counts as nothing."""
+    one = lambda on=F.lit(True): F.when(on, 1)
+    if log == "logon":  # log-offs count for machines and active days, not for logons or hours
+        on, day = F.col("activity") == "Logon", F.to_date("ts")
+        return {
+            "total_logons": ("sum", one(on)), "after_hours_logons": ("sum", one(on & F.col("after_hours"))), "weekend_logons": ("sum", one(on & F.col("weekend"))),
+            "distinct_pcs": ("distinct", F.col("pc")), "n_active_days": ("distinct", day), "n_weekend_days": ("distinct", F.when(F.col("weekend"), day)),
+            "earliest_hour": ("min", F.when(on, F.col("hour"))), "latest_hour": ("max", F.when(on, F.col("hour"))),
+        }
+    if log == "device":
+        connect = F.col("activity") == "Connect"
+        return {"total_device_connects": ("sum", one(connect)), "after_hours_device_connects": ("sum", one(connect & F.col("after_hours")))}
+    if log == "file":
+        return {
+            "total_file_events": ("sum", one()), "removable_media_copies": ("sum", one(S.is_true_text(F.col("to_removable_media")))), "after_hours_file_events": ("sum", one(F.col("after_hours"))),
+            "distinct_files": ("distinct", F.col("filename")), "distinct_file_exts": ("distinct", S.file_extension(F.col("filename"))),
+        }
+    if log == "email":  # what isn't sent only gives the user a row
+        sent, outside = F.col("activity") == "Send", sum(S.external_recipients(F.col(c)) for c in ("to", "cc", "bcc"))
+        return {
+            "total_emails_sent": ("sum", one(sent)), "total_attachments": ("sum", F.when(sent, S.attachment_count(F.col("attachments")))), "external_emails": ("sum", one(sent & (outside > 0))),
+            "external_recipients": ("sum", F.when(sent, outside)), "attachment_bytes": ("sum", F.when(sent, S.attachment_bytes(F.col("attachments")))), "after_hours_emails": ("sum", one(sent & F.col("after_hours"))),
+        }
+    if log == "http":
+        domain = S.url_domain(F.col("url"))
+        visit = lambda words: one(S.has_keyword(domain, words))
+        return {
+            "total_http_requests": ("sum", one()), "after_hours_http": ("sum", one(F.col("after_hours"))), "job_search_visits": ("sum", visit(S.JOB_SEARCH)),
+            "cloud_storage_visits": ("sum", visit(S.CLOUD_STORAGE)), "leak_site_visits": ("sum", visit(S.LEAK_SITES)), "distinct_domains": ("distinct", domain),
+        }
+    raise ValueError(f"no log is named {log}")
+
+
+LOGS = ("logon", "device", "file", "email", "http")
+
+
+def log_features(events: DataFrame, log: str) -> DataFrame:
+    """Prepared rows of one log in, a row per (user, period) out."""
+    made = {"sum": lambda v: F.coalesce(F.sum(v), F.lit(0)), "min": F.min, "max": F.max, "distinct": capped_distinct}
+    return events.groupBy(*KEY).agg(*[made[how](value).alias(name) for name, (how, value) in measures(log).items()])
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Features of the logs, one wide row per (user, period): zero where a log has nothing, but null hours; no negative count."""
     wide = reduce(lambda a, b: a.join(b, KEY, "full"), parts)
     zeroed = wide.select(*KEY, *[F.col(c) if c in NULLABLE else F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in FEATURES])
     fine = F.least(*[F.col(c) for c in FEATURES if c not in NULLABLE]) >= 0
     return zeroed.filter(F.assert_true(fine, F.lit("a count is negative")).isNull())
 
 
+def raw_features(logon: DataFrame, device: DataFrame, file: DataFrame, email: DataFrame, http: DataFrame) -> DataFrame:
+    """Prepared logs in, one wide row per (user, period) out."""
+    return joined([log_features(events, log) for log, events in zip(LOGS, (logon, device, file, email, http))])
+
+
 def long_features(wide: DataFrame, features: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (user, period, feature, value) of the features that get baselines."""
     names = features or tuple(c for c in FEATURES if c not in WITHOUT_BASELINE)

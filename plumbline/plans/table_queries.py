@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import judgements, pooling
+from plumbline.operators import features, incremental, judgements, pooling
 from plumbline.plans import standins as T
 from plumbline.plans.queries import _POOLED, _scratch, _sentences, _snapshots, query, signal_records
 from plumbline.plans.record_queries import _FACTS
@@ -76,6 +76,17 @@ def a14_resumed(spark, sf_dir):
     return sinks.resumed(spark, at, lambda: counts.filter("n < 0"))
 
 
+@query("a14_incremental", f"WITH {T.RAW_FEATURES} SELECT * FROM raw")
+def a14_incremental(spark, sf_dir):
+    """Features of two runs, mornings and then afternoons, from their kept partial aggregates; the first is repeated."""
+    at, x = f"{_scratch(spark)}/partials", T.logs(spark, sf_dir, "day")
+    runs = {"mornings": F.col("hour") < 12, "afternoons": F.col("hour") >= 12}
+    for chunk in ("mornings", "mornings", "afternoons"):
+        incremental.add_chunk({log: events.filter(runs[chunk]) for log, events in x.items()}, at, chunk)
+    wide = incremental.features_of(spark, at, list(runs))
+    return wide.select("user", "period", *[F.col(c).cast("long").alias(c) for c in features.FEATURES])
+
+
 @query("a15_settings", "SELECT 'm' AS model, max(turn) + 1 AS k, 0.7::DOUBLE AS temperature, 0.85::DOUBLE AS threshold, 'v3' AS prompt_version FROM conversations")
 def a15_settings(spark, sf_dir):
     """The one set of settings that all narratives of a run share, from their JSON lines."""

@@ -207,3 +207,56 @@ def test_a_failing_job_leaves_the_output_as_it_was(spark, tmp_path):
     sinks.write_records(spark.range(7).select(counted("id").alias("id")), at, "parquet")
     assert ran.value == 7 and spark.read.parquet(sinks.current(spark, at)).count() == 7  # the plan ran once
     assert sinks.drop_old_versions(spark, at) == 2 and spark.read.parquet(sinks.current(spark, at)).count() == 7
+
+
+# ---------------------------------------------------------------- features in several runs
+
+
+def log_rows(days):
+    rng = random.Random(8)
+    rows = []
+    for d in days:
+        for u in range(4):
+            for k in range(30):
+                rows.append((f"U{u}", f"2010-01-{d:02d} {rng.randrange(24):02d}:10:00", rng.choice(["Logon", "Logoff", "Connect", "Send", "View"]), f"PC{rng.randrange(400)}", f"f{rng.randrange(900)}.x{k % 3}", rng.choice(["a@dtaa.com", "b@x.org;c@y.org", None]), rng.choice(["True", "False", None]), rng.choice(["p(12);q.doc(30)", None, ""]), rng.choice(["http://www.indeed.com/a", f"http://h{rng.randrange(50)}.org", None])))
+    return rows
+
+
+LOG = "user string, at string, activity string, pc string, filename string, to string, to_removable_media string, attachments string, url string"
+
+
+def test_features_of_six_days_in_two_runs(spark, tmp_path, monkeypatch):
+    from plumbline.operators import features, incremental
+
+    def logs_of(days, path):
+        spark.createDataFrame(log_rows(days), LOG).write.parquet(path)
+        events = features.prepare(spark.read.parquet(path).withColumn("ts", F.col("at").cast("timestamp")).withColumns({"cc": F.col("to"), "bcc": F.lit(None).cast("string")}))
+        return {log: events for log in features.LOGS}
+
+    store = str(tmp_path / "store")
+    early, late = logs_of(range(3, 8), str(tmp_path / "early")), logs_of([8], str(tmp_path / "late"))
+    whole = {log: early[log].unionByName(late[log]) for log in features.LOGS}
+    want = sorted(map(tuple, features.raw_features(*whole.values()).collect()))
+    incremental.add_chunk(early, store, "days-1-5")
+    import shutil
+
+    shutil.rmtree(tmp_path / "early")  # they are not read again
+    for _ in range(2):  # a repeated run replaces its own rows
+        incremental.add_chunk(late, store, "day-6")
+    assert incremental.has_chunk(spark, store, "day-6") and not incremental.has_chunk(spark, store, "day-7")
+    assert sorted(map(tuple, incremental.features_of(spark, store, ["days-1-5", "day-6"]).collect())) == want
+    assert max(r[2 + features.FEATURES.index("distinct_files")] for r in want) > 100
+
+
+def test_capped_sets_stay_exact(spark):
+    from plumbline.operators import features, incremental
+
+    parts = [[f"f{i}" for i in range(k * 4, k * 4 + 6)] for k in range(5)]  # 22 in all, 6 a chunk
+    frames = [features.prepare(spark.createDataFrame([("U", "2010-01-04 10:00:00", f, None) for f in p], "user string, ts string, filename string, to_removable_media string").withColumn("ts", F.col("ts").cast("timestamp"))) for p in parts]
+    for cap, want in ((500, 22), (22, 22), (21, 21), (7, 7), (3, 3)):
+        rows = [incremental.partials(f, "file", cap) for f in frames]
+        whole = rows[0]
+        for r in rows[1:]:
+            whole = whole.unionByName(r)
+        assert all(len(r.distinct_files) <= cap for r in whole.collect())
+        assert incremental.merged(whole, "file", cap).first().distinct_files == want
