@@ -4,16 +4,18 @@ An item leaks into a document when some window of the document, as long as the i
 more with it: the shared weight of their 5-word shingles over the joint weight, a shingle's weight being how often it
 occurs. Steps:
 
-1. Windows. Places of documents whose shingle also occurs in an item; a window that is similar enough to an item has enough such places,
-   and moving a window right to the first of them loses none, so windows of an item's size that start at one and
-   hold enough of it are all there is. Only texts with such windows are split a second time, for the windows' shingles.
+1. Windows. Places of documents whose shingle also occurs in some item; a window that is similar enough to an item has enough such places,
+   and moving a window right to the first of that item's loses none, so windows of an item's size that start at such a place and
+   hold enough of them, whichever items they are from, are all there is. Only texts with such windows are split a second time, for the windows' shingles.
 2. Candidates. SimHash fingerprints of windows and items, BITS wide, in BLOCKS blocks: windows meet all items of their size with an
    equal block, which finds every pair that differs in fewer bits than there are blocks, and those within RADIUS go on. Repeats of a
    shingle vote as shingles of their own, so bits are independent. At similarity 0.8 a bit differs with
    probability acos(8/9) / pi = 0.15 for long items and 0.19 for the worst of up to 120 shingles, so no block is equal with a
    chance of 4e-5 to 1.4e-3, and more than RADIUS bits differ with one below 1e-7.
-3. Rescue. That chance is no promise, so pairs of a window and an item that share enough places but have no equal block are added.
-4. Exact similarity of all of them.
+3. Rescue. That chance is no promise, so pairs of a window and an item that share enough places but whose fingerprints have no equal block, or are
+   beyond RADIUS, are added.
+4. Exact similarity of all of them. A window counts for an item where it starts at one of the item's own places, or is the text's last; so what is found
+   of a document and an item depends on these two alone.
 
 Words are those between white space, A-Z lower-cased; an item of fewer than 5 words is one shingle, its whole sequence.
 Shingles are compared by 64-bit hashes.
@@ -30,20 +32,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, lower_ascii, table, words_of
+from plumbline.llm.common import durable, lower_ascii, small, table, words_of
 
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
 #: Width of a fingerprint, its blocks (of 8 bits), and the bits in which a candidate may differ.
 BITS, BLOCKS, RADIUS = 256, 32, 84
-#: Rows up to which a table of fixed-size rows is broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, where df (kept durably) has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def let(value: Column, use) -> Column:
@@ -92,6 +87,11 @@ def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     return left.join(small(durable(right)), ["k", "n_item", "block", "value"]).filter(apart(F.col("print"), F.col("item_print")) <= RADIUS).select("window", "item").distinct()
 
 
+def meets(a: Column, b: Column) -> Column:
+    """Whether near_pairs finds two fingerprints of a size."""
+    return F.exists(F.zip_with(blocks(a), blocks(b), lambda x, y: x["value"] == y["value"]), lambda e: e) & (apart(a, b) <= RADIUS)
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The best window of each document and item that are similar enough: doc_id, item_id, start_word, n_words, similarity
     and text_key, xxhash64 of the document's text."""
@@ -111,29 +111,34 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, similarity double, text_key long")
     places = split(documents).select("doc_id", "key", "k", F.size("s").alias("n_doc"), F.posexplode_outer("s").alias("at", "h"))
     hits = places.join(small(index.select("item", "k", "n_item", "h")), ["k", "h"]).select("doc_id", "key", "k", "n_doc", "item", "n_item", "at")
+    hits = durable(hits)
+    place = ["doc_id", "key", "k", "n_item", "n", "n_doc", "start"]
+
+    def windows_of(hits: DataFrame, *by: str) -> DataFrame:
+        """Windows that start at one of the places and hold enough of them: by, place."""
+        runs = hits.groupBy(*by, "doc_id", "key", "k", "n_doc", "n_item").agg(F.sort_array(F.collect_set("at")).alias("at")).withColumn("n", F.least("n_doc", "n_item"))
+        runs = runs.withColumn("least", F.ceil(F.lit(SIMILARITY) * (F.col("n") + F.col("n_item")) / F.lit(100 + SIMILARITY)).cast("int")).filter(F.size("at") >= F.col("least"))
+        starts = F.filter("at", lambda a, i: F.get(F.col("at"), i + F.col("least") - 1) - a < F.col("n"))
+        return runs.withColumn("start", F.explode(F.array_distinct(F.transform(starts, lambda a: F.least(a, F.col("n_doc") - F.col("n")))))).select(*by, *place)
 
-    # windows that start at a shared shingle and hold enough of them
-    length = F.least("n_doc", "n_item")
-    runs = hits.groupBy("doc_id", "key", "k", "n_doc", "item", "n_item").agg(F.sort_array(F.collect_set("at")).alias("at")).withColumn("n", length)
-    runs = runs.withColumn("least", F.ceil(F.lit(SIMILARITY) * (F.col("n") + F.col("n_item")) / F.lit(100 + SIMILARITY)).cast("int")).filter(F.size("at") >= F.col("least"))
-    starts = F.filter("at", lambda a, i: F.get(F.col("at"), i + F.col("least") - 1) - a < F.col("n"))
-    held = runs.withColumn("start", F.explode(F.array_distinct(F.transform(starts, lambda a: F.least(a, F.col("n_doc") - F.col("n"))))))
-    place = ["doc_id", "key", "k", "n_item", "n", "start"]
-    held = durable(held.select("item", *place))
+    held = durable(windows_of(hits))
 
     # their shingles, from those texts again
     wanted = small(durable(held.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()))
     texts = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
     texts = split(texts).dropDuplicates(["doc_id", "key", "k"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("k").alias("_k"), "s")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("k") == F.col("_k"))
-    windows = held.select(*place).distinct().join(texts, same).select(*place, F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
+    windows = held.join(texts, same).select(*place, F.slice("s", F.col("start") + 1, F.col("n")).alias("h"))
     windows = durable(windows.withColumn("print", simhash(occurrences(F.col("h")))).withColumn("window", F.monotonically_increasing_id()))
 
     prints = durable(items.select("item", "k", "n_item", simhash(occurrences(F.col("h"))).alias("print")))
-    near = near_pairs(windows, prints)
-    numbers = windows.select("window", *[F.col(c).alias(f"_{c}") for c in place])
-    rescued = held.join(numbers, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])).select("window", "item")
-    pairs = near.unionByName(rescued).distinct()
+    near = near_pairs(windows, prints).join(windows.select("window", F.get("h", F.lit(0)).alias("first"), (F.col("start") == F.col("n_doc") - F.col("n")).alias("last")), "window")
+    starting = index.select("item", F.col("h").alias("first"), F.lit(True).alias("starts"))
+    near = near.join(small(starting), ["item", "first"], "left").filter(F.col("last") | F.col("starts")).select("window", "item")
+    numbers = windows.select("window", "print", *[F.col(c).alias(f"_{c}") for c in place])
+    rescued = windows_of(hits, "item").join(numbers, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]))
+    rescued = rescued.join(small(prints.select("item", F.col("print").alias("item_print"))), "item").filter(~meets(F.col("print"), F.col("item_print"))).select("window", "item")
+    pairs = near.unionByName(rescued)
 
     own = ["window", "doc_id", "key", "item", "k", "n_item", "n", "start"]
     counted = windows.join(pairs, "window").select(*own, F.explode("h").alias("h")).groupBy(*own, "h").agg(F.count("*").cast("int").alias("in_window"))

@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, table
-from plumbline.llm.decontaminate import small
+from plumbline.llm.common import durable, small, table
 
 SHINGLE = 5
 TREES, DEPTH = 20, 5

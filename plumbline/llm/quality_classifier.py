@@ -180,8 +180,8 @@ def score(features: DataFrame, model) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents; rows whose crc32(doc_id) mod 5 is 0 are held out of learning."""
+    """Scores of all documents; rows whose crc32(doc_id) mod 5 is 0 are held out of learning (a null doc_id is not, but has no label to learn from)."""
     features = durable(document_statistics(table(spark, sf_dir, "documents")))
     labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id")) != 0).select("doc_id", F.col("quality").alias("y"))
     scored = score(features, fit(features, labels))
-    return scored.select("doc_id", (crc_mod(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
