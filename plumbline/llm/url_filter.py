@@ -103,7 +103,7 @@ def with_statistics(df: DataFrame, key: str) -> DataFrame:
     """Adds the share of all urls with the same value of `key`, and the smoothed share of allowed ones among its labelled urls (of other
     folds, for a labelled url)."""
     fold = F.pmod("hash", F.lit(FOLDS))
-    folds = [x.alias(f"_{name}{f}") for f in range(FOLDS) for name, x in (("labelled", F.count(F.when(fold == f, F.col("label")))), ("allowed", F.sum(F.when(fold == f, F.col("label")).otherwise(0.0))))]
+    folds = [x.alias(f"_{name}{f}") for f in range(FOLDS) for name, x in (("labelled", F.count(F.when(fold == f, F.col("label")))), ("allowed", F.sum(F.when(fold == f, F.coalesce("label", F.lit(0.0))).otherwise(0.0))))]
     stats = durable(df.groupBy(key).agg(F.count("*").alias("_n"), *folds))
     total = stats.agg(F.sum("_n")).first()[0] or 1
 
