@@ -260,3 +260,39 @@ def test_capped_sets_stay_exact(spark):
             whole = whole.unionByName(r)
         assert all(len(r.distinct_files) <= cap for r in whole.collect())
         assert incremental.merged(whole, "file", cap).first().distinct_files == want
+
+
+# ---------------------------------------------------------------- pooling of large signals
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 0.97])
+def test_blocks_give_the_clusters_of_one_pass(spark, monkeypatch, threshold):
+    import numpy as np
+
+    from plumbline.operators import pooling
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6))
+    vectors = centres[rng.integers(0, 12, 260)] + rng.normal(size=(260, 6)) * 0.25
+    vectors[20] = vectors[250] = 0
+    vectors[100:110] = vectors[3]
+    rows = [("large", int(i * 3), v.tolist()) for i, v in enumerate(vectors)] + [("small", i, v.tolist()) for i, v in enumerate(vectors[:30])]
+    units = spark.createDataFrame(rows, "signal_id string, ord long, vector array<double>").repartition(4)
+    want = {("large", i * 3): int(c) for i, c in enumerate(pooling.greedy_clusters(vectors, threshold))} | {("small", i): int(c) for i, c in enumerate(pooling.greedy_clusters(vectors[:30], threshold))}
+    for name, value in (("BLOCK", 60), ("CHUNK", 5), ("PART", 16), ("BATCH", 4)):
+        monkeypatch.setattr(pooling, name, value)
+    got = {(r.signal_id, r.ord): r.cluster for r in pooling.pool_semantic(units, threshold).collect()}
+    assert got == want and 1 < len(set(want.values())) < 290
+
+
+def test_a_pivot_index_loses_nothing():
+    import numpy as np
+
+    from plumbline.operators import pooling
+
+    rng = np.random.default_rng(7)
+    heads, rows = pooling._units(rng.normal(size=(900, 8)) ** 3), pooling._units(rng.normal(size=(300, 8)) ** 3)
+    index, cosines = pooling.PivotIndex(heads, 0.95), rows @ heads.T
+    for i, (at, _) in enumerate(index.best(rows, 0.95)):
+        assert at == (int(cosines[i].argmax()) if cosines[i].max() >= 0.95 else -1)
+    assert np.mean([len(index.near(rows[i : i + 1])) for i in range(300)]) < 0.3 * len(heads)  # most are left out without a cosine
