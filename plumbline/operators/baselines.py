@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.selection import medians
+from plumbline.operators.selection import CELLS, medians, most_cells
 from plumbline.sources.durable import durable, small
 
 MAD_TO_SD = 1.4826
@@ -47,10 +47,12 @@ def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 def middle_and_deviation(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Median of each group's values, and of their distances from it: keys, _m, _mad, _n; exact at any size (see selection)."""
     counts = durable(value_counts(rows, keys))
-    centres = medians(counts, keys, "_m")
-    apart = counts.join(small(durable(centres)), keys).groupBy(*keys, F.abs(F.col("value") - F.col("_m")).alias("value")).agg(F.sum("_n").alias("_n"))
+    most = most_cells(counts, keys)
+    kept = durable if most > CELLS else (lambda df: df)  # selection in rounds reads its input several times
+    centres = kept(medians(counts, keys, "_m", most))
+    apart = kept(counts.join(centres, keys).groupBy(*keys, F.abs(F.col("value") - F.col("_m")).alias("value")).agg(F.sum("_n").alias("_n")))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    return centres.join(medians(durable(apart), keys, "_mad"), keys).join(sizes, keys)
+    return centres.join(medians(apart, keys, "_mad", most), keys).join(sizes, keys)
 
 
 def global_scales(rows: DataFrame) -> DataFrame:

@@ -39,13 +39,18 @@ def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
 
 
-def medians(counts: DataFrame, keys: list[str], out: str = "median") -> DataFrame:
+def most_cells(counts: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group of counts."""
+    return counts.groupBy(*keys).agg(F.count("value").alias("_cells")).agg(F.max("_cells")).first()[0] or 0
+
+
+def medians(counts: DataFrame, keys: list[str], out: str = "median", most: int | None = None) -> DataFrame:
     """The exact median of each group, the mean of the two middle ones for an even number: keys, `out`. counts: keys, value, _n (how often; a value
-    may stand in several rows), kept durably. Nulls don't count; a group of nulls has a null median."""
+    may stand in several rows), kept durably. Nulls don't count; a group of nulls has a null median. most: most_cells or a bound on it, if known."""
+    if (most_cells(counts, keys) if most is None else most) <= CELLS:
+        return counts.groupBy(*keys).agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias(out))
     sizes = durable(counts.groupBy(*keys).agg(F.count("value").alias("_cells"), F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))).alias("_total")))
     large = sizes.filter(F.col("_cells") > CELLS)
-    if large.isEmpty():
-        return counts.groupBy(*keys).agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias(out))
     few = _renamed(sizes.filter(F.col("_cells") <= CELLS), keys).select(*[f"_k{i}" for i in range(len(keys))])
     done = [counts.join(small(durable(few)), _same(keys), "left_semi").groupBy(*keys).agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias(out))]
     # an open group: its interval of values, and how many values lie below it
