@@ -35,6 +35,11 @@ def r6(x) -> F.Column:
 # ---------------------------------------------------------------- A: scans
 
 
+def http_line():
+    """An event as a line of the http log."""
+    return F.concat_ws(",", F.concat(F.lit("{"), F.col("event_id"), F.lit("}")), F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), "user", F.lit("PC-1"), F.concat(F.lit("http://"), F.col("event_type"), F.lit(".com/a")), F.lit("GET"), F.lit('say "a, b, c'))
+
+
 @query(
     "a1_log_scan",
     """SELECT 'U' || user_id AS "user", 'http://' || event_type || '.com/a' AS url, strftime(ts, '%m/%d/%Y %H:%M:%S') AS date, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events""",
@@ -42,8 +47,7 @@ def r6(x) -> F.Column:
 def a1_log_scan(spark, sf_dir):
     """Lines whose last field holds commas and one quote, split back by position (A1, A2)."""
     e = T.events(spark, sf_dir)
-    line = F.concat_ws(",", F.concat(F.lit("{"), F.col("event_id"), F.lit("}")), F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), "user", F.lit("PC-1"), F.concat(F.lit("http://"), F.col("event_type"), F.lit(".com/a")), F.lit("GET"), F.lit('say "a, b, c'))
-    return logs.parse_lines(e.select(line.alias("value")), "http").select("user", "url", "date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return logs.parse_lines(e.select(http_line().alias("value")), "http").select("user", "url", "date", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import features, incremental, judgements, pooling
 from plumbline.plans import standins as T
-from plumbline.plans.queries import _POOLED, _scratch, _sentences, _snapshots, query, signal_records
+from plumbline.plans.queries import _POOLED, _scratch, _sentences, _snapshots, http_line, query, signal_records
 from plumbline.plans.record_queries import _FACTS
-from plumbline.sources import logs, sinks
+from plumbline.sources import log_source, logs, sinks
 
 
 @query("a3_snapshots", "SELECT strftime(o_orderdate, '%Y-%m') AS snapshot_month, count(DISTINCT o_custkey) AS users, min(o_orderpriority) AS least_role FROM orders GROUP BY 1")
@@ -20,6 +20,20 @@ def a3_snapshots(spark, sf_dir):
     return rows.groupBy("snapshot_month").agg(F.count_distinct("user").alias("users"), F.min("role").alias("least_role"))
 
 
+@query(
+    "a1_log_source",
+    """SELECT 'U' || user_id AS "user", 'http://' || event_type || '.com/a' AS url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21'""",
+)
+def a1_log_source(spark, sf_dir):
+    """A log written in the order of its dates, read between two dates by the source that takes bounds and columns."""
+    at = f"{_scratch(spark)}/http"
+    e = T.events(spark, sf_dir).repartitionByRange("ts").sortWithinPartitions("ts")
+    e.select(http_line().alias("value")).write.text(at)
+    rows = log_source.scan_log(spark, at, "http", ["user", "url", "ts"], ordered=True)
+    rows = logs.before(rows, "2024-01-21").filter(F.col("ts") >= F.lit("2024-01-05").cast("timestamp"))
+    return rows.select("user", "url", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("a7_first_rows", "SELECT event_type, least(count(*), 50) AS n FROM events GROUP BY event_type")
 def a7_first_rows(spark, sf_dir):
     """At most 50 rows of each log."""
