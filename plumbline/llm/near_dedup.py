@@ -10,9 +10,9 @@
    0.85, 6e-7 at 0.8. In a region, pairs of different groups are compared by the parity of their shingles' hash bits, a
    bound that never rules out a true link. Depth adapts to the region: one in which more than REGION rows
    are outside its largest group is walked again with deeper keys and more trees (LEVELS), which keeps that chance below 1e-6;
-   what stays crowded at the last level is dealt in blocks of rows, two by two. A region gives a spanning forest of what the
-   bound leaves; those pairs are confirmed, and regions with a pair that fails give another one while that finds links, up to FORESTS, then all
-   their pairs.
+   what stays crowded at the last level is dealt in blocks of rows, two by two. A region gives all pairs that the bound leaves where
+   they are few for its rows (EACH), so that it is walked once, else a spanning forest of them; the pairs are confirmed, and regions with a
+   pair of a forest that fails give another one while that finds links, up to FORESTS, then all their pairs.
 
 So no row has a limit on partners. A crowd of texts that differ from each other by little more than the threshold allows, without
 links to merge them, is compared row by row in blocks: its cost grows with the square of its distinct texts.
@@ -45,6 +45,8 @@ SHARED = 3
 REGION = 4096
 #: Values and trees of the regions that follow where a region is crowded: a pair at 0.8 is missed with a chance of 5e-7.
 LEVELS = ((6, 48),)
+#: A region with at most so many pairs a row that the bound leaves gives all of them at once; others give spanning forests.
+EACH = 4
 #: Spanning forests of a region that are tried before all of its pairs are.
 FORESTS = 4
 #: Link when 100 * intersection >= similarity * union; this is what the operator's query asks for.
@@ -216,7 +218,27 @@ class Compared:
             which = np.flatnonzero(size == n)
             self.place[which] = np.arange(len(which))
             self.rows[n] = np.frombuffer(b"".join(bits[i] for i in which), _U).reshape(len(which), -1)
-        self.folded = {n: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for n, x in self.rows.items()}
+        self.folded = {n: self._fold(x) for n, x in self.rows.items()}
+        # parities of fewer bits are a weaker bound, but read a quarter of the bytes
+        self.coarse = {n: self._fold(self.folded[n]) for n in self.rows if n >= 256}
+        self.coarser = {n: self._fold(x) for n, x in self.coarse.items()}
+
+    @staticmethod
+    def _fold(x: np.ndarray) -> np.ndarray:
+        return x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+
+    def may(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Which pairs may differ in `limit` shingles or fewer, by the coarse parities."""
+        out = np.ones(len(i), bool)
+        low, high = np.where(self.size[i] <= self.size[j], i, j), np.where(self.size[i] <= self.size[j], j, i)
+        for n, rows in self.coarse.items():
+            for m, other in ((n, rows), (2 * n, self.coarser.get(2 * n))):
+                at = np.flatnonzero((self.size[low] == n) & (self.size[high] == m))
+                step = max(1, 4 * COMPARED_BYTES // n)
+                for k in range(0, len(at), step):
+                    x = at[k : k + step]
+                    out[x] = np.bitwise_count(rows[self.place[low[x]]] ^ other[self.place[high[x]]]).sum(axis=1, dtype=np.int64) <= limit[x]
+        return out
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
@@ -232,15 +254,15 @@ class Compared:
         return out
 
 
-PAIRS = "tree int, key binary, a long, b long"
-_PAIRS = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+PAIRS = "tree int, key binary, a long, b long, whole boolean"
+_PAIRS = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
 #: Rows of whole regions that are compared at a time, at least.
 TOGETHER = 4_000
 
 
 def _compare(batches: Iterator[pa.RecordBatch], similarity: int, attempt: int | None) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by region: pairs of different groups that may be similar enough. Only as many as join the groups that
-    they can join, the likeliest first (attempt 0) or others (further attempts); all of them if attempt is None."""
+    """Over rows sorted by region: pairs of different groups that may be similar enough. All of a region's (whole) if they are few or attempt is
+    None; else as many as join the groups that they can join, the likeliest first (attempt 0) or others (further attempts)."""
 
     def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = {x: t.column(x).combine_chunks() for x in t.column_names}
@@ -255,6 +277,8 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, attempt: int |
         def good(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keep = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             i, j = i[keep], j[keep]
+            keep = rows.may(i, j, (100 - similarity) * (n[i] + n[j]) // (100 + similarity))
+            i, j = i[keep], j[keep]
             apart = rows.apart(i, j)
             keep = (100 + similarity) * apart <= (100 - similarity) * (n[i] + n[j])
             return i[keep], j[keep], apart[keep]
@@ -275,8 +299,11 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, attempt: int |
         if not found:
             return
         i, j, apart = (np.concatenate(x) for x in zip(*found))
+        whole = np.ones(len(i), bool)
         if attempt is not None:
-            mixed = _mix((ids[i] * 31 + ids[j]).astype(_U) + _U(attempt) * _PLACE[0])
+            number = np.repeat(np.arange(len(starts)), stops - starts)
+            whole = (np.bincount(number[i], minlength=len(starts)) <= EACH * (stops - starts))[number[i]]
+            mixed = _mix((ids[i] * 31 + ids[j]).astype(_U) + _PLACE[:1] * _U(attempt))
             order = np.lexsort((apart if attempt == 0 else mixed, region[i]))
             above: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -285,16 +312,16 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int, attempt: int |
                     x = above[x]
                 return x
 
-            taken = []
-            for k in order.tolist():
+            taken = np.flatnonzero(whole).tolist()
+            for k in order[~whole[order]].tolist():
                 x, y = top((region[i[k]], root[i[k]])), top((region[j[k]], root[j[k]]))
                 if x != y:
                     above[x] = y
                     taken.append(k)
-            i, j = i[taken], j[taken]
+            i, j, whole = i[taken], j[taken], whole[taken]
         if len(i):
             at = pa.array(i)
-            yield pa.RecordBatch.from_arrays([cols["tree"].take(at), cols["key"].take(at), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([cols["tree"].take(at), cols["key"].take(at), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(whole)], schema=_PAIRS)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -407,9 +434,9 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
             if attempt is None:
                 break
             tested = durable(tested.unionByName(fresh))
-            # regions with a pair that isn't a link, and ends that are still apart
+            # regions that gave a forest with a pair that isn't a link, and ends that are still apart
             root_of = lambda x: links.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-            apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            apart = pairs.filter("NOT whole").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
             again = durable(apart.select("tree", "key").distinct())
             if again.isEmpty():
                 break

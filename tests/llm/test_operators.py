@@ -644,9 +644,10 @@ def crowd(rng, pairs, n_words=300):
     return [(order[i], " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("region", [4096, 60])
-def test_near_duplicates_in_a_crowd(spark, monkeypatch, region):
+@pytest.mark.parametrize("region, each", [(4096, 4), (60, 4), (4096, 0)])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, region, each):
     monkeypatch.setattr(near_dedup, "REGION", region)  # 60: regions are walked again with deeper keys, then dealt in blocks
+    monkeypatch.setattr(near_dedup, "EACH", each)  # 0: forests only
     few = crowd(random.Random(31), 150)
     want = {d: c for d, (_, c) in brute_groups(few).items()}
     assert len(set(want.values())) > 60
@@ -663,6 +664,8 @@ def test_parities_never_rule_out_a_link():
         y = np.unique(np.concatenate([x[: int(0.9 * len(x))], rng.randint(0, 2**62, max(n // 10, 1)).astype(np.uint64)]))
         bound = near_dedup.Compared([near_dedup.parity(x), near_dedup.parity(y)]).apart(np.array([0, 1]), np.array([1, 0]))
         assert bound[0] == bound[1] <= len(np.setxor1d(x, y))
+        both = near_dedup.Compared([near_dedup.parity(x), near_dedup.parity(y)])
+        assert both.may(np.array([0, 1]), np.array([1, 0]), np.array([len(np.setxor1d(x, y))] * 2)).all()
 
 
 def test_components(spark):
