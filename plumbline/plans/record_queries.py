@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import evaluation, grounding, identity, judgements, pooling, signals
+from plumbline.operators import evaluation, grounding, identity, judgements, pooling, runs, signals
 from plumbline.plans import standins as T
-from plumbline.plans.queries import _DAY_LONG, _FIRED, _far, _snapshots, query, r6, signal_records
+from plumbline.plans.queries import _DAY_LONG, _FIRED, _LABELLED, GATES, _far, _snapshots, _windows, query, r6, signal_records
 from plumbline.sources.durable import durable
 
 _rule_fields = {r.rule_id: r.fields for r in signals.RULES}
@@ -57,6 +57,25 @@ def g3_signals(spark, sf_dir):
     return signals.context_text(r).join(r.select("signal_id", "user", "period", "period_type", rules.alias("rules"), F.size("facts").alias("n_facts"), F.array_join(signals.evidence_ids(F.col("facts")), ",").alias("evidence_ids"), "label.is_malicious"), "signal_id")
 
 
+_WINDOWS = _LABELLED.removeprefix(T.RAW_FEATURES + ", ")
+
+
+@query(
+    "g6_signal_run",
+    f"""WITH {_FACTS}, {_WINDOWS} SELECT signal_id, "user", period, 'old G' || substr("user", 2)::BIGINT % 3 AS role, n_facts, is_malicious, scenario
+FROM sig JOIN lab USING ("user", period) JOIN (SELECT signal_id, count(*)::INT AS n_facts FROM facts GROUP BY signal_id) USING (signal_id)""",
+)
+def g6_signal_run(spark, sf_dir):
+    """From five logs, snapshots and answers to labelled records in one call; roles of the last snapshot make peers, records show those of their month."""
+    users = T.events(spark, sf_dir).select("user").distinct()
+    group = F.concat(F.lit("G"), F.substring("user", 2, 20).cast("long") % 3)
+    others = [F.lit(c).alias(c) for c in identity.IDENTITY if c != "role"]
+    months = users.select("user", F.explode(F.array(F.struct(F.lit("2000-01").alias("m"), F.concat(F.lit("old "), group).alias("role")), F.struct(F.lit("2999-01").alias("m"), group.alias("role")))).alias("x"))
+    snapshots = months.select("user", F.col("x.m").alias("snapshot_month"), "x.role", *others)
+    run = runs.signals_from_logs(T.logs(spark, sf_dir), snapshots, _windows(spark, sf_dir), GATES, grain="day")
+    return run.signals.select("signal_id", "user", "period", "identity.role", F.size("facts").alias("n_facts"), "label.is_malicious", "label.scenario")
+
+
 # ---------------------------------------------------------------- claims against facts
 
 _CLAIM = """CASE n % 3 WHEN 0 THEN 'The reason is that ' || gloss || ' reached ' || display WHEN 1 THEN 'While activity (a, b) was normal, the user had ' || display || ' ' || gloss ELSE 'John Smith made 7777777 ' || gloss END"""
