@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 
-DIRECT, DERIVED, UNIT = 0.01, 0.05, 0.01
+#: What a number may stand for, and how close it must be.
+TARGETS = {"value": 0.01, "ratio": 0.05, "percent": 0.05, "percent difference": 0.05, "unit": 0.01}
+DETAILS = tuple(TARGETS)
 UNITS = (1e3, 1e6, 1e9)
 ENTAILED = 0.6
 
@@ -59,38 +61,68 @@ def close(a: Column, b: Column, tolerance: Column | float) -> Column:
 
 
 def candidates(facts: Column) -> Column:
-    """Ordered targets of a signal's facts: rendered numbers of all facts, then ratios, percents and percent differences of two
-    numbers of one fact, then unit changes: struct(target, tolerance, kind, fact_id, detail)."""
+    """Ordered targets of a signal's facts: rendered numbers of all facts, then for each fact ratios, percents and percent differences of two
+    of its numbers and unit changes: struct(target, what, fact); what: place in TARGETS, fact: place among the facts."""
 
-    def made(target: Column, tolerance: float, kind: str, fact: Column, detail: str) -> Column:
-        return F.struct(target.alias("target"), F.lit(tolerance).alias("tolerance"), F.lit(kind).alias("kind"), fact["fact_id"].alias("fact_id"), F.lit(detail).alias("detail"))
+    def made(target: Column, detail: str, place: Column) -> Column:
+        return F.struct(target.alias("target"), F.lit(DETAILS.index(detail)).alias("what"), place.alias("fact"))
 
-    direct = lambda f: F.transform(rendered_numbers(f), lambda n: made(n, DIRECT, "matched", f, "value"))
+    direct = lambda f, i: F.transform(rendered_numbers(f), lambda n: made(n, "value", i))
 
-    def derived(f: Column) -> Column:
+    def derived(f: Column, i: Column) -> Column:
         n = rendered_numbers(f)
         pairs = F.flatten(F.transform(n, lambda a: F.transform(F.filter(n, lambda b: b != a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        of = lambda p: F.array(made(F.try_divide(p["a"], p["b"]), DERIVED, "derived", f, "ratio"), made(100 * F.try_divide(p["a"], p["b"]), DERIVED, "derived", f, "percent"), made(F.abs(100 * F.try_divide(p["a"] - p["b"], p["b"])), DERIVED, "derived", f, "percent difference"))
-        units = F.flatten(F.transform(n, lambda a: F.array(*[made(x, UNIT, "derived", f, "unit") for u in UNITS for x in (a * u, a / u)])))
+        of = lambda p: F.array(made(F.try_divide(p["a"], p["b"]), "ratio", i), made(100 * F.try_divide(p["a"], p["b"]), "percent", i), made(F.abs(100 * F.try_divide(p["a"] - p["b"], p["b"])), "percent difference", i))
+        units = F.flatten(F.transform(n, lambda a: F.array(*[made(x, "unit", i) for u in UNITS for x in (a * u, a / u)])))
         return F.concat(F.filter(F.flatten(F.transform(pairs, of)), lambda c: c["target"].isNotNull()), units)
 
     return F.concat(F.flatten(F.transform(facts, direct)), F.flatten(F.transform(facts, derived)))
 
 
-def match_number(number: Column, targets: Column) -> Column:
-    """The first target that is close: struct(number, kind, fact_id, detail); kind `unmatched` if none is."""
-    hit = F.get(F.filter(targets, lambda c: close(number, c["target"], c["tolerance"])), F.lit(0))
-    return F.struct(number.alias("number"), F.coalesce(hit["kind"], F.lit("unmatched")).alias("kind"), hit["fact_id"].alias("fact_id"), hit["detail"].alias("detail"))
+def number_index(facts: Column) -> Column:
+    """Targets of a signal in the order of their values, each with its rank among the candidates: array of struct(target, rank, what, fact).
+    Made once a signal, searched by every number of its claims."""
+    ranked = F.transform(candidates(facts), lambda c, i: F.struct(c["target"].alias("target"), i.alias("rank"), c["what"].alias("what"), c["fact"].alias("fact")))
+    return F.coalesce(F.sort_array(ranked), F.filter(F.array(F.struct(F.lit(0.0).alias("target"), F.lit(0).alias("rank"), F.lit(0).alias("what"), F.lit(0).alias("fact"))), lambda c: F.lit(False)))
 
 
-def match_numbers(rows: DataFrame, numbers: Column | None = None) -> DataFrame:
-    """rows: text, facts. Adds numbers (those of the text, or the ones given where not null) and matches. Targets are made once
-    per row."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def count_below(index: Column, steps: Column, least: Column) -> Column:
+    """How many targets are below `least`, by binary search in steps of falling powers of two; past the end there is nothing to step on."""
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(index, at + step - 1)["target"] < least, at + step).otherwise(at))
+
+
+def match_number(number: Column, index: Column, steps: Column, facts: Column) -> Column:
+    """The close target of least rank: struct(number, kind, fact_id, detail); kind `unmatched` if none is close. A close target t of a number n
+    lies between n / (1 + w) and n / (1 - w), w the widest tolerance; only those few are compared. An infinite target is close to nothing."""
+    widest = max(TARGETS.values())
+    ends, margin = (number / (1 + widest), number / (1 - widest)), F.abs(number) * 1e-9 + 1e-9
+    tolerances = F.array(*[F.lit(t) for t in TARGETS.values()])
+
+    def first(begin: Column) -> Column:
+        near = F.slice(index, begin + 1, count_below(index, steps, F.greatest(*ends) + margin) - begin)
+        hits = F.filter(near, lambda c: close(number, c["target"], F.get(tolerances, c["what"])))
+        return F.array_min(F.transform(hits, lambda c: F.struct(c["rank"], c["what"].alias("what"), c["fact"].alias("fact"))))
+
+    def named(hit: Column) -> Column:
+        kind = F.when(hit.isNull(), "unmatched").when(hit["what"] == DETAILS.index("value"), "matched").otherwise("derived")
+        return F.struct(number.alias("number"), kind.alias("kind"), F.get(facts, hit["fact"])["fact_id"].alias("fact_id"), F.get(F.array(*[F.lit(d) for d in DETAILS]), hit["what"]).alias("detail"))
+
+    return let(let(count_below(index, steps, F.least(*ends) - margin), first), named)
+
+
+def match_numbers(rows: DataFrame, numbers: Column | None = None, index: Column | None = None) -> DataFrame:
+    """rows: text, facts. Adds numbers (those of the text, or the ones given where not null) and matches. index: the signal's number_index,
+    where it is at hand; else it is made for each row. Null facts match nothing."""
     own = S.numbers_in(F.col("text"))
     rows = rows.withColumn("numbers", own if numbers is None else F.coalesce(numbers, own))
-    # an array of one, so that the optimizer can't move the making of targets into the loop over numbers
-    found = F.transform(F.array(candidates(F.col("facts"))), lambda targets: F.transform(F.col("numbers"), lambda n: match_number(n, targets)))
-    return rows.withColumn("matches", F.get(found, F.lit(0)))
+    powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])  # no array is longer
+    every = lambda i: let(F.filter(powers, lambda p: p <= F.size(i)), lambda steps: F.transform(F.col("numbers"), lambda n: match_number(n, i, steps, F.col("facts"))))
+    return rows.withColumn("matches", let(number_index(F.col("facts")) if index is None else index, every))
 
 
 def share_grounded(matches: Column) -> Column:
@@ -135,9 +167,10 @@ def rho(misweighted: Column, fact_match: Column, consistency: Column) -> Column:
 
 def score_claims(claims: DataFrame, signals: DataFrame, consistency: DataFrame, extra_numbers: Column | None = None) -> DataFrame:
     """claims: signal_id, sentence_id, text; signals: signal_id, user, identity, facts; consistency: signal_id, sentence_id,
-    self_consistency. The whole score row of each claim."""
-    rows = claims.join(signals.select("signal_id", "user", "identity", "facts"), "signal_id").join(consistency, ["signal_id", "sentence_id"], "left")
-    rows = match_numbers(rows, extra_numbers).withColumn("entities", S.entities_in(F.col("text")))
+    self_consistency. The whole score row of each claim. Targets are made and sorted once a signal, before its claims meet it."""
+    known = signals.select("signal_id", "user", "identity", "facts", number_index(F.col("facts")).alias("_index"))
+    rows = claims.join(consistency, ["signal_id", "sentence_id"], "left").join(known, "signal_id")
+    rows = match_numbers(rows, extra_numbers, F.col("_index")).withColumn("entities", S.entities_in(F.col("text")))
     rows = rows.withColumn("hits", entity_matches(F.col("entities"), known_entities(F.col("user"), F.col("identity"), F.col("facts"))))
     rows = rows.withColumn("misweighted_fact", misweighted_fact(F.col("text"), F.col("facts"))).withColumn("misweighted", F.col("misweighted_fact").isNotNull())
     rows = rows.withColumn("fact_match_score", share_grounded(F.col("matches"))).withColumn("combined_score", combined_match(F.col("matches"), F.col("hits")))

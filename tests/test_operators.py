@@ -304,3 +304,29 @@ def test_late_events_are_left_out_and_leave_no_state(spark, tmp_path):
     stream.run_to_end(stream.weekly_counts(source), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = {str(r.week_start)[:10]: (r.events, r.after_hours_events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"2024-02-26": (1, 0), "2024-03-18": (2, 1)}  # the event of January came when its week was over; May's is still open
+
+
+def test_number_index_equals_a_scan(spark):
+    """Numbers near, between and beyond targets, against a plain scan of the ordered candidates."""
+    import random
+
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 0.0, rng.uniform(-50, 50), float(rng.randint(-9, 9)), rng.uniform(0, 1e7)])
+    kinds = "fact_id:string,display:string,self_center:double,never_before:boolean,peer_center:double,peer_group_size:int"
+    rows = []
+    for i in range(120):
+        facts = [(f"F{j}", rng.choice([None, "x", "0", "1,200 MB", f"{rng.uniform(-20, 90):.2f} a"]), some(), rng.choice([None, True, False]), some(), rng.choice([None, 0, 7, 40])) for j in range(rng.randint(0, 6))]
+        shown = [x for f in facts for x in (f[2], f[4], f[5]) if x is not None] or [1.0]
+        near = [float(rng.choice(shown)) * rng.choice([1, 0.01, 100, 1e3, 1e-6]) * rng.choice([1, 1.01, 0.99, 1.0100001, 1.05, 0.95, 0.9499999, 1.2, -1]) for _ in range(12)]
+        rows.append((i, None if i == 0 else facts, [*near, 0.0, 5e-10, -5e-10, 2e-9, 1e300]))
+    df = spark.createDataFrame(rows, f"id int, facts array<struct<{kinds}>>, given array<double>").withColumn("text", F.lit(""))
+    got = grounding.match_numbers(df, F.col("given")).select("id", "facts", "given", "matches", grounding.candidates(F.col("facts")).alias("c")).collect()
+    seen = set()
+    for r in got:
+        for n, m in zip(r.given, r.matches):
+            want = next((c for c in r.c or [] if (abs(n) < 1e-9 if c.target == 0 else abs(n - c.target) <= grounding.TARGETS[grounding.DETAILS[c.what]] * abs(c.target))), None)
+            detail = want and grounding.DETAILS[want.what]
+            assert (m.number, m.detail, m.fact_id) == (n, detail, want and r.facts[want.fact].fact_id)
+            assert m.kind == {None: "unmatched", "value": "matched"}.get(detail, "derived")
+            seen.add(detail)
+    assert seen == {None, *grounding.DETAILS}
