@@ -74,9 +74,10 @@ def learn_then_test(rows: DataFrame, policy: str = "primary", alphas: tuple[floa
     return rows.sparkSession.createDataFrame(out, "alpha double, lambda_hat double, achieved_risk double, n_selected long, n_wrong long, p_value double, status string")
 
 
-def conformal_risk(rows: DataFrame, policy: str = "primary", alphas: tuple[float, ...] = ALPHAS, fraction: float = 0.5, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
-    """The same for a bound on how many wrong claims get through: max(1, round(alpha * n * fraction)), one more than seen."""
-    n = rows.count()
+def conformal_risk(rows: DataFrame, policy: str = "primary", alphas: tuple[float, ...] = ALPHAS, fraction: float = 0.5, lambdas: tuple[float, ...] = LAMBDAS, n: int | None = None) -> DataFrame:
+    """The same for a bound on how many wrong claims get through: max(1, round(alpha * n * fraction)), one more than seen. n: number of
+    rows before a split, where `rows` are one side of it; else all of `rows`."""
+    n = rows.count() if n is None else n
     curve = risk_curve(rows, policy, lambdas).collect()
     out = []
     for alpha in alphas:
@@ -87,12 +88,12 @@ def conformal_risk(rows: DataFrame, policy: str = "primary", alphas: tuple[float
     return rows.sparkSession.createDataFrame(out, "alpha double, bound long, lambda_hat double, n_selected long, n_wrong long, status string")
 
 
-def manifest(rows: DataFrame, settings: dict, policy: str = "primary", delta: float = 0.10, seed: int = 42) -> DataFrame:
+def manifest(rows: DataFrame, settings: dict, policy: str = "primary", delta: float = 0.10, seed: int = 42, alphas: tuple[float, ...] = ALPHAS, lambdas: tuple[float, ...] = LAMBDAS) -> DataFrame:
     """What a calibration did, as one record: policy, grids, provenance, and its results; write with sinks.write_records."""
-    results = learn_then_test(rows, policy, delta=delta)
+    results = learn_then_test(rows, policy, alphas, delta, lambdas)
     packed = results.agg(F.array_sort(F.collect_list(F.struct("alpha", "lambda_hat", "achieved_risk", "n_selected", "n_wrong", "p_value", "status"))).alias("results"))
     return packed.select(
-        F.lit(policy).alias("policy"), F.lit(delta).alias("delta"), F.lit(seed).alias("seed"), F.array(*[F.lit(x) for x in LAMBDAS]).alias("lambdas"), F.array(*[F.lit(x) for x in ALPHAS]).alias("alphas"),
+        F.lit(policy).alias("policy"), F.lit(delta).alias("delta"), F.lit(seed).alias("seed"), F.array(*[F.lit(x) for x in lambdas]).alias("lambdas"), F.array(*[F.lit(x) for x in alphas]).alias("alphas"),
         F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv]).alias("provenance"), "results",
     )
 

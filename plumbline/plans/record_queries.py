@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalars as S
 from plumbline.operators import evaluation, grounding, identity, judgements, pooling, runs, signals
 from plumbline.plans import standins as T
-from plumbline.plans.queries import _DAY_LONG, _FIRED, _LABELLED, GATES, _far, _snapshots, _windows, query, r6, signal_records
+from plumbline.plans.queries import _DAY_LONG, _FIRED, _LABELLED, _SPLIT, GATES, _certified, _far, _six, _snapshots, _windows, query, r6, signal_records
 from plumbline.sources.durable import durable
 
 _rule_fields = {r.rule_id: r.fields for r in signals.RULES}
@@ -224,3 +224,20 @@ def n2_grouping_requests(spark, sf_dir):
     made = judgements.grouping_requests(claims, "Group what means the same.")
     prompt = F.get_json_object("value", "$.request.contents[0].parts[0].text")
     return made.select("signal_id", F.size("keys").alias("n_keys"), F.md5(prompt.cast("binary")).alias("prompt"))
+
+
+_WRONG = "label IN ('hallucinated', 'misweighted', 'false precision')"
+
+
+@query(
+    "l7_calibration_run",
+    f"""WITH {_SPLIT}, cal AS (SELECT * FROM split WHERE in_calibration), {_certified('cal', _six)},
+far AS (SELECT "lambda", count(*) FILTER (score >= "lambda") AS other_selected, count(*) FILTER (score >= "lambda" AND {_WRONG}) AS other_wrong FROM grid, (SELECT * FROM split WHERE NOT in_calibration) GROUP BY "lambda")
+SELECT alpha, lambda_hat, n_selected, n_wrong, status, other_selected, other_wrong FROM best LEFT JOIN far ON lambda_hat = "lambda" """,
+)
+def l7_calibration_run(spark, sf_dir):
+    """From scored and judged claims to certified thresholds in one call, with the other side's figures at each."""
+    rows = T.claims_by_label(spark, sf_dir)
+    users = rows.select("user", "group").distinct()
+    run = runs.thresholds_from_judgements(rows.select("cluster_id", F.col("score").alias("rho")), rows.select("cluster_id", "user", "label"), {"source": "documents"}, users, ("primary",))
+    return run.thresholds.filter("method = 'learn then test'").select("alpha", "lambda_hat", "n_selected", "n_wrong", "status", "other_selected", "other_wrong")

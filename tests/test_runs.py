@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import features, identity, runs
+from plumbline.operators import calibration, features, identity, runs
 from plumbline.operators.baselines import BaselineConfig
 from plumbline.sources import logs as L
 
@@ -69,3 +69,40 @@ def test_from_drafts_to_scored_claims(spark, given):
     assert set(found) == {"The user copied 40 files.", "Nothing else was seen.", "The count was 777."}
     assert found["The user copied 40 files."].fact_match_score == 1 and found["The count was 777."].fact_match_score == 0
     assert found["Nothing else was seen."].self_consistency == 0 == found["Nothing else was seen."].rho
+
+
+def test_from_judgements_to_thresholds(spark):
+    scored = [(f"c{i:03d}", i / 400) for i in range(400)] + [("lone", 0.9), ("blank", None)]
+    told = [(f"c{i:03d}", f"U{i % 40}", "hallucinated" if i < 100 else "misweighted" if i < 200 else "grounded") for i in range(400)]
+    told += [("c399", "U39", "misweighted"), ("unscored", "U1", "grounded"), ("c000", None, "grounded"), ("blank", "U1", "grounded")]
+    scores, judged = spark.createDataFrame(scored, "cluster_id string, rho double"), spark.createDataFrame(told, "cluster_id string, user string, label string")
+    groups = spark.createDataFrame([(f"U{u}", f"g{u % 2}") for u in range(36)], "user string, group string")
+    run = runs.thresholds_from_judgements(scores, judged, {"k": 4}, groups, lambdas=(0.9, 0.6, 0.5, 0.25, 0.0))
+    rows = run.rows.collect()
+    assert len(rows) == 400 and {r.group for r in rows} == {"g0", "g1", "Unknown"}
+    side = {}
+    for r in rows:
+        assert side.setdefault(r.user, r.in_calibration) == r.in_calibration
+    assert sorted((g, sum(side[u] for u in {r.user for r in rows if r.group == g})) for g in ("g0", "g1", "Unknown")) == [("Unknown", 2), ("g0", 9), ("g1", 9)]
+    found = {(r.policy, r.method, r.alpha): r for r in run.thresholds.collect()}
+    assert len(found) == 2 * 2 * len(calibration.ALPHAS)
+    for (policy, method, alpha), r in found.items():
+        if r.lambda_hat is not None:
+            for inside, n, wrong in ((True, r.n_selected, r.n_wrong), (False, r.other_selected, r.other_wrong)):
+                taken = [x for x in rows if x.in_calibration == inside and x.score >= r.lambda_hat]
+                assert (len(taken), sum(x.label in calibration.POLICIES[policy] for x in taken)) == (n, wrong)
+    # no claim from 0.5 on is wrong by the primary policy, none from 0.25 on by the secondary one; the few above 0.9 can certify 0.2, not 0.1
+    assert found["secondary", "learn then test", 0.1].lambda_hat is None
+    assert found["primary", "learn then test", 0.3].lambda_hat == 0.5 and found["secondary", "learn then test", 0.2].lambda_hat == 0.25
+    assert found["primary", "conformal risk", 0.3].bound == 60
+    manifests = {m.policy: m for m in run.manifests.collect()}
+    assert manifests["primary"].provenance == {"k": "4", "fraction": "0.5", "rows": "400", "users": "40"} and manifests["secondary"].lambdas == [0.9, 0.6, 0.5, 0.25, 0.0]
+
+
+def test_thresholds_of_nothing(spark):
+    scores, judged = spark.createDataFrame([], "cluster_id string, rho double"), spark.createDataFrame([], "cluster_id string, user string, label string")
+    run = runs.thresholds_from_judgements(scores, judged, {})
+    assert run.rows.isEmpty() and {r.lambda_hat for r in run.thresholds.filter("method = 'learn then test'").collect()} == {None}
+    for bad in ({"policies": ("third",)}, {"lambdas": (0.1, 0.9)}):
+        with pytest.raises(ValueError):
+            runs.thresholds_from_judgements(scores, judged, {}, **bad)
