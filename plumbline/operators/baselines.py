@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from plumbline.operators.selection import CELLS, medians, most_cells
 from plumbline.sources.durable import durable, small
@@ -73,21 +77,57 @@ def clipped_z(value: Column, centre: Column, spread: Column, cap: float) -> Colu
     return F.when(z.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), z)))
 
 
+def past_figures(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Adds to rows in the order of user, feature and period: _size, _middle, _apart (median distance from it) and _top of the values in the `window`
+    rows before each of its user and feature. Only the last rows of a batch are carried on to the next."""
+    keys, carried = ("user", "feature"), None
+    for batch in batches:
+        own = pa.table([batch.column(c) for c in (*keys, "value")], [*keys, "value"])
+        rows = (own if carried is None else pa.concat_tables([carried, own])).combine_chunks()
+        begins = np.zeros(len(rows), dtype=bool)
+        for k in keys:
+            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+            begins[1:] |= codes[1:] != codes[:-1]
+        group, known = np.cumsum(begins), rows["value"].is_valid().to_numpy()
+        values = np.where(known, rows["value"].cast(pa.float64()).fill_null(0.0).to_numpy(), np.nan)
+        past, size = np.full((len(rows), window), np.nan), np.zeros(len(rows), dtype=np.int32)
+        for k in range(1, min(window, len(rows) - 1) + 1):
+            same = group[k:] == group[:-k]
+            past[k:, k - 1] = np.where(same, values[:-k], np.nan)
+            size[k:] += same & known[:-k]
+        new = slice(len(rows) - len(own), None)
+        past, size = past[new], size[new]
+        at = lambda x, i: np.take_along_axis(x, np.maximum(i, 0)[:, None], 1)[:, 0]
+        middle = lambda x: (at(x, (size - 1) // 2) + at(x, size // 2)) / 2 if window else np.full(len(x), np.nan)
+        with np.errstate(invalid="ignore", over="ignore"):
+            past.sort(axis=1)  # what is missing comes last
+            centre = middle(past)
+            top = at(past, size - 1) if window else centre
+            apart = middle(np.sort(np.abs(past - centre[:, None]), axis=1))
+        made = [pa.array(size), *[pa.array(x, mask=size == 0) for x in (centre, apart, top)]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_size", "_middle", "_apart", "_top"])
+        carried = rows.slice(max(0, len(rows) - window))
+
+
 def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), scales: DataFrame | None = None) -> DataFrame:
     """Adds self_center, self_spread, self_z, self_first, self_hist_max from the user's earlier rows: the last `window` present
     ones, at least `min_history`, the row itself left out. Arrays hold `window` values at most. scales: global_scales, if at hand."""
-    earlier = Window.partitionBy("user", "feature").orderBy("period").rowsBetween(-config.window, -1)
-    scaled = rows.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature
-    h = scaled.withColumn("_h", F.collect_list("value").over(earlier))
-    ready = F.size("_h") >= config.min_history
-    mean = F.aggregate("_h", F.lit(0.0), lambda s, v: s + v) / F.size("_h")
-    if config.robust:
-        h = h.withColumn("self_center", F.when(ready, array_median(F.col("_h")))).withColumn("_raw", F.lit(MAD_TO_SD) * array_mad(F.col("_h"), F.col("self_center")))
+    if config.robust:  # medians of all rows of a batch at once
+        window = config.window
+        ordered = rows.repartition("user", "feature").sortWithinPartitions("user", "feature", "period")
+        schema = StructType([*rows.schema.fields, StructField("_size", IntegerType()), *[StructField(c, DoubleType()) for c in ("_middle", "_apart", "_top")]])
+        h = ordered.mapInArrow(lambda batches: past_figures(batches, window), schema)
+        ready, top = F.col("_size") >= config.min_history, F.col("_top")
+        h = h.withColumn("self_center", F.when(ready, F.col("_middle"))).withColumn("_raw", F.lit(MAD_TO_SD) * F.when(ready, F.col("_apart")))
     else:
-        h = h.withColumn("self_center", F.when(ready, mean))
-        h = h.withColumn("_raw", F.sqrt(F.aggregate("_h", F.lit(0.0), lambda s, v: s + (v - F.col("self_center")) ** 2) / F.size("_h")))
+        earlier = Window.partitionBy("user", "feature").orderBy("period").rowsBetween(-config.window, -1)
+        h = rows.withColumn("_h", F.collect_list("value").over(earlier))
+        ready, top = F.size("_h") >= config.min_history, F.array_max("_h")
+        h = h.withColumn("self_center", F.when(ready, F.aggregate("_h", F.lit(0.0), lambda s, v: s + v) / F.size("_h")))
+        h = h.withColumn("_raw", F.when(ready, F.sqrt(F.aggregate("_h", F.lit(0.0), lambda s, v: s + (v - F.col("self_center")) ** 2) / F.size("_h"))))
+    h = h.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature
     h = h.withColumn("self_spread", F.when(ready, F.greatest("_raw", spread_floor(F.col("feature"), F.col("self_center"), F.col("scale"), config))))
-    top = F.array_max("_h")
     return h.select(
         *rows.columns,
         "self_center",

@@ -81,8 +81,11 @@ def log_features(events: DataFrame, log: str) -> DataFrame:
 
 
 def joined(parts: list[DataFrame]) -> DataFrame:
-    """Features of the logs, one wide row per (user, period): zero where a log has nothing, but null hours; no negative count."""
-    wide = reduce(lambda a, b: a.join(b, KEY, "full"), parts)
+    """Features of the logs, one wide row per (user, period): zero where a log has nothing, but null hours; no negative count. Logs meet in one
+    aggregation, as a full join with each would shuffle the wide rows again; rows with a null in their key meet none, as in a join."""
+    alone = lambda i: F.when(F.col(KEY[0]).isNull() | F.col(KEY[1]).isNull(), F.lit(i))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_alone", alone(i)) for i, p in enumerate(parts)])
+    wide = every.groupBy(*KEY, "_alone").agg(*[F.max(c).alias(c) for c in every.columns if c not in (*KEY, "_alone")])
 
     # a check in each column, not one filter over all: the optimizer's inferences from such a filter double with every column where a log is empty
     def count(c: str) -> Column:
