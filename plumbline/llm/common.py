@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.durable import durable, shared_folder, small  # noqa: F401  for the operators of this folder
+from plumbline.sources.durable import durable, gathered, parts_of, shared_folder, small  # noqa: F401  for the operators of this folder
 
 #: What separates words: space, and tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, small, table
+from plumbline.llm.common import gathered, parts_of, small, table
 
 SHINGLE = 5
 TREES, DEPTH = 20, 5
@@ -184,7 +184,7 @@ def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = ["tree", "key", "id"]
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)]))
     rows = classes.select(trees.alias("t"), "id").select("t.tree", "t.key", "id")
-    scanned = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SCANNED))
+    scanned = gathered(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, SCANNED))
     beside = scanned.filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     return beside, scanned.filter(F.col("key").isNotNull()).select(*order).distinct()
 
@@ -200,7 +200,7 @@ def deeper(documents: DataFrame, ids: DataFrame, depth: int, trees: int) -> Data
                 keys = pa.array([v.tobytes() for v in values], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(range(trees), pa.int32()), keys, pa.array([doc_id] * trees, pa.int64())], names=["tree", "key", "id"])
 
-    texts = documents.select("doc_id", "text").join(small(durable(ids.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
+    texts = documents.select("doc_id", "text").join(small(gathered(ids.select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_semi")
     return texts.mapInArrow(run, "tree int, key binary, id long").distinct()
 
 
@@ -360,8 +360,8 @@ def compared(members: DataFrame, regions: DataFrame, classes: DataFrame, similar
 
 def confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
     """Those of the pairs whose full shingle sets are similar enough."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = durable(documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi"))
+    wanted = gathered(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = gathered(documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,14 +379,15 @@ def confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFr
 
 def components(links: DataFrame) -> DataFrame:
     """id and root (the least id reachable) of every id in links (a, b), by alternating large-star and small-star steps."""
-    edges = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = gathered(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts = parts_of(edges.count())  # stars never have more edges
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).filter("u <> v").distinct().coalesce(parts)
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(lower, "u")
-        after = durable(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        after = gathered(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).coalesce(parts).filter("u <> v").distinct())
         # star-shaped: no root has a root of its own
         if after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return after.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -395,7 +396,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with the root of each id; links: id, root."""
-    return members.join(links, "id", "left").select("tree", "key", "id", F.coalesce("root", "id").alias("root"))
+    return members.join(small(links), "id", "left").select("tree", "key", "id", F.coalesce("root", "id").alias("root"))
 
 
 def open_regions(members: DataFrame) -> DataFrame:
@@ -410,38 +411,38 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
 
     def grown(links: DataFrame | None, found: DataFrame) -> DataFrame:
         edges = found if links is None else links.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
-        return durable(components(edges))
+        return gathered(components(edges))
 
     beside, members = forest(classes)
     ends = beside.unionByName(beside.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).filter("rank <= 2")
-    tested = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tested = gathered(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = grown(None, confirmed(tested, documents, similarity))
     for depth, trees in (*LEVELS, (None, None)):
-        members = durable(members)
+        members = gathered(members)
         rooted = _rooted(members, links)
-        regions = durable(open_regions(rooted))
+        regions = gathered(open_regions(rooted))
         crowded = regions.filter(F.col("n_minor") > REGION)
         more = depth is not None and not crowded.isEmpty()
         if more:
             regions = regions.filter(F.col("n_minor") <= REGION)
         attempt = 0
         while True:
-            pairs = durable(compared(rooted, regions, classes, similarity, attempt))
-            fresh = durable(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-            good = durable(confirmed(fresh, documents, similarity))
+            pairs = gathered(compared(rooted, regions, classes, similarity, attempt))
+            fresh = gathered(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+            good = gathered(confirmed(fresh, documents, similarity))
             links = grown(links, good)
             if attempt is None:
                 break
-            tested = durable(tested.unionByName(fresh))
+            tested = gathered(tested.unionByName(fresh))
             # regions that gave a forest with a pair that isn't a link, and ends that are still apart
             root_of = lambda x: links.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
             apart = pairs.filter("NOT whole").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-            again = durable(apart.select("tree", "key").distinct())
+            again = gathered(apart.select("tree", "key").distinct())
             if again.isEmpty():
                 break
             rooted = _rooted(members.join(small(again), ["tree", "key"], "left_semi"), links)
-            regions = durable(open_regions(rooted))
+            regions = gathered(open_regions(rooted))
             # further forests while they find links
             attempt = attempt + 1 if attempt + 1 < FORESTS and not good.isEmpty() else None
         if not more:
@@ -453,10 +454,10 @@ def link(classes: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
 
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept. Texts are linked from `similarity` hundredths on."""
-    signed = durable(signatures(documents))
+    signed = gathered(signatures(documents))
     same = ["n_shingles", "h1", "h2"]
     grouped = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min(F.struct("doc_id", "sig", "bits")).alias("x"))
-    classes = durable(grouped.select(*same, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), F.col("x.bits").alias("bits")))
+    classes = gathered(grouped.select(*same, F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), F.col("x.bits").alias("bits")))
     roots = link(classes.select("id", "n_shingles", "sig", "bits"), documents, similarity)
     rooted = classes.select(*same, "id").join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"))
     out = signed.select("doc_id", *same).join(rooted, same, "left")
