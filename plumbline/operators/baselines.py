@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from plumbline.operators.selection import CELLS, medians, most_cells
-from plumbline.sources.durable import durable, small
+from plumbline.sources.durable import BROADCAST_ROWS, durable, small
 
 MAD_TO_SD = 1.4826
+OWN = ("self_center", "self_z", "self_first", "self_hist_max")
 NOT_COUNTS = ("earliest_hour", "latest_hour", "attachment_bytes")
 
 
@@ -48,21 +49,25 @@ def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
 
 
-def middle_and_deviation(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of each group's values, and of their distances from it: keys, _m, _mad, _n; exact at any size (see selection)."""
-    counts = durable(value_counts(rows, keys))
+def middle_and_deviation(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Median of each group's values, and of their distances from it: keys, _m, _mad, _n; exact at any size (see selection). counts: the rows'
+    value_counts, kept durably, if at hand."""
+    counts = durable(value_counts(rows, keys)) if counts is None else counts
     most = most_cells(counts, keys)
     kept = durable if most > CELLS else (lambda df: df)  # selection in rounds reads its input several times
-    centres = kept(medians(counts, keys, "_m", most))
-    apart = kept(counts.join(centres, keys).groupBy(*keys, F.abs(F.col("value") - F.col("_m")).alias("value")).agg(F.sum("_n").alias("_n")))
+    centres = durable(medians(counts, keys, "_m", most))
+    apart = kept(counts.join(small(centres), keys).groupBy(*keys, F.abs(F.col("value") - F.col("_m")).alias("value")).agg(F.sum("_n").alias("_n")))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
     return centres.join(medians(apart, keys, "_mad", most), keys).join(sizes, keys)
 
 
 def global_scales(rows: DataFrame) -> DataFrame:
     """Spread of each feature over everything: scaled MAD, or where that is 0 the standard deviation, 1 at least."""
-    deviations = rows.groupBy("feature").agg(F.stddev_pop("value").alias("_sd"))
-    scale = middle_and_deviation(rows, ["feature"]).join(deviations, "feature")
+    return _scales(middle_and_deviation(rows, ["feature"]), rows.groupBy("feature").agg(F.stddev_pop("value").alias("_sd")))
+
+
+def _scales(middles: DataFrame, deviations: DataFrame) -> DataFrame:
+    scale = middles.join(deviations, "feature")
     mad = F.lit(MAD_TO_SD) * F.col("_mad")
     return scale.select("feature", F.when(mad > 0, mad).otherwise(F.greatest(F.coalesce("_sd", F.lit(1.0)), F.lit(1.0))).alias("scale"))
 
@@ -77,37 +82,81 @@ def clipped_z(value: Column, centre: Column, spread: Column, cap: float) -> Colu
     return F.when(z.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), z)))
 
 
+def _figures(values: np.ndarray, known: np.ndarray, row: np.ndarray, window: int, new: slice) -> tuple[np.ndarray, ...]:
+    """_size, _middle, _apart and _top of the `window` rows before each of the `new` rows. row: its place in its group, from 0; values are NaN where not known."""
+    past, size = np.full((len(values), window), np.nan), np.zeros(len(values), dtype=np.int32)
+    for k in range(1, min(window, len(values) - 1) + 1):
+        same = row[k:] >= k
+        past[k:, k - 1] = np.where(same, values[:-k], np.nan)
+        size[k:] += same & known[:-k]
+    past, size = past[new], size[new]
+    at = lambda x, i: np.take_along_axis(x, np.maximum(i, 0)[:, None], 1)[:, 0]
+    middle = lambda x: (at(x, (size - 1) // 2) + at(x, size // 2)) / 2 if window else np.full(len(x), np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        past.sort(axis=1)  # what is missing comes last
+        centre = middle(past)
+        top = at(past, size - 1) if window else centre
+        apart = middle(np.sort(np.abs(past - centre[:, None]), axis=1))
+    return size, centre, apart, top
+
+
+def _places(rows: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Each row's place, from 0, among the neighbours that share its keys."""
+    begins = np.ones(len(rows), dtype=bool)
+    begins[1:] = False
+    for k in keys:
+        codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+        begins[1:] |= codes[1:] != codes[:-1]
+    places = np.arange(len(rows))
+    return places - np.maximum.accumulate(np.where(begins, places, 0))
+
+
+def _with_past(batches: Iterable[pa.RecordBatch], window: int, keys: tuple[str, ...], read: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, pa.Table, np.ndarray, slice]]:
+    """Each batch with the rows that histories need: its own after the last of the batches before, their places, and where its own are."""
+    carried = None
+    for batch in batches:
+        own = pa.table([batch.column(c) for c in (*keys, *read)], [*keys, *read])
+        rows = (own if carried is None else pa.concat_tables([carried, own])).combine_chunks()
+        yield batch, rows, _places(rows, keys), slice(len(rows) - len(own), None)
+        carried = rows.slice(max(0, len(rows) - window))
+
+
+def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values, NaN where not known, and which are known."""
+    known = column.is_valid().to_numpy()
+    return np.where(known, column.cast(pa.float64()).fill_null(0.0).to_numpy(), np.nan), known
+
+
 def past_figures(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Adds to rows in the order of user, feature and period: _size, _middle, _apart (median distance from it) and _top of the values in the `window`
     rows before each of its user and feature. Only the last rows of a batch are carried on to the next."""
-    keys, carried = ("user", "feature"), None
-    for batch in batches:
-        own = pa.table([batch.column(c) for c in (*keys, "value")], [*keys, "value"])
-        rows = (own if carried is None else pa.concat_tables([carried, own])).combine_chunks()
-        begins = np.zeros(len(rows), dtype=bool)
-        for k in keys:
-            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
-            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
-            begins[1:] |= codes[1:] != codes[:-1]
-        group, known = np.cumsum(begins), rows["value"].is_valid().to_numpy()
-        values = np.where(known, rows["value"].cast(pa.float64()).fill_null(0.0).to_numpy(), np.nan)
-        past, size = np.full((len(rows), window), np.nan), np.zeros(len(rows), dtype=np.int32)
-        for k in range(1, min(window, len(rows) - 1) + 1):
-            same = group[k:] == group[:-k]
-            past[k:, k - 1] = np.where(same, values[:-k], np.nan)
-            size[k:] += same & known[:-k]
-        new = slice(len(rows) - len(own), None)
-        past, size = past[new], size[new]
-        at = lambda x, i: np.take_along_axis(x, np.maximum(i, 0)[:, None], 1)[:, 0]
-        middle = lambda x: (at(x, (size - 1) // 2) + at(x, size // 2)) / 2 if window else np.full(len(x), np.nan)
-        with np.errstate(invalid="ignore", over="ignore"):
-            past.sort(axis=1)  # what is missing comes last
-            centre = middle(past)
-            top = at(past, size - 1) if window else centre
-            apart = middle(np.sort(np.abs(past - centre[:, None]), axis=1))
-        made = [pa.array(size), *[pa.array(x, mask=size == 0) for x in (centre, apart, top)]]
+    for batch, rows, places, new in _with_past(batches, window, ("user", "feature"), ("value",)):
+        size, *found = _figures(*_values(rows["value"]), places, window, new)
+        made = [pa.array(size), *[pa.array(x, mask=size == 0) for x in found]]
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_size", "_middle", "_apart", "_top"])
-        carried = rows.slice(max(0, len(rows) - window))
+
+
+def wide_figures(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], scales: tuple[float, ...], config: BaselineConfig) -> Iterator[pa.RecordBatch]:
+    """Adds to rows in the order of user and period arrays of self_center, self_z, self_first and self_hist_max of each named column, as
+    self_baselines has them. scales: one for each column."""
+    for batch, rows, places, new in _with_past(batches, config.window, ("user",), names):
+        found = []
+        for name, scale in zip(names, scales):
+            values, known = _values(rows[name])
+            size, centre, apart, top = _figures(values, known, places, config.window, new)
+            values, known, ready = values[new], known[new], size >= max(config.min_history, 1)
+            floor = np.full(len(size), max(config.floor_fraction * scale, config.tiny)) if name in NOT_COUNTS else np.sqrt(np.maximum(centre, 1.0))
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                spread = np.maximum(MAD_TO_SD * apart, floor)
+                z = np.maximum(-config.z_cap, np.fmin(config.z_cap, (values - centre) / spread))
+                first = (top == 0) & ((values > 0) | np.isnan(values))
+            found.append([(centre, ready), (z, ready & known & (spread != 0)), (first, ready & (known | (top != 0))), (top, ready)])
+        ends, made = np.arange(len(batch) + 1, dtype=np.int32) * len(names), []
+        for parts in zip(*found):
+            flat, kept = (np.stack([p[i] for p in parts], axis=1).ravel() for i in (0, 1))
+            made.append(pa.ListArray.from_arrays(ends, pa.array(flat, mask=~kept)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *OWN])
 
 
 def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), scales: DataFrame | None = None) -> DataFrame:
@@ -138,11 +187,15 @@ def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), s
     )
 
 
+def _spreads(middles: DataFrame, keys: list[str]) -> DataFrame:
+    return middles.select(*keys, F.col("_m").alias("_c"), F.col("_n").alias("peer_n"), (F.lit(MAD_TO_SD) * F.col("_mad")).alias("_raw"))
+
+
 def peer_spreads(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role: str = "role", scales: DataFrame | None = None) -> DataFrame:
     """A row per role, period and feature: centre, size and raw spread of its values, and the feature's scale."""
     keys = ["feature", role, "period"]
     if config.robust:
-        spreads = middle_and_deviation(rows, keys).select(*keys, F.col("_m").alias("_c"), F.col("_n").alias("peer_n"), (F.lit(MAD_TO_SD) * F.col("_mad")).alias("_raw"))
+        spreads = _spreads(middle_and_deviation(rows, keys), keys)
     else:
         spreads = rows.groupBy(*keys).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("_raw"), F.avg("value").alias("_c"), F.count("*").alias("peer_n"))
     return spreads.join(F.broadcast(global_scales(rows) if scales is None else scales), "feature")  # one row for each feature
@@ -169,3 +222,43 @@ def baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role:
     scales = durable(global_scales(rows))
     # kept: what follows would else be merged with the nested medians of histories into expressions too large to plan
     return with_peers(durable(self_baselines(rows, config, scales)), peer_spreads(rows, config, role, scales), config, role)
+
+
+def wide_stats(wide: DataFrame, names: tuple[str, ...], config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
+    """wide, kept durably: a row per (user, period) with its role and a column per feature. Columns of wide that are no features, and stats: feature -> struct
+    of its value and robust baselines, as `baselines` finds them for long rows. A history is one sort of a user's rows for all features, and groups of
+    peers are counted values, so no row is ever shuffled once a feature."""
+    others = [c for c in wide.columns if c not in names]
+    rows = wide.select(*others, *[F.col(c).cast("double").alias(c) for c in names])
+    numbered = F.posexplode(F.array(*names)).alias("feature", "value")
+    keys = ["feature", role, "period"]
+    counts = durable(value_counts(rows.select(role, "period", numbered), keys))
+    deviations = rows.agg(F.array(*[F.stddev_pop(c) for c in names]).alias("_d")).select(F.posexplode("_d").alias("feature", "_sd"))
+    # sums of the groups' counts are those of all rows
+    every = durable(counts.groupBy("feature", "value").agg(F.sum("_n").alias("_n")))
+    scales = durable(_scales(middle_and_deviation(rows, ["feature"], every), deviations))
+    spreads = _spreads(middle_and_deviation(rows, keys, counts), keys).join(F.broadcast(scales), "feature")  # one row for each feature
+    called = F.array(*[F.lit(c) for c in names])
+    spread = F.greatest("_raw", spread_floor(F.get(called, F.col("feature")), F.col("_c"), F.col("scale"), config))
+    centre = F.when(F.col("peer_n") >= config.min_peers, F.col("_c")).alias("peer_center")
+    measured = F.when((F.col("_c") != 0) & (F.col("_spread") != 0), F.col("peer_center")).alias("_from")
+    spreads = spreads.select(*keys, "_c", centre, F.col("peer_n").cast("int").alias("peer_n"), spread.alias("_spread")).select(*keys, "peer_center", "peer_n", "_spread", measured)
+    # a group has a row for each feature, so places in the sorted array are the features' own
+    peers = durable(spreads.groupBy(role, "period").agg(F.sort_array(F.collect_list(F.struct("feature", "peer_center", "peer_n", "_spread", "_from"))).alias("_peers")))
+
+    ordered = rows.repartition("user").sortWithinPartitions("user", "period")
+    found = {r.feature: r.scale for r in scales.collect()}  # one for each feature
+    made = [StructField(c, ArrayType(BooleanType() if c == "self_first" else DoubleType())) for c in OWN]
+    each = tuple(found.get(i, 1.0) for i in range(len(names)))
+    h = ordered.mapInArrow(lambda batches: wide_figures(batches, names, each, config), StructType([*rows.schema.fields, *made]))
+    h = h.join(small(peers, BROADCAST_ROWS // len(names)), [role, "period"])
+
+    def entry(value: Column, i: Column) -> Column:
+        peer = F.get("_peers", i)
+        z = F.greatest(F.lit(-config.z_cap), F.least(F.lit(config.z_cap), (value - peer["_from"]) / peer["_spread"]))
+        z = F.when(value.isNotNull() & peer["_from"].isNotNull(), z)
+        own = {c: F.get(c, i).alias(c) for c in OWN}
+        return F.struct(value.alias("value"), own["self_center"], own["self_z"], own["self_first"], own["self_hist_max"], peer["peer_center"].alias("peer_center"), z.alias("peer_z"), peer["peer_n"].alias("peer_n"))
+
+    # a generator: filters on stats stay behind it, so that stats are worked out once a row and not once for each use in a rule
+    return h.select(*others, F.explode(F.array(F.map_from_arrays(called, F.transform(F.array(*names), entry)))).alias("stats"))

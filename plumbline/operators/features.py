@@ -23,6 +23,7 @@ FEATURES = (
     "cloud_storage_visits", "leak_site_visits", "distinct_domains",
 )
 WITHOUT_BASELINE = ("earliest_hour", "latest_hour", "distinct_file_exts", "total_attachments")
+BASELINED = tuple(c for c in FEATURES if c not in WITHOUT_BASELINE)
 NULLABLE = ("earliest_hour", "latest_hour")
 
 
@@ -102,5 +103,5 @@ def raw_features(logon: DataFrame, device: DataFrame, file: DataFrame, email: Da
 
 def long_features(wide: DataFrame, features: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (user, period, feature, value) of the features that get baselines."""
-    names = features or tuple(c for c in FEATURES if c not in WITHOUT_BASELINE)
+    names = features or BASELINED
     return wide.select(*KEY, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(KEY, list(names), "feature", "value")

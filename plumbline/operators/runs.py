@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import baselines, calibration, features, grounding, identity, pooling, signals
+from plumbline.operators import calibration, features, grounding, identity, pooling, signals
 from plumbline.operators.baselines import BaselineConfig
 from plumbline.sources import logs as L
 from plumbline.sources.durable import durable
@@ -54,8 +54,8 @@ def signals_from_logs(
     spans = wide.select("user", "period", start.alias("period_start"), end.alias("period_end"))
     labels = durable(identity.label_periods(spans, windows).select("user", "period", "is_malicious", "scenario"))
 
-    long = durable(identity.with_roles(features.long_features(wide), identity.latest_roles(snapshots)))
-    flagged = durable(signals.apply_rules(signals.stat_maps(baselines.baselines(long, config)), rules, config))
+    grouped = durable(identity.with_roles(wide, identity.latest_roles(snapshots)))
+    flagged = durable(signals.apply_rules(signals.baselined_maps(grouped, features.BASELINED, config), rules, config))
     known = identity.identity_as_of(flagged.select("user", "period", F.date_format(start, "yyyy-MM").alias("month")), snapshots)
     known = known.select("user", "period", F.struct(*identity.IDENTITY).alias("identity"))
     # joins come first, and records are kept: facts are expressions too large for what the optimizer does around joins

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
+from plumbline.operators import baselines, features
 from plumbline.operators.baselines import BaselineConfig
 
 MEASURES = ("value", "self_center", "self_z", "self_first", "self_hist_max", "peer_center", "peer_z", "peer_n")
@@ -75,6 +76,14 @@ def stat_maps(baselined: DataFrame, keys: tuple[str, ...] = ("user", "period"))
     return baselined.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("stats"))
 
 
+def baselined_maps(wide: DataFrame, names: tuple[str, ...], config: BaselineConfig = BaselineConfig()) -> DataFrame:
+    """Rows user, period and stats with the baselines of the named features of wide: user, period, role and a column per feature, kept durably."""
+    if config.robust:
+        return baselines.wide_stats(wide.select(*features.KEY, "role", *names), names, config).drop("role")
+    long = wide.select(*features.KEY, "role", *[F.col(c).cast("double").alias(c) for c in names]).unpivot([*features.KEY, "role"], list(names), "feature", "value")
+    return stat_maps(baselines.baselines(long, config))
+
+
 def apply_rules(maps: DataFrame, rules: tuple[Rule, ...] = RULES, config: BaselineConfig = BaselineConfig()) -> DataFrame:
     """Rows where a rule fires, with triggered (ids in rule order) and evidence (rule_id, fields)."""
     fired = F.array_compact(F.array(*[F.when(r.fires(config), F.struct(F.lit(r.rule_id).alias("rule_id"), r.evidence(config).alias("fields"))) for r in rules]))
