@@ -16,23 +16,35 @@ UNITS = (1e3, 1e6, 1e9)
 ENTAILED = 0.6
 
 
-def claim_pairs(claims: DataFrame, sentences: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+def claim_pairs(claims: DataFrame, sentences: DataFrame, keys: tuple[str, ...] = ("signal_id",), tokens: bool = False) -> DataFrame:
     """Every claim with every sentence of the same signal's drafts. claims: signal_id, sentence_id, text; sentences: signal_id,
-    sample_index, text. A signal has k drafts, so pairs grow with signals."""
-    c = claims.select(*keys, "sentence_id", F.col("text").alias("hypothesis"))
-    return c.join(sentences.select(*keys, "sample_index", F.col("text").alias("premise")), list(keys))
+    sample_index, text. A signal has k drafts, so pairs grow with signals. tokens: each text's tokens too, found once a text instead of once a pair.
+    Both sides are dealt by signal, as a few texts make many pairs, and Spark would else size its tasks by the texts."""
+    deal = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    more = lambda name: [S.tokens_of(F.col("text")).alias(f"{name}_tokens")] if tokens else []
+    c = deal(claims).select(*keys, "sentence_id", F.col("text").alias("hypothesis"), *more("hypothesis"))
+    return c.join(deal(sentences).select(*keys, "sample_index", F.col("text").alias("premise"), *more("premise")), list(keys))
+
+
+def pair_key() -> Column:
+    """16 bytes that stand for premise and hypothesis."""
+    return F.unhex(F.md5(F.concat(F.md5(F.col("premise").cast("binary")), F.md5(F.col("hypothesis").cast("binary"))).cast("binary")))
 
 
 def judged(pairs: DataFrame, judgements: DataFrame | None = None) -> DataFrame:
-    """Adds entailed: a stored judgement (premise, hypothesis, label) where there is one, else token overlap. Each distinct
-    pair is worked out once."""
-    distinct = pairs.select("premise", "hypothesis").distinct()
-    by_overlap = S.token_overlap(F.col("hypothesis"), F.col("premise")) >= ENTAILED
-    if judgements is None:
-        known = distinct.withColumn("entailed", by_overlap)
+    """Adds entailed: a stored judgement (premise, hypothesis, label; or pair_key, label) where there is one, else token overlap; without texts, pairs
+    that have no null one. Pairs meet judgements by pair_key and leave their texts behind, so a shuffle of pairs holds none."""
+    whole = pairs.filter(F.col("premise").isNotNull() & F.col("hypothesis").isNotNull())
+    if {"hypothesis_tokens", "premise_tokens"} <= set(pairs.columns):
+        overlap = S.share_of_tokens(F.col("hypothesis_tokens"), F.col("premise_tokens"))
     else:
-        known = distinct.join(judgements.select("premise", "hypothesis", "label"), ["premise", "hypothesis"], "left").withColumn("entailed", F.coalesce(F.col("label") == "entailment", by_overlap)).drop("label")
-    return pairs.join(known, ["premise", "hypothesis"])
+        overlap = S.token_overlap(F.col("hypothesis"), F.col("premise"))
+    others = [c for c in pairs.columns if c not in ("premise", "hypothesis", "premise_tokens", "hypothesis_tokens")]
+    if judgements is None:
+        return whole.select(*others, (overlap >= ENTAILED).alias("entailed"))
+    known = judgements if "pair_key" in judgements.columns else judgements.select(pair_key().alias("pair_key"), "label")
+    rows = whole.select(*others, pair_key().alias("pair_key"), (overlap >= ENTAILED).alias("_overlap"))
+    return rows.join(known.select("pair_key", "label"), "pair_key", "left").select(*others, F.coalesce(F.col("label") == "entailment", "_overlap").alias("entailed"))
 
 
 def self_consistency(judged_pairs: DataFrame, exclude: Column | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ def claims_from_drafts(drafts: DataFrame, records: DataFrame, k: int, judgements
     rows = pooling.sentence_rows(pooling.first_drafts(drafts, k))
     claims = durable(pooling.pool_exact(rows))
     named = claims.select("signal_id", "sentence_id", "text", "appears_in")
-    pairs = grounding.claim_pairs(named, rows.select("signal_id", "sample_index", "text"))
+    pairs = grounding.claim_pairs(named, rows.select("signal_id", "sample_index", "text"), tokens=True)
     others = pairs.join(named.select("signal_id", "sentence_id", "appears_in"), ["signal_id", "sentence_id"]).filter(~F.array_contains("appears_in", F.col("sample_index"))).drop("appears_in")
     agreement = grounding.self_consistency(grounding.judged(others, judgements)).select("signal_id", "sentence_id", "self_consistency")
     return claims, grounding.score_claims(named.drop("appears_in"), records, agreement)
