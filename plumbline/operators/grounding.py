@@ -72,6 +72,11 @@ def close(a: Column, b: Column, tolerance: Column | float) -> Column:
     return F.when(b == 0, F.abs(a) < 1e-9).otherwise(F.abs(a - b) <= t * F.abs(b))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def candidates(facts: Column) -> Column:
     """Ordered targets of a signal's facts: rendered numbers of all facts, then for each fact ratios, percents and percent differences of two
     of its numbers and unit changes: struct(target, what, fact); what: place in TARGETS, fact: place among the facts."""
@@ -79,16 +84,16 @@ def candidates(facts: Column) -> Column:
     def made(target: Column, detail: str, place: Column) -> Column:
         return F.struct(target.alias("target"), F.lit(DETAILS.index(detail)).alias("what"), place.alias("fact"))
 
-    direct = lambda f, i: F.transform(rendered_numbers(f), lambda n: made(n, "value", i))
+    direct = lambda n, i: F.transform(n, lambda x: made(x, "value", i))
 
-    def derived(f: Column, i: Column) -> Column:
-        n = rendered_numbers(f)
+    def derived(n: Column, i: Column) -> Column:
         pairs = F.flatten(F.transform(n, lambda a: F.transform(F.filter(n, lambda b: b != a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
         of = lambda p: F.array(made(F.try_divide(p["a"], p["b"]), "ratio", i), made(100 * F.try_divide(p["a"], p["b"]), "percent", i), made(F.abs(100 * F.try_divide(p["a"] - p["b"], p["b"])), "percent difference", i))
         units = F.flatten(F.transform(n, lambda a: F.array(*[made(x, "unit", i) for u in UNITS for x in (a * u, a / u)])))
         return F.concat(F.filter(F.flatten(F.transform(pairs, of)), lambda c: c["target"].isNotNull()), units)
 
-    return F.concat(F.flatten(F.transform(facts, direct)), F.flatten(F.transform(facts, derived)))
+    # numbers are read out of a fact once, not once for each of its pairs
+    return let(F.transform(facts, rendered_numbers), lambda numbers: F.concat(F.flatten(F.transform(numbers, direct)), F.flatten(F.transform(numbers, derived))))
 
 
 def number_index(facts: Column) -> Column:
@@ -98,11 +103,6 @@ def number_index(facts: Column) -> Column:
     return F.coalesce(F.sort_array(ranked), F.filter(F.array(F.struct(F.lit(0.0).alias("target"), F.lit(0).alias("rank"), F.lit(0).alias("what"), F.lit(0).alias("fact"))), lambda c: F.lit(False)))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def count_below(index: Column, steps: Column, least: Column) -> Column:
     """How many targets are below `least`, by binary search in steps of falling powers of two; past the end there is nothing to step on."""
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(index, at + step - 1)["target"] < least, at + step).otherwise(at))
@@ -163,13 +163,16 @@ def combined_match(matches: Column, entity_hits: Column) -> Column:
 
 def misweighted_fact(text: Column, facts: Column) -> Column:
     """Id of the first context fact that a causal main clause rests on while it names no evidence; null otherwise."""
-    clause = F.lower(S.main_clause(text))
     words = lambda f: F.filter(F.split(F.lower(f["gloss"]), r"\W+"), lambda w: F.length(w) >= 5)
-    named = lambda f: F.exists(words(f), lambda w: F.contains(clause, w))
     is_evidence = lambda f: F.size(f["triggering_rule_ids"]) > 0
-    evidence = F.exists(F.filter(facts, is_evidence), named)
-    context = F.get(F.filter(facts, lambda f: ~is_evidence(f) & named(f)), F.lit(0))
-    return F.when(S.has_causal_language(clause) & ~F.coalesce(evidence, F.lit(False)), context["fact_id"])
+
+    def found(clause: Column) -> Column:
+        named = lambda f: F.exists(words(f), lambda w: F.contains(clause, w))
+        evidence = F.exists(F.filter(facts, is_evidence), named)
+        context = F.get(F.filter(facts, lambda f: ~is_evidence(f) & named(f)), F.lit(0))
+        return F.when(S.has_causal_language(clause) & ~F.coalesce(evidence, F.lit(False)), context["fact_id"])
+
+    return let(F.lower(S.main_clause(text)), found)  # cut out once a claim, not once a word
 
 
 def rho(misweighted: Column, fact_match: Column, consistency: Column) -> Column:
