@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from plumbline.operators.selection import CELLS, medians, most_cells
-from plumbline.sources.durable import BROADCAST_ROWS, durable, small
+from plumbline.sources.durable import BROADCAST_ROWS, durable, durable_columns, small
 
 MAD_TO_SD = 1.4826
-OWN = ("self_center", "self_z", "self_first", "self_hist_max")
+#: Fields of a stat, in order, and what is known of a group of peers.
+STAT = {"value": pa.float64(), "self_center": pa.float64(), "self_z": pa.float64(), "self_first": pa.bool_(), "self_hist_max": pa.float64(), "peer_center": pa.float64(), "peer_z": pa.float64(), "peer_n": pa.int32()}
+PEERS = ("peer_center", "peer_n", "_spread", "_from")
 NOT_COUNTS = ("earliest_hour", "latest_hour", "attachment_bytes")
 
 
@@ -90,13 +92,16 @@ def _figures(values: np.ndarray, known: np.ndarray, row: np.ndarray, window: int
         past[k:, k - 1] = np.where(same, values[:-k], np.nan)
         size[k:] += same & known[:-k]
     past, size = past[new], size[new]
-    at = lambda x, i: np.take_along_axis(x, np.maximum(i, 0)[:, None], 1)[:, 0]
-    middle = lambda x: (at(x, (size - 1) // 2) + at(x, size // 2)) / 2 if window else np.full(len(x), np.nan)
-    with np.errstate(invalid="ignore", over="ignore"):
-        past.sort(axis=1)  # what is missing comes last
-        centre = middle(past)
-        top = at(past, size - 1) if window else centre
-        apart = middle(np.sort(np.abs(past - centre[:, None]), axis=1))
+    centre, apart, top = (np.where(size > 0, 0.0, np.nan) for _ in range(3))
+    busy = np.flatnonzero((past == 0).sum(axis=1) < size)  # a history of zeros, as most are, needs no sorting
+    past, some = past[busy], size[busy]
+    at = lambda x, i: np.take_along_axis(x, i[:, None], 1)[:, 0]
+    middle = lambda x: (at(x, (some - 1) // 2) + at(x, some // 2)) / 2
+    if len(busy):
+        with np.errstate(invalid="ignore", over="ignore"):
+            past.sort(axis=1)  # what is missing comes last
+            centre[busy], top[busy] = middle(past), at(past, some - 1)
+            apart[busy] = middle(np.sort(np.abs(past - centre[busy, None]), axis=1))
     return size, centre, apart, top
 
 
@@ -137,11 +142,21 @@ def past_figures(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_size", "_middle", "_apart", "_top"])
 
 
+def _lines(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and which are known of lists of n, a line for each list that is not null."""
+    values, known = _values(pa.chunked_array([column.combine_chunks().flatten()]))
+    return values.reshape(-1, n), known.reshape(-1, n)
+
+
 def wide_figures(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], scales: tuple[float, ...], config: BaselineConfig) -> Iterator[pa.RecordBatch]:
-    """Adds to rows in the order of user and period arrays of self_center, self_z, self_first and self_hist_max of each named column, as
-    self_baselines has them. scales: one for each column."""
+    """Rows in the order of user and period, with rising numbers _row and lists of PEERS (one entry for each named column), become the other columns
+    and stats, as `wide_stats` has them. scales: one for each named column. Rows without peers are left out, but stand in histories."""
+    n, last = len(names), -1
     for batch, rows, places, new in _with_past(batches, config.window, ("user",), names):
-        found = []
+        found, numbers = [], batch["_row"].to_numpy()
+        if len(batch) and (numbers[0] <= last or (np.diff(numbers) <= 0).any()):
+            raise ValueError("rows came out of order")
+        last = numbers[-1] if len(batch) else last
         for name, scale in zip(names, scales):
             values, known = _values(rows[name])
             size, centre, apart, top = _figures(values, known, places, config.window, new)
@@ -151,12 +166,21 @@ def wide_figures(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], scal
                 spread = np.maximum(MAD_TO_SD * apart, floor)
                 z = np.maximum(-config.z_cap, np.fmin(config.z_cap, (values - centre) / spread))
                 first = (top == 0) & ((values > 0) | np.isnan(values))
-            found.append([(centre, ready), (z, ready & known & (spread != 0)), (first, ready & (known | (top != 0))), (top, ready)])
-        ends, made = np.arange(len(batch) + 1, dtype=np.int32) * len(names), []
-        for parts in zip(*found):
-            flat, kept = (np.stack([p[i] for p in parts], axis=1).ravel() for i in (0, 1))
-            made.append(pa.ListArray.from_arrays(ends, pa.array(flat, mask=~kept)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *OWN])
+            found.append([(values, known), (centre, ready), (z, ready & known & (spread != 0)), (first, ready & (known | (top != 0))), (top, ready)])
+        table = pa.Table.from_batches([batch])
+        kept = np.flatnonzero(table["_from"].is_valid().to_numpy())
+        own = [tuple(np.stack([p[i] for p in parts], axis=1)[kept] for i in (0, 1)) for parts in zip(*found)]
+        centre, count, spread, start = (_lines(table[c], n) for c in PEERS)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            z = np.maximum(-config.z_cap, np.fmin(config.z_cap, (own[0][0] - start[0]) / spread[0]))
+        made = [*own, centre, (z, own[0][1] & start[1]), count]
+        made[-1] = (np.where(count[1], count[0], 0).astype(np.int32), count[1])
+        fields = [pa.array(v.ravel(), t, mask=~k.ravel()) for (v, k), t in zip(made, STAT.values())]
+        called = pa.array(names).take(pa.array(np.tile(np.arange(n), len(kept))))
+        stats = pa.MapArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * n), called, pa.StructArray.from_arrays(fields, list(STAT)))
+        others = [c for c in batch.schema.names if c not in (*names, *PEERS, "_row")]
+        left = table.select(others).take(pa.array(kept)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in left.columns], stats], [*others, "stats"])
 
 
 def self_baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), scales: DataFrame | None = None) -> DataFrame:
@@ -224,18 +248,29 @@ def baselines(rows: DataFrame, config: BaselineConfig = BaselineConfig(), role:
     return with_peers(durable(self_baselines(rows, config, scales)), peer_spreads(rows, config, role, scales), config, role)
 
 
+def _sparse_counts(rows: DataFrame, names: tuple[str, ...], groups: list[str]) -> DataFrame:
+    """value_counts of each group's named columns (feature: a column's place), kept durably. Most counts of a period are 0: rows are counted once, and
+    zeros are those that have no other value."""
+    n, keys = len(names), ["feature", *groups]
+    each = rows.select(*groups, F.posexplode(F.array(*names, F.lit(0.0))).alias("feature", "value"))  # the last entry counts the rows
+    counts = durable_columns(value_counts(each.filter(F.col("value").isNull() | (F.col("value") != 0) | (F.col("feature") == n)), keys))
+    some, sizes = counts.filter(F.col("feature") < n), counts.filter(F.col("feature") == n)
+    every = sizes.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("feature"), *groups, "_n")
+    zeros = every.unionByName(some.select(*keys, (-F.col("_n")).alias("_n"))).groupBy(*keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > 0)
+    return durable_columns(some.unionByName(zeros.select(*keys, F.lit(0.0).alias("value"), "_n")))
+
+
 def wide_stats(wide: DataFrame, names: tuple[str, ...], config: BaselineConfig = BaselineConfig(), role: str = "role") -> DataFrame:
     """wide, kept durably: a row per (user, period) with its role and a column per feature. Columns of wide that are no features, and stats: feature -> struct
     of its value and robust baselines, as `baselines` finds them for long rows. A history is one sort of a user's rows for all features, and groups of
-    peers are counted values, so no row is ever shuffled once a feature."""
+    peers are counted values, so no row is ever shuffled once a feature; maps are made for whole batches."""
     others = [c for c in wide.columns if c not in names]
     rows = wide.select(*others, *[F.col(c).cast("double").alias(c) for c in names])
-    numbered = F.posexplode(F.array(*names)).alias("feature", "value")
     keys = ["feature", role, "period"]
-    counts = durable(value_counts(rows.select(role, "period", numbered), keys))
+    counts = _sparse_counts(rows, names, [role, "period"])
     deviations = rows.agg(F.array(*[F.stddev_pop(c) for c in names]).alias("_d")).select(F.posexplode("_d").alias("feature", "_sd"))
     # sums of the groups' counts are those of all rows
-    every = durable(counts.groupBy("feature", "value").agg(F.sum("_n").alias("_n")))
+    every = durable_columns(counts.groupBy("feature", "value").agg(F.sum("_n").alias("_n")))
     scales = durable(_scales(middle_and_deviation(rows, ["feature"], every), deviations))
     spreads = _spreads(middle_and_deviation(rows, keys, counts), keys).join(F.broadcast(scales), "feature")  # one row for each feature
     called = F.array(*[F.lit(c) for c in names])
@@ -244,21 +279,18 @@ def wide_stats(wide: DataFrame, names: tuple[str, ...], config: BaselineConfig =
     measured = F.when((F.col("_c") != 0) & (F.col("_spread") != 0), F.col("peer_center")).alias("_from")
     spreads = spreads.select(*keys, "_c", centre, F.col("peer_n").cast("int").alias("peer_n"), spread.alias("_spread")).select(*keys, "peer_center", "peer_n", "_spread", measured)
     # a group has a row for each feature, so places in the sorted array are the features' own
-    peers = durable(spreads.groupBy(role, "period").agg(F.sort_array(F.collect_list(F.struct("feature", "peer_center", "peer_n", "_spread", "_from"))).alias("_peers")))
-
-    ordered = rows.repartition("user").sortWithinPartitions("user", "period")
+    peers = spreads.groupBy(role, "period").agg(F.sort_array(F.collect_list(F.struct("feature", *PEERS))).alias("_peers"))
+    peers = durable(peers.select(role, "period", *[F.col("_peers")[c].alias(c) for c in PEERS]))
+
+    most = BROADCAST_ROWS // len(names)
+    few = peers.limit(most + 1).count() <= most  # then rows meet their groups in place, after the sort
+    ordered = (rows if few else rows.join(peers, [role, "period"], "left")).repartition("user").sortWithinPartitions("user", "period")
+    # numbered, as the optimizer drops a sort that a join follows, and as the order is checked by the numbers
+    ordered = ordered.withColumn("_row", F.monotonically_increasing_id())
+    ordered = ordered.join(F.broadcast(peers), [role, "period"], "left") if few else ordered
     found = {r.feature: r.scale for r in scales.collect()}  # one for each feature
-    made = [StructField(c, ArrayType(BooleanType() if c == "self_first" else DoubleType())) for c in OWN]
     each = tuple(found.get(i, 1.0) for i in range(len(names)))
-    h = ordered.mapInArrow(lambda batches: wide_figures(batches, names, each, config), StructType([*rows.schema.fields, *made]))
-    h = h.join(small(peers, BROADCAST_ROWS // len(names)), [role, "period"])
-
-    def entry(value: Column, i: Column) -> Column:
-        peer = F.get("_peers", i)
-        z = F.greatest(F.lit(-config.z_cap), F.least(F.lit(config.z_cap), (value - peer["_from"]) / peer["_spread"]))
-        z = F.when(value.isNotNull() & peer["_from"].isNotNull(), z)
-        own = {c: F.get(c, i).alias(c) for c in OWN}
-        return F.struct(value.alias("value"), own["self_center"], own["self_z"], own["self_first"], own["self_hist_max"], peer["peer_center"].alias("peer_center"), z.alias("peer_z"), peer["peer_n"].alias("peer_n"))
-
-    # a generator: filters on stats stay behind it, so that stats are worked out once a row and not once for each use in a rule
-    return h.select(*others, F.explode(F.array(F.map_from_arrays(called, F.transform(F.array(*names), entry)))).alias("stats"))
+    kinds = {pa.float64(): DoubleType(), pa.bool_(): BooleanType(), pa.int32(): IntegerType()}
+    stats = MapType(StringType(), StructType([StructField(c, kinds[t]) for c, t in STAT.items()]))
+    ordered = ordered.select(*others, *names, *PEERS, "_row")
+    return ordered.mapInArrow(lambda batches: wide_figures(batches, names, each, config), StructType([*[rows.schema[c] for c in others], StructField("stats", stats)]))
