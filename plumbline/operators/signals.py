@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +89,8 @@ def baselined_maps(wide: DataFrame, names: tuple[str, ...], config: BaselineConf
 def apply_rules(maps: DataFrame, rules: tuple[Rule, ...] = RULES, config: BaselineConfig = BaselineConfig()) -> DataFrame:
     """Rows where a rule fires, with triggered (ids in rule order) and evidence (rule_id, fields)."""
     fired = F.array_compact(F.array(*[F.when(r.fires(config), F.struct(F.lit(r.rule_id).alias("rule_id"), r.evidence(config).alias("fields"))) for r in rules]))
-    found = maps.withColumn("evidence", fired).filter(F.size("evidence") > 0)
+    # conditions alone are compiled code, which the arrays are not; few rows are left for those
+    found = maps.filter(reduce(or_, [r.fires(config) for r in rules], F.lit(False))).withColumn("evidence", fired)
     return found.withColumn("triggered", F.transform("evidence", lambda e: e["rule_id"]))
 
 
@@ -107,10 +110,11 @@ def facts(flagged: DataFrame, rules: tuple[Rule, ...] = RULES, config: BaselineC
     """Adds facts: evidence first, then the other fields of fired rules in rule order, then ALWAYS; F001 on, at most max_facts."""
     context = F.array_compact(F.array(*[F.when(F.array_contains("triggered", r.rule_id), F.lit(f)) for r in rules for f in r.fields], *[F.lit(f) for f in ALWAYS]))
     wanted = F.array_distinct(F.concat(F.map_keys("by_field"), context))
-    known = F.filter(wanted, lambda f: F.try_element_at(F.col("stats"), f).isNotNull())
+    # each field is looked up once
+    known = F.filter(F.transform(wanted, lambda f: F.struct(f.alias("f"), F.try_element_at(F.col("stats"), f).alias("s"))), lambda x: x["s"].isNotNull())
 
-    def fact(f: Column, i: Column) -> Column:
-        s = F.try_element_at(F.col("stats"), f)
+    def fact(x: Column, i: Column) -> Column:
+        f, s = x["f"], x["s"]
         has_self, has_peer = s["self_z"].isNotNull(), s["peer_z"].isNotNull()
         return F.struct(
             F.format_string("F%03d", i + 1).alias("fact_id"),
